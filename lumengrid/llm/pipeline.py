@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumengrid.llm import mixing, secrets
 from lumengrid.llm.dedup import near_duplicates
 from lumengrid.llm.langid import identify
 from lumengrid.llm.packing import pack
@@ -26,11 +27,17 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Every document stays; spans that hold a secret become a mark, and n_chars follows the new text."""
+    found = secrets.scan(docs.select(COLUMNS))
+    text = secrets.redacted(F.col("text"), F.col("spans"))
+    size = F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return found.withColumn("text", text).withColumn("n_chars", size.cast("long")).select(COLUMNS)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Each document as often as the mixture draws it: a document drawn twice is two rows, one not drawn is none."""
+    mixed = mixing.mix_documents(docs.select(COLUMNS))
+    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
