@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumengrid.llm.common import hash_sample
 from lumengrid.llm.wordhash import SEPARATOR, factors, whole_texts, words
 
 BUCKETS = 1024
@@ -201,10 +202,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", labelle
     empty; null sources and languages are values of their own; an id with two labels counts as its larger one. Without
     labels all scores are 0.5. Repeated rows score alike; an empty table gives no rows.
     """
-    order = [F.xxhash64(F.lit(5), "doc_id"), F.col("doc_id")]
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    y = {r.doc_id: int(r.y) for r in known.orderBy(*order).limit(labelled_rows).collect()}
-    others = [r.doc_id for r in docs.where("doc_id is not null").select("doc_id").orderBy(*order).limit(2 * pool_rows).collect()]
+    y = {r.doc_id: int(r.y) for r in hash_sample(known, ["doc_id"], labelled_rows).collect()}
+    others = [r.doc_id for r in hash_sample(docs.where("doc_id is not null").select("doc_id"), ["doc_id"], 2 * pool_rows, 9).collect()]
     taken = {r.doc_id for r in labels.where(F.col("doc_id").isin(others)).select("doc_id").distinct().collect()} if others else set()
     pool = sorted(set(others) - taken)[:pool_rows]
     ids, views = _sample(docs, sorted({*y, *pool}))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumengrid.llm.common import hash_sample
 from lumengrid.llm.wordhash import factors, whole_texts
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -64,9 +65,11 @@ def subwords(data: np.ndarray, offsets: np.ndarray, buckets: int, longest: int =
 def training_sample(docs: DataFrame, label: Column, rows: int, chars: int) -> list[tuple[str, str]]:
     """(text, label) of up to ``rows`` rows with the least hashes, each a window of up to ``chars`` characters at a hashed
     place: the sample that goes to the driver is at most rows * chars characters, whatever the corpus."""
+    known = docs.where(label.isNotNull() & F.col("text").isNotNull()).withColumn("y", label)
     place = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.greatest(F.length("text") - chars, F.lit(0)) + 1)
-    picked = docs.where(label.isNotNull() & F.col("text").isNotNull()).select(F.xxhash64(F.lit(3), "doc_id").alias("h"), "doc_id", F.substring("text", (place + 1).cast("int"), F.lit(chars)).alias("t"), label.alias("y"))
-    return [(r.t, r.y) for r in picked.orderBy("h", "doc_id", "t", "y").limit(rows).collect()]
+    picked = hash_sample(known, ["doc_id"], rows).select("doc_id", F.substring("text", (place + 1).cast("int"), F.lit(chars)).alias("t"), "y")
+    return [(r.t, r.y) for r in sorted(picked.collect())]
+
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:

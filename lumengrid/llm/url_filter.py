@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import let, materialize
+from lumengrid.llm.common import hash_sample, let, materialize
 
 # Fixed values of the contract: (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -169,8 +169,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, sample_ro
     rows = pages.select("page_id", url.alias("url")).select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = rule_verdict(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "verdict": verdict})
-    labelled = rows.where("verdict is not null").select("url", "host", (F.col("verdict") == "block").cast("int").alias("y"))
-    sample = labelled.select("*", F.xxhash64("url").alias("k")).orderBy("k", "url").limit(sample_rows).select("url", "host", "y")
+    labelled = rows.where("verdict is not null").select("page_id", "url", "host", (F.col("verdict") == "block").cast("int").alias("y"))
+    sample = hash_sample(labelled, ["page_id", "url"], sample_rows).select("url", "host", "y")
     model = boost(materialize(sample, "url-sample"), rounds)
     chance = 1 / (1 + F.exp(-model.score()))
     scored = with_features(rows, model).select("page_id", "host", "path", "rule", "verdict", chance.alias("chance"))
