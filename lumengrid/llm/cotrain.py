@@ -1,6 +1,7 @@
 """A quality classifier by co-training: a text-content view and a page-metadata view teach each other.
 
-* The content view sees hashed runs of 1 to 3 bytes of the whole text (as shares) and the share of distinct words.
+* The content view sees hashed runs of 1 to 3 bytes of the whole text (as shares) and how many of the words are distinct or
+  repeat the word before.
 * The metadata view sees what describes a page without its wording: source and language (hashed), size, and layout (lines,
   capitals, symbols, digits, word length).
 
@@ -26,6 +27,8 @@ from lumengrid.llm.wordhash import SEPARATOR, factors, whole_texts, words
 
 BUCKETS = 1024
 META = 64 + 16 + 8
+#: Calibrated log-odds of a view count up to this, so a view that errs with confidence can be outweighed.
+MOST = 5.0
 _MIX = (factors(8, 41) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _KIND = np.zeros((4, 256), bool)  # lines, capitals, symbols, digits
 _KIND[0, 10] = _KIND[1, 65:91] = _KIND[3, 48:58] = True
@@ -50,14 +53,17 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(found), np.concatenate(owner)
 
 
-def distinct_share(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Distinct words per word of each text; 0 without words."""
+def variety(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two numbers for each text: the logarithm of distinct words per word (and 0.02), and the root of the share of words
+    that repeat the word before."""
     h, doc = words(data, offsets)
     n = len(offsets) - 1
+    count = np.maximum(np.bincount(doc, minlength=n), 1)
+    again = np.bincount(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])], minlength=n)
     order = np.lexsort((h, doc))
-    h, own = h[order], doc[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])] if len(h) else np.zeros(0, bool)
-    return np.bincount(own[new], minlength=n) / np.maximum(np.bincount(own, minlength=n), 1)
+    h, doc = h[order], doc[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
+    return np.stack([np.log(np.bincount(doc[new], minlength=n) / count + 0.02), np.sqrt(again / count)], axis=1)
 
 
 def metadata(data: np.ndarray, offsets: np.ndarray, source: list, lang: list) -> np.ndarray:
@@ -78,7 +84,7 @@ def metadata(data: np.ndarray, offsets: np.ndarray, source: list, lang: list) ->
     room = np.maximum(sizes, 1)
     out[:, 80] = np.log1p(sizes) / 10
     out[:, 81] = np.log1p(sums[0]) / 5
-    out[:, 82:85] = (sums[1:4] / room).T * 5
+    out[:, 82:85] = np.minimum((sums[1:4] / room).T * 20, 1)
     out[:, 85] = sums[4] / room
     out[:, 86] = np.minimum((sizes - sums[4]) / np.maximum(sums[5], 1), 50) / 10
     out[:, 87] = np.minimum(sizes / (sums[0] + 1), 2000) / 1000
@@ -118,7 +124,7 @@ def cotrain(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds:
         return None
     folds = np.arange(len(y)) % 4
     fit, held = (folds != 0, folds == 0) if len(y) >= 40 else (np.ones(len(y), bool),) * 2
-    scales = [(v[fit].mean(axis=0), v[fit].std(axis=0) + 1e-3) for v in x]
+    scales = [(v[fit].mean(axis=0), v[fit].std(axis=0) + floor) for v, floor in zip(x, (1e-4, 0.05), strict=True)]
     z = [((v - m) / s).astype(np.float32) for v, (m, s) in zip(x, scales, strict=True)]
     u = [((v - m) / s).astype(np.float32) for v, (m, s) in zip(pool, scales, strict=True)]
     taught = [np.full(len(u[0]), -1), np.full(len(u[0]), -1)]  # pseudo-labels that each view has been given
@@ -127,7 +133,7 @@ def cotrain(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds:
     for r in range(rounds + 1):
         for k in (0, 1):
             extra = taught[k] >= 0
-            w[k] = logistic(np.vstack([z[k][fit], u[k][extra]]), np.r_[y[fit], taught[k][extra]], start=w[k])
+            w[k] = logistic(np.vstack([z[k][fit], u[k][extra]]), np.r_[y[fit], taught[k][extra]], ridge=(3e-3, 1e-2)[k], start=w[k])
         if r == rounds or not len(u[0]):
             break
         for k in (0, 1):
@@ -136,14 +142,14 @@ def cotrain(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds:
             many = max(1, int(share * len(u[0])))
             order = free[np.argsort(p[free], kind="stable")]
             low, high = order[: int(many * (1 - prior)) + 1], order[::-1][: int(many * prior) + 1]
-            taught[1 - k][low[p[low] < 0.1]] = 0
-            taught[1 - k][high[p[high] > 0.9]] = 1
+            taught[1 - k][low[p[low] < 0.05]] = 0
+            taught[1 - k][high[p[high] > 0.95]] = 1
     maps, scores = [], []
     for k in (0, 1):
         s = (z[k][held] @ w[k][:-1] + w[k][-1])[:, None]
-        maps.append(logistic(s, y[held], steps=200))
-        scores.append(s[:, 0] * maps[-1][0] + maps[-1][1])
-    final = logistic(np.stack(scores, axis=1), y[held], steps=200)
+        maps.append(logistic(s, y[held], ridge=1e-2, steps=400))
+        scores.append(np.clip(s[:, 0] * maps[-1][0] + maps[-1][1], -MOST, MOST))
+    final = logistic(np.stack(scores, axis=1), y[held], ridge=1e-2, steps=400)
     raw = [np.r_[w[k][:-1] / scales[k][1], w[k][-1] - (w[k][:-1] * scales[k][0] / scales[k][1]).sum()] for k in (0, 1)]
     return Views(raw[0], raw[1], maps[0], maps[1], final)
 
@@ -157,12 +163,12 @@ def _sample(docs: DataFrame, ids: list[int]) -> tuple[list[int], list[np.ndarray
                 n = len(offsets) - 1
                 bucket, doc = runs(data, offsets)
                 counts = np.bincount(doc.astype(np.int64) * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
-                content = np.hstack([counts / np.maximum(counts.sum(axis=1, keepdims=True), 1), distinct_share(data, offsets)[:, None]]).astype(np.float32)
+                content = np.hstack([counts / np.maximum(counts.sum(axis=1, keepdims=True), 1), variety(data, offsets)]).astype(np.float32)
                 meta = metadata(data, offsets, b.column(2).slice(i, n).to_pylist(), b.column(3).slice(i, n).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), pa.array([r.tobytes() for r in content], pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())], ["doc_id", "content", "meta"])
 
     if not ids:
-        return [], [np.zeros((0, BUCKETS + 1), np.float32), np.zeros((0, META), np.float32)]
+        return [], [np.zeros((0, BUCKETS + 2), np.float32), np.zeros((0, META), np.float32)]
     picked = docs.where(F.col("doc_id").isin(ids)).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")), "source", "lang")
     rows = sorted({r.doc_id: r for r in picked.mapInArrow(run, "doc_id long, content binary, meta binary").limit(2 * len(ids)).collect()}.values())
     return [r.doc_id for r in rows], [np.array([np.frombuffer(r.content, np.float32) for r in rows]), np.array([np.frombuffer(r.meta, np.float32) for r in rows])]
@@ -182,9 +188,9 @@ def score(docs: DataFrame, model: Views | None) -> DataFrame:
                     bucket, doc = runs(part, own)
                     sums += np.bincount(doc, table[bucket], n)
                     seen += np.bincount(doc, minlength=n)
-                content = sums / np.maximum(seen, 1) + distinct_share(data, offsets) * model.content[BUCKETS] + model.content[-1]
+                content = sums / np.maximum(seen, 1) + variety(data, offsets) @ model.content[BUCKETS:-1] + model.content[-1]
                 meta = metadata(data, offsets, b.column(2).slice(i, n).to_pylist(), b.column(3).slice(i, n).to_pylist()) @ model.meta[:-1] + model.meta[-1]
-                views = [s * m[0] + m[1] for s, m in ((content, model.content_map), (meta, model.meta_map))]
+                views = [np.clip(s * m[0] + m[1], -MOST, MOST) for s, m in ((content, model.content_map), (meta, model.meta_map))]
                 both = views[0] * model.final[0] + views[1] * model.final[1] + model.final[2]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), *[pa.array(_sigmoid(v), pa.float64()) for v in (*views, both)]], ["doc_id", "text_score", "meta_score", "score"])
 
