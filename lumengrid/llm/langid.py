@@ -6,7 +6,8 @@ rows, and a softmax over a linear map of that mean gives the languages. For pred
 into one table of logits, so whole texts of any length take one gather and one sum.
 
 Calibration: on a part of the sample that training did not see, a temperature is chosen by likelihood, and the rejection
-threshold is the score below which ``reject_share`` of rightly labelled texts fall, 0.5 at most.
+threshold is the score under which ``reject_share`` of rightly labelled texts fall, 0.5 at most (half the least such score,
+if they are too few to tell).
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ _CLASS[97:123] = np.arange(97, 123)
 _CLASS[65:91] = np.arange(97, 123)
 _MIX = (factors(8, 31) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 
+#: A small sample is gone over until it has had so many steps.
+LEAST_STEPS = 8000
+
 
 @dataclass
 class LanguageModel:
@@ -92,7 +96,10 @@ def train(sample: list[tuple[str, str]], buckets: int = 1 << 16, dims: int = 16,
         cuts = np.searchsorted(doc[order], np.arange(len(offsets)))
         parts += [(np.unique(bucket[order[a:b]], return_counts=True), languages.index(sample[i + k][1])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
     fit = [p for k, p in enumerate(parts) if k % 5] or parts
+    if not fit:
+        return None
     held = [p for k, p in enumerate(parts) if k % 5 == 0]
+    epochs = max(epochs, -(-LEAST_STEPS // len(fit)))
     step, total = 0, epochs * len(fit)
     for _ in range(epochs):
         for k in rng.permutation(len(fit)):
@@ -115,15 +122,17 @@ def train(sample: list[tuple[str, str]], buckets: int = 1 << 16, dims: int = 16,
     temperature = float(scales[int(np.argmin(losses))]) if len(y) else 1.0
     p = _softmax(z / temperature) if len(y) else z
     right = p.max(axis=1)[p.argmax(axis=1) == y] if len(y) else np.zeros(0)
-    threshold = float(min(0.5, np.quantile(right, reject_share))) if len(right) else 0.0
+    few = int(reject_share * (len(right) + 1))  # rightly labelled texts that may be rejected; without one, half the least score
+    threshold = float(min(0.5, np.sort(right)[few - 1] if few else right.min() / 2)) if len(right) else 0.0
     return LanguageModel(languages, logits, bias, temperature, threshold)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and rejected, from ``text`` alone (columns of these names are replaced).
 
-    A null text, or one without a letter, gets ``und``, score 0 and rejected true; so does any text where nothing could
-    be learned. Other texts get a learned language, and rejected says that the score is under the threshold.
+    A null text, or one without a letter, gets ``und``, score 0 and rejected true. Other texts get a learned language, and
+    rejected says that the score is under the threshold; where nothing could be learned they get ``und``, score 0 and
+    rejected false.
     """
     buckets = len(model.logits) if model else 1
 
@@ -148,7 +157,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     out = docs.drop("lang_pred", "score", "rejected")
     unknown = ~F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
     if model is None:
-        return out.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": F.lit(True)})
+        return out.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": unknown})
     names = out.columns
     marked = out.select(*names, unknown.alias("__unknown"), F.col("text").cast("string").alias("__text"))
     schema = marked.drop("__text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
