@@ -9,7 +9,10 @@
 3. Classes that share a band key are joined to that key's smallest class (a star, never all pairs), and the components of
    the stars are groups that no link can leave.
 4. Each group gets its members' texts and finds every link by exact intersection sizes. A group with more shingles than
-   ``block_shingles`` (a member counts for 1000 at least) is dealt out in pairs of blocks, so a task holds two at most.
+   ``block_shingles`` (a member counts for 1000 at least) is dealt out in blocks: first each block by itself, with some
+   pivots of the group beside it, which makes most groups one component; then, in groups that are not, the members outside
+   the largest component meet all others, block by block. A task holds two blocks at most, and no pair of members that
+   could still add a link is left out.
 5. The components of confirmed links, joined back to all documents.
 
 With 40 bands of 8 rows, two sets at similarity 0.85 miss each other with probability 3e-6, at 0.9 with 2e-10.
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from lumengrid.llm.common import connected_components, materialize
 from lumengrid.llm.wordhash import factors, mix, shingle_sets, whole_texts
 
+#: Members of a group of several blocks that every block sees in the first round.
+PIVOTS = 16
 _LOW = np.uint64(0xFFFFFFFF)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -126,6 +131,7 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
 
 def confirmed(members: DataFrame, percent: int, shingle: int) -> DataFrame:
     """members: cell (string), doc_id, text. Links (src, dst) that span the components of each cell."""
+    members = members.repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, ids, sets = None, [], []
@@ -149,6 +155,21 @@ def confirmed(members: DataFrame, percent: int, shingle: int) -> DataFrame:
     return members.mapInArrow(run, "src long, dst long")
 
 
+def _apart(large: DataFrame, links: DataFrame, block_shingles: int) -> DataFrame:
+    """Cells for what the first round left open in groups of several blocks: every member outside the group's largest
+    component with every other member. A group that is one component by now gives none."""
+    found = connected_components(links, "dedup-first").withColumnsRenamed({"node": "doc_id", "component": "label"})
+    labelled = materialize(large.select("doc_id", "component", "w").distinct().join(found, "doc_id", "left").select("doc_id", "component", "w", F.coalesce("label", "doc_id").alias("label")), "dedup-labels")
+    sizes = labelled.groupBy("component", "label").agg(F.sum("w").alias("w"))
+    open_groups = sizes.groupBy("component").agg(F.max_by("label", F.struct("w", "label")).alias("largest"), (F.sum("w") - F.max("w")).alias("rest")).where("rest > 0")
+    parts = open_groups.select("component", "largest", F.ceil(F.col("rest") / F.lit(block_shingles)).cast("int").alias("parts"))
+    place = labelled.join(parts, "component").select("doc_id", "parts", F.when(F.col("label") != F.col("largest"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), "parts").cast("int")).alias("part"))
+    rows = large.join(place, "doc_id")
+    here = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.concat_ws(":", "component", i, "block"))
+    there = F.when(F.col("part").isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(":", "component", "part", j)))
+    return rows.select(F.explode(F.array_union(here, there)).alias("cell"), "doc_id", "text")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands: int = 40, rows: int = 8, block_shingles: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -165,19 +186,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").select("key", "pivot")
     stars = keys.join(shared, "key").where("doc_id <> pivot").select(F.col("doc_id").alias("src"), F.col("pivot").alias("dst"))
     groups = materialize(connected_components(stars, "dedup-groups"), "dedup-groups")
-    sized = groups.join(classes.select(F.col("rep").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n")), "node")
-    total = sized.groupBy("component").agg(F.ceil(F.sum(F.greatest("n", F.lit(1000))) / F.lit(block_shingles)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = groups.join(total, "component").select(
-        F.col("node").alias("doc_id"),
-        F.explode(
-            F.transform(F.sequence(F.lit(0), F.when(F.col("blocks") > 1, F.col("blocks") - 1).otherwise(0)), lambda j: F.concat_ws(":", "component", F.least(block, j), F.greatest(block, j)))
-        ).alias("cell"),
-    )
+    weighed = groups.join(classes.select(F.col("rep").alias("node"), "n").groupBy("node").agg(F.greatest(F.max("n"), F.lit(1000)).alias("w")), "node")
+    pivots = F.array_distinct(F.array("component", *[F.min_by("node", F.xxhash64(F.lit(i), "node")) for i in range(PIVOTS)]))
+    total = weighed.groupBy("component").agg(F.ceil(F.sum("w") / F.lit(block_shingles)).cast("int").alias("blocks"), pivots.alias("pivots"))
+    dealt = weighed.join(total, "component").select(F.col("node").alias("doc_id"), "component", "w", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.array_contains("pivots", F.col("node")).alias("pivot"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = own.join(dealt.groupBy("doc_id").agg(F.collect_list("cell").alias("cells")), "doc_id")
-    members = texts.select(F.explode("cells").alias("cell"), "doc_id", "text").repartition("cell").sortWithinPartitions("cell")
-    links = materialize(confirmed(members, percent, shingle), "dedup-links")
+    members = materialize(own.join(dealt, "doc_id"), "dedup-members")
+    blocks = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    cells = members.select(F.explode(blocks).alias("j"), "component", "doc_id", "text").select(F.concat_ws(":", "component", "j").alias("cell"), "doc_id", "text")
+    links = materialize(confirmed(cells, percent, shingle), "dedup-links")
+    large = members.where("blocks > 1")
+    if large.limit(1).count():
+        links = links.unionByName(materialize(confirmed(_apart(large, links, block_shingles), percent, shingle), "dedup-links"))
     found = connected_components(links, "dedup-found")
     named = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("root"))
     out = sig.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
