@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumengrid.functions.numbers import nearest_choice, number, progressive_tax
+from lumengrid.operators.folds import acquisition_with_surtaxes, income_with_grossup
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,10 @@ RULES = [
     Rule("tax_vat_payable", ("vat payable",), ("output tax", "bad debt", "input tax"), lambda o, b, i: o - b * 10 / 110 - i, 0.85),
     Rule("tax_vat_common_input_apportionment", ("common input",), ("common tax", "taxable", "exempt"), lambda c, t, e: _ratio(c * t, t + e), 0.86),
     Rule("tax_acquisition_base_rate", ("acquisition tax",), ("price", "broker fee", "rate"), lambda p, b, r: (p + b) * r, 0.90),
+    Rule("cost_manufacturing_flow", ("manufacturing flow",), ("opening work", "manufacturing cost", "closing work", "opening goods", "closing goods"), lambda ow, m, cw, og, cg: ow + m - cw + og - cg, 0.92),
+    Rule("cost_bep_units_and_safety_sales", ("safety sales",), ("fixed cost", "contribution ratio", "safety margin"), lambda f, c, m: _ratio(_ratio(f, c), 1 - m), 0.88),
+    Rule("tax_financial_income_grossup", ("gross-up",), ("interest", "foreign dividends", "domestic dividends"), income_with_grossup, 0.90),
+    Rule("tax_acquisition_with_surtaxes", ("surtaxes",), ("tax base", "standard rate"), lambda b, r: F.when(F.abs(r - 0.04) < 1e-9, acquisition_with_surtaxes(b, r)), 0.88),
     Rule("economics_quantity_theory_inflation", ("quantity theory",), ("money growth", "output growth"), lambda m, y: m - y, 0.90),
     Rule("economics_uip_return_gap", ("interest parity",), ("home rate", "foreign rate", "depreciation"), lambda k, u, x: k - (u + x), 0.86),
     Rule("management_eoq", ("order quantity",), ("demand", "order cost", "holding cost"), lambda d, s, h: F.when(h > 0, F.sqrt(_ratio(2 * d * s, h))), 0.93),

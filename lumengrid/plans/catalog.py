@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from lumengrid.plans import dimensions, grading, graph, learner, live, planning, retrieval, solving, stores, texts  # noqa: F401
+from lumengrid.plans import dimensions, folds, grading, graph, learner, live, planning, retrieval, solving, stores, texts  # noqa: F401
 from lumengrid.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumengrid.functions import numbers as N
 from lumengrid.functions import text as T
-from lumengrid.operators import grade, graph, html, planning, prescribe, recommend, retrieve, solve, state, warehouse
+from lumengrid.operators import folds, grade, graph, html, planning, prescribe, recommend, retrieve, solve, state, warehouse
 
 
 def one(spark, *columns):
@@ -150,3 +150,39 @@ def test_policy(spark):
 def test_page_text():
     title, text = html.page_text("<html><title>A &amp; B</title><script>x<p></script><body><p>one  two</p><div>three<br>four</div></body>")
     assert (title, text) == ("A & B", "one two\nthree\nfour")
+
+
+def test_moving_average(spark):
+    kind = "array<struct<kind:string,qty:double,price:double>>"
+    moves = [("buy", 10.0, 2.0), ("buy", 10.0, 4.0), ("sell", 5.0, 0.0), ("buy", 5.0, 8.0)]
+    rows = spark.createDataFrame([(1, moves), (2, [("sell", 1.0, 0.0)]), (3, [])], f"id int, moves {kind}")
+    got = {r.id: r.s for r in rows.select("id", folds.moving_average(F.col("moves")).alias("s")).collect()}
+    assert tuple(got[1]) == (20.0, 85.0, 15.0) and got[2] is None and tuple(got[3]) == (0.0, 0.0, 0.0)
+
+
+def test_numbering_takes_small_gaps_only(spark):
+    rows = [[1, 2, 9, 3, 6, 5, 7, 20, 11], [], [2, 1, 3]]
+    got = spark.createDataFrame([(r,) for r in rows], "n array<bigint>").select(folds.accepted_numbers(F.col("n")).alias("k")).collect()
+    assert [r.k for r in got] == [[1, 2, 3, 6, 7, 11], [], [2, 3]]
+
+
+def test_signed_items_abstain_on_unknown_ones(spark):
+    item = lambda k, v: F.struct(F.lit(k).alias("label"), F.lit(v).alias("amount"))
+    signs = {"loss": 1, "rise": -1}
+    row = one(spark, folds.signed_total(F.lit(10.0), F.array(item("loss on sale", 3.0), item("rise of stock", 1.0)), signs), folds.signed_total(F.lit(10.0), F.array(item("other", 3.0)), signs))
+    assert list(row) == [12.0, None]
+
+
+def test_gross_up_fills_the_cap_with_what_is_not_eligible(spark):
+    row = one(spark, folds.income_with_grossup(F.lit(1.5e7), F.lit(0.0), F.lit(1e7)), folds.income_with_grossup(F.lit(1e6), F.lit(0.0), F.lit(1e6)), folds.acquisition_with_surtaxes(F.lit(1e8), F.lit(0.04)))
+    assert row.c0 == pytest.approx(2.5e7 + 5e5) and row.c1 == 2e6 and row.c2 == pytest.approx(4.6e6)
+
+
+def test_traps_and_loose_matches(spark):
+    traps = F.array(F.lit("net income, x"))
+    row = one(spark, folds.trap_hit(traps, F.lit("the income"), F.lit(False)), folds.trap_hit(traps, F.lit("the income"), F.lit(True)), folds.trap_hit(F.lit(None).cast("array<string>"), F.lit("a"), F.lit(False)), folds.loose_match(folds.search_key(F.lit("Cash-Flow 표")), F.array(F.lit("cash flow"), F.lit("flow: zz"), F.lit("!"))))
+    assert list(row) == [True, False, None, 21]
+
+
+def test_closest_rate(spark):
+    assert one(spark, folds.closest_rate(F.lit(100.0), F.array(F.lit(55.0), F.lit(60.5)), F.array(F.lit(0.05), F.lit(0.1), F.lit(0.2)))).c0 == 1
