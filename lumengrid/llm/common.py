@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,24 +50,27 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
 
     Alternating large-star and small-star rounds: edges never outgrow the input, and a round's result is written to the
     shared folder. Nulls and self-loops are ignored. Ends when a round changes nothing, after O(log^2 n) rounds at worst.
+    The center of a large component is a hot key of the first star. Its least neighbour comes from a partial aggregate and
+    goes back by a join on a hash of the node, which has a shuffle on both sides, so that adaptive execution can split it.
     """
-    e = (
-        edges.where("src <> dst")
-        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct()
+
+    def counted(e: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = materialize(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), label)
+        return out, (seen.get["n"], seen.get["h"])
+
+    e, now = counted(
+        edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     )
-    e, before = materialize(e, label), None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("component"))
-            ).distinct()
-        before = now
+    before = None
+    while now != before and now[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u")
-        small = near.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), label)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.xxhash64("u").alias("k"), F.col("u").alias("w"), "m")
+        up = both.where("v > u").withColumn("k", F.xxhash64("u"))
+        large = up.join(low, (up["k"] == low["k"]) & (up["u"] == low["w"])).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        pair = F.when(F.col("v") == F.col("m"), F.array(F.struct("u", F.col("m").alias("v")))).otherwise(
+            F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        )
+        before, (e, now) = now, counted(near.select(F.inline(pair)).distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -183,8 +183,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
     reps = classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("own"))
     keys = sig.join(reps, "doc_id").where("digest = own").dropDuplicates(["doc_id"]).select("doc_id", F.explode("keys").alias("key"))
     keys = materialize(keys, "dedup-keys")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").select("key", "pivot")
-    stars = keys.join(shared, "key").where("doc_id <> pivot").select(F.col("doc_id").alias("src"), F.col("pivot").alias("dst"))
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").select(F.xxhash64("key").alias("k"), F.col("key").alias("same"), "pivot")
+    hashed = keys.withColumn("k", F.xxhash64("key"))  # a shuffle on both sides of the join, so a hot key can be split
+    stars = hashed.join(shared, (hashed["k"] == shared["k"]) & (hashed["key"] == shared["same"])).where("doc_id <> pivot").select(F.col("doc_id").alias("src"), F.col("pivot").alias("dst"))
     groups = materialize(connected_components(stars, "dedup-groups"), "dedup-groups")
     weighed = groups.join(classes.select(F.col("rep").alias("node"), "n").groupBy("node").agg(F.greatest(F.max("n"), F.lit(1000)).alias("w")), "node")
     pivots = F.array_distinct(F.array("component", *[F.min_by("node", F.xxhash64(F.lit(i), "node")) for i in range(PIVOTS)]))

@@ -69,11 +69,10 @@ def subwords(data: np.ndarray, offsets: np.ndarray, buckets: int, longest: int =
 def training_sample(docs: DataFrame, label: Column, rows: int, chars: int) -> list[tuple[str, str]]:
     """(text, label) of up to ``rows`` rows with the least hashes, each a window of up to ``chars`` characters at a hashed
     place: the sample that goes to the driver is at most rows * chars characters, whatever the corpus."""
-    known = docs.where(label.isNotNull() & F.col("text").isNotNull()).withColumn("y", label)
     place = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.greatest(F.length("text") - chars, F.lit(0)) + 1)
-    picked = hash_sample(known, ["doc_id"], rows).select("doc_id", F.substring("text", (place + 1).cast("int"), F.lit(chars)).alias("t"), "y")
-    return [(r.t, r.y) for r in sorted(picked.collect())]
-
+    known = docs.where(label.isNotNull()).select("doc_id", F.substring("text", (place + 1).cast("int"), F.lit(chars)).alias("t"), label.alias("y"))
+    picked = hash_sample(known, ["doc_id"], rows).where("t is not null")  # cut before it is sorted; the count reads no texts
+    return [(r.t, r.y) for r in sorted(picked.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.t, r.y))]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -89,21 +88,31 @@ def train(sample: list[tuple[str, str]], buckets: int = 1 << 16, dims: int = 16,
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1, 1, (buckets, dims)).astype(np.float32) / dims
     head, bias = np.zeros((dims, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    parts = []
-    for i, data, offsets in whole_texts(pa.array([t for t, _ in sample], pa.string())):
+    flat = []  # a few large arrays, which go back to the system when training ends
+    for i, data, offsets in whole_texts(pa.array([t for t, _ in sample], pa.string()), 1 << 17):
         bucket, doc = subwords(data, offsets, buckets)
-        order = np.argsort(doc, kind="stable")
-        cuts = np.searchsorted(doc[order], np.arange(len(offsets)))
-        parts += [(np.unique(bucket[order[a:b]], return_counts=True), languages.index(sample[i + k][1])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-    fit = [p for k, p in enumerate(parts) if k % 5] or parts
+        both, count = np.unique(doc.astype(np.int64) * buckets + bucket, return_counts=True)
+        flat.append(((both % buckets).astype(np.uint32), count.astype(np.float32), both // buckets + i))
+        del bucket, doc, both, count
+    buckets_of, counts_of, rows = (np.concatenate(x) for x in zip(*flat, strict=True))
+    del flat
+    at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
+    labels = [languages.index(sample[int(rows[a])][1]) for a in at]
+    cuts = [*at.tolist(), len(rows)]
+
+    def part(k: int):
+        a, b = cuts[k], cuts[k + 1]
+        return buckets_of[a:b], counts_of[a:b]
+
+    fit = [k for k in range(len(at)) if k % 5] or list(range(len(at)))
+    held = [k for k in range(len(at)) if k % 5 == 0]
     if not fit:
         return None
-    held = [p for k, p in enumerate(parts) if k % 5 == 0]
     epochs = max(epochs, -(-LEAST_STEPS // len(fit)))
     step, total = 0, epochs * len(fit)
     for _ in range(epochs):
-        for k in rng.permutation(len(fit)):
-            (bucket, count), y = fit[k]
+        for k in rng.permutation(fit):
+            (bucket, count), y = part(k), labels[k]
             share = (count / count.sum()).astype(np.float32)
             mean = share @ table[bucket]
             error = _softmax(mean @ head + bias)
@@ -115,8 +124,8 @@ def train(sample: list[tuple[str, str]], buckets: int = 1 << 16, dims: int = 16,
             table[bucket] -= (now * len(bucket) ** 0.5) * share[:, None] * back[None, :]
             step += 1
     logits = table @ head
-    z = np.array([(c / c.sum()) @ logits[b] + bias for (b, c), _ in held]) if held else np.zeros((0, len(languages)))
-    y = np.array([y for _, y in held], int)
+    z = np.array([(c / c.sum()) @ logits[b] + bias for b, c in map(part, held)]) if held else np.zeros((0, len(languages)))
+    y = np.array([labels[k] for k in held], int)
     scales = np.geomspace(0.05, 5, 40)
     losses = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() if len(y) else 0 for t in scales]
     temperature = float(scales[int(np.argmin(losses))]) if len(y) else 1.0
