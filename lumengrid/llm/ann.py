@@ -8,7 +8,7 @@ codes gives an estimate of each inner product with a bound on its error,
 
 so the k-th largest lower bound cuts off every pair whose upper bound lies below it. What survives is recomputed in double
 precision from the original vectors, dimension by dimension, so equal vectors get equal scores wherever they lie. Each tile
-hands on the k nearest of each query; the lists of a query, from as many tiles as there are candidate blocks, are merged by
+is worked through in strips of 1,024 queries and 2,048 candidates, and hands on the k nearest of each query; the lists of a query, from as many tiles as there are candidate blocks, are merged by
 heaps. No pair of rows is ever a row of a join, and a task holds two blocks, whatever the number of equal vectors.
 """
 
@@ -136,7 +136,7 @@ def blocks(vectors: DataFrame, count: int, double: bool) -> DataFrame:
     return dealt.repartition("dim", "block").sortWithinPartitions("dim", "block").mapInArrow(run, BLOCK)
 
 
-def nearest(vectors: DataFrame, query: Column, k: int = 20, vector: str = "embedding", block_rows: int = 8192, query_rows: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, query: Column, k: int = 20, vector: str = "embedding", block_rows: int = 8192, query_rows: int = 8192) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row that ``query`` picks, its k nearest among all others.
 
     ``vectors``: vec_id and an array of float or double; other columns are ignored. Vectors that are null, empty, zero or
@@ -156,8 +156,10 @@ def nearest(vectors: DataFrame, query: Column, k: int = 20, vector: str = "embed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for dim, q_ids, q, x_ids, x in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                a, c, s = tile(np.frombuffer(q_ids, "<i8"), np.frombuffer(q, kind).reshape(-1, dim), np.frombuffer(x_ids, "<i8"), np.frombuffer(x, kind).reshape(-1, dim), k)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s)], ["query_id", "vec_id", "score"])
+                q_all, queries_of = np.frombuffer(q_ids, "<i8"), np.frombuffer(q, kind).reshape(-1, dim)
+                for at in range(0, len(q_all), 1024):
+                    a, c, s = tile(q_all[at : at + 1024], queries_of[at : at + 1024], np.frombuffer(x_ids, "<i8"), np.frombuffer(x, kind).reshape(-1, dim), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(s)], ["query_id", "vec_id", "score"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, heap = None, []
