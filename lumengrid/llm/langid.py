@@ -150,7 +150,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             sums, seen = np.zeros((n, len(model.languages))), np.zeros(n)
-            for i, data, offsets in whole_texts(batch.column(batch.num_columns - 1), 1 << 18):
+            for i, data, offsets in whole_texts(batch.column(place), 1 << 18):
                 for a in range(0, len(data), 1 << 20):  # a very long text goes in parts, whose sums add up; runs across a border do not count
                     part, own = (data, offsets) if len(data) <= 1 << 20 else (data[a : a + (1 << 20)], np.array([0, min(1 << 20, len(data) - a)]))
                     bucket, doc = subwords(part, own, buckets)
@@ -159,8 +159,8 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                     seen[i : i + len(own) - 1] += np.bincount(doc, minlength=len(own) - 1)
             p = _softmax((sums / np.maximum(seen, 1)[:, None] + model.bias) / model.temperature)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([model.languages[k] for k in p.argmax(axis=1)], pa.string()), pa.array(p.max(axis=1), pa.float64())],
-                [*batch.schema.names[:-1], "lang_pred", "score"],
+                [*batch.columns, pa.array([model.languages[k] for k in p.argmax(axis=1)], pa.string()), pa.array(p.max(axis=1), pa.float64())],
+                [*batch.schema.names, "lang_pred", "score"],
             )
 
     out = docs.drop("lang_pred", "score", "rejected")
@@ -168,8 +168,8 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     if model is None:
         return out.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": unknown})
     names = out.columns
-    marked = out.select(*names, unknown.alias("__unknown"), F.col("text").cast("string").alias("__text"))
-    schema = marked.drop("__text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    marked = out.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in names], unknown.alias("__unknown"))
+    place, schema = names.index("text"), marked.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     scored = marked.mapInArrow(run, schema)
     return scored.select(
         *names,

@@ -33,7 +33,7 @@ _POSITION = factors(256, 11)
 _ORDER = factors(64, 23)
 
 
-def whole_texts(column: pa.Array, most_bytes: int = 1 << 20):
+def whole_texts(column: pa.Array, most_bytes: int = 1 << 18):
     """Yields (first row, bytes, offsets) for runs of whole texts of about ``most_bytes``; a longer text comes alone."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
