@@ -5,22 +5,26 @@ blanks (runs of blanks as one). Each run is hashed into ``buckets`` rows of an e
 rows, and a softmax over a linear map of that mean gives the languages. For prediction the table and the map are folded
 into one table of logits, so whole texts of any length take one gather and one sum.
 
-Calibration: on a part of the sample that training did not see, a temperature is chosen by likelihood, and the rejection
-threshold is the score under which ``reject_share`` of rightly labelled texts fall, 0.5 at most (half the least such score,
-if they are too few to tell).
+The sample is shared out by language, so a rare one is learned from all its rows or from as many as any other.
+
+Calibration: on a part of the sample that training did not see, a temperature is chosen by likelihood, and two limits. The
+score under which ``reject_share`` of rightly labelled texts fall, 0.5 at most (half the least such score, if they are too few
+to tell), and the share of subwords that training never saw which ``reject_share`` of them exceed (half the way from the
+largest such share to 1, if they are too few). Scores only compare the learned languages; the second limit is what
+finds a text in none of them. Unseen subwords are told by a hash that is ``FINER`` times as fine as the embedding's.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import hash_sample
 from lumengrid.llm.wordhash import factors, whole_texts
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -31,6 +35,10 @@ _MIX = (factors(8, 31) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 
 #: A small sample is gone over until it has had so many steps.
 LEAST_STEPS = 8000
+#: Buckets in which a subword counts as seen or not, for each bucket of the embedding.
+FINER = 64
+#: Rows that each language may give to the sample, however many languages there are.
+LEAST_ROWS = 50
 
 
 @dataclass
@@ -40,6 +48,8 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    seen: np.ndarray  # bits, one for each of buckets * FINER: whether training saw such a subword
+    unseen_limit: float
 
 
 def subwords(data: np.ndarray, offsets: np.ndarray, buckets: int, longest: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -66,13 +76,34 @@ def subwords(data: np.ndarray, offsets: np.ndarray, buckets: int, longest: int =
     return np.concatenate(found), np.concatenate(owner)
 
 
+def _quota(counts: list[int], rows: int) -> int:
+    """Rows that each language may give, so that all give ``rows`` at most (LEAST_ROWS each in any case)."""
+    left, quota = rows, rows
+    for k, n in enumerate(sorted(counts)):
+        quota = left // (len(counts) - k)
+        if n > quota:
+            break
+        left -= n
+    return max(quota, LEAST_ROWS)
+
+
 def training_sample(docs: DataFrame, label: Column, rows: int, chars: int) -> list[tuple[str, str]]:
-    """(text, label) of up to ``rows`` rows with the least hashes, each a window of up to ``chars`` characters at a hashed
-    place: the sample that goes to the driver is at most rows * chars characters, whatever the corpus."""
+    """(text, label) of up to ``rows`` rows, shared out evenly by label (a label with fewer rows gives all), those with the
+    least hashes of each, each a window of up to ``chars`` characters at a hashed place: the sample that goes to the driver
+    is at most rows * chars characters (LEAST_ROWS * chars a label, if these are more), whatever the corpus."""
     place = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.greatest(F.length("text") - chars, F.lit(0)) + 1)
     known = docs.where(label.isNotNull()).select("doc_id", F.substring("text", (place + 1).cast("int"), F.lit(chars)).alias("t"), label.alias("y"))
-    picked = hash_sample(known, ["doc_id"], rows).where("t is not null")  # cut before it is sorted; the count reads no texts
-    return [(r.t, r.y) for r in sorted(picked.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.t, r.y))]
+    counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}  # reads no texts
+    if not counts:
+        return []
+    quota = _quota(list(counts.values()), rows)
+    # a bound on the hash lets only some rows more than the quota of each label leave the tasks
+    bound = {y: int(min(1.0, (1.1 * quota + 6 * quota**0.5) / n) * (1 << 40)) if n > quota else 1 << 40 for y, n in counts.items()}
+    h = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 40))
+    near = known.where(h < F.element_at(F.create_map(*[F.lit(x) for pair in bound.items() for x in pair]), F.col("y")))
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(h, "doc_id", "t"))
+    picked = near.withColumn("r", rank).where((F.col("r") <= quota) & F.col("t").isNotNull())
+    return [(r.t, r.y) for r in sorted(picked.select("doc_id", "t", "y").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.t, r.y))]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -88,31 +119,40 @@ def train(sample: list[tuple[str, str]], buckets: int = 1 << 16, dims: int = 16,
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1, 1, (buckets, dims)).astype(np.float32) / dims
     head, bias = np.zeros((dims, len(languages)), np.float32), np.zeros(len(languages), np.float32)
+    sample = [(t, y) for t, y in sample if re.search("[A-Za-z\x80-\U0010ffff]", t)]  # without one, a text is blanks
+    labels = [languages.index(y) for _, y in sample]
+    # a fifth is held out, and two fifths of a sample that is then large enough to tell reject_share
+    parts = 2 if 2 * len(sample) * reject_share > 5 else 1
+    fit = [k for k in range(len(sample)) if k % 5 >= parts] or list(range(len(sample)))
+    held = [k for k in range(len(sample)) if k % 5 < parts]
+    if not fit:
+        return None
+
+    def runs(which: list[int]):
+        """(first text, subwords by the finer hash, text number) of the chosen texts, some at a time."""
+        for i, data, offsets in whole_texts(pa.array([sample[k][0] for k in which], pa.string()), 1 << 17):
+            yield i, len(offsets) - 1, *subwords(data, offsets, buckets * FINER)
+
+    seen = np.zeros(buckets * FINER, bool)
     flat = []  # a few large arrays, which go back to the system when training ends
-    for i, data, offsets in whole_texts(pa.array([t for t, _ in sample], pa.string()), 1 << 17):
-        bucket, doc = subwords(data, offsets, buckets)
-        both, count = np.unique(doc.astype(np.int64) * buckets + bucket, return_counts=True)
+    for i, _, fine, doc in runs(fit):
+        seen[fine] = True
+        both, count = np.unique(doc.astype(np.int64) * buckets + fine % buckets, return_counts=True)
         flat.append(((both % buckets).astype(np.uint32), count.astype(np.float32), both // buckets + i))
-        del bucket, doc, both, count
+        del fine, doc, both, count
     buckets_of, counts_of, rows = (np.concatenate(x) for x in zip(*flat, strict=True))
     del flat
-    at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
-    labels = [languages.index(sample[int(rows[a])][1]) for a in at]
-    cuts = [*at.tolist(), len(rows)]
+    cuts = [*np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]).tolist(), len(rows)]
 
-    def part(k: int):
-        a, b = cuts[k], cuts[k + 1]
+    def part(j: int):
+        a, b = cuts[j], cuts[j + 1]
         return buckets_of[a:b], counts_of[a:b]
 
-    fit = [k for k in range(len(at)) if k % 5] or list(range(len(at)))
-    held = [k for k in range(len(at)) if k % 5 == 0]
-    if not fit:
-        return None
     epochs = max(epochs, -(-LEAST_STEPS // len(fit)))
     step, total = 0, epochs * len(fit)
     for _ in range(epochs):
-        for k in rng.permutation(fit):
-            (bucket, count), y = part(k), labels[k]
+        for j in rng.permutation(len(fit)):
+            (bucket, count), y = part(j), labels[fit[j]]
             share = (count / count.sum()).astype(np.float32)
             mean = share @ table[bucket]
             error = _softmax(mean @ head + bias)
@@ -124,43 +164,52 @@ def train(sample: list[tuple[str, str]], buckets: int = 1 << 16, dims: int = 16,
             table[bucket] -= (now * len(bucket) ** 0.5) * share[:, None] * back[None, :]
             step += 1
     logits = table @ head
-    z = np.array([(c / c.sum()) @ logits[b] + bias for b, c in map(part, held)]) if held else np.zeros((0, len(languages)))
+    z, unseen = np.zeros((len(held), len(languages))), np.zeros(len(held))
+    for i, n, fine, doc in runs(held):
+        size = np.bincount(doc, minlength=n)
+        for k in range(len(languages)):
+            z[i : i + n, k] = np.bincount(doc, logits[:, k][fine % buckets], n) / size + bias[k]
+        unseen[i : i + n] = np.bincount(doc[~seen[fine]], minlength=n) / size
     y = np.array([labels[k] for k in held], int)
     scales = np.geomspace(0.05, 5, 40)
     losses = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() if len(y) else 0 for t in scales]
     temperature = float(scales[int(np.argmin(losses))]) if len(y) else 1.0
     p = _softmax(z / temperature) if len(y) else z
-    right = p.max(axis=1)[p.argmax(axis=1) == y] if len(y) else np.zeros(0)
+    rightly = p.argmax(axis=1) == y if len(y) else np.zeros(0, bool)
+    right, unseen = p.max(axis=1)[rightly] if len(y) else np.zeros(0), unseen[rightly]
     few = int(reject_share * (len(right) + 1))  # rightly labelled texts that may be rejected; without one, half the least score
     threshold = float(min(0.5, np.sort(right)[few - 1] if few else right.min() / 2)) if len(right) else 0.0
-    return LanguageModel(languages, logits, bias, temperature, threshold)
+    unseen_limit = float(np.sort(unseen)[-few] if few else (1 + unseen.max()) / 2) if len(unseen) else 1.0
+    return LanguageModel(languages, logits, bias, temperature, threshold, np.packbits(seen), unseen_limit)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and rejected, from ``text`` alone (columns of these names are replaced).
 
     A null text, or one without a letter, gets ``und``, score 0 and rejected true. Other texts get a learned language, and
-    rejected says that the score is under the threshold; where nothing could be learned they get ``und``, score 0 and
-    rejected false.
+    rejected says that the score is under the threshold or the share of unseen subwords over its limit; where nothing could
+    be learned they get ``und``, score 0 and rejected false.
     """
     buckets = len(model.logits) if model else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logits = model.logits.astype(np.float32)
+        logits, known = model.logits.astype(np.float32), np.unpackbits(model.seen).view(bool)
         for batch in batches:
             n = batch.num_rows
-            sums, seen = np.zeros((n, len(model.languages))), np.zeros(n)
+            sums, seen, unseen = np.zeros((n, len(model.languages))), np.zeros(n), np.zeros(n)
             for i, data, offsets in whole_texts(batch.column(place), 1 << 18):
                 for a in range(0, len(data), 1 << 20):  # a very long text goes in parts, whose sums add up; runs across a border do not count
                     part, own = (data, offsets) if len(data) <= 1 << 20 else (data[a : a + (1 << 20)], np.array([0, min(1 << 20, len(data) - a)]))
-                    bucket, doc = subwords(part, own, buckets)
+                    fine, doc = subwords(part, own, buckets * FINER)
+                    unseen[i : i + len(own) - 1] += np.bincount(doc[~known[fine]], minlength=len(own) - 1)
+                    bucket = fine % np.uint32(buckets)
                     for k in range(len(model.languages)):
                         sums[i : i + len(own) - 1, k] += np.bincount(doc, logits[:, k][bucket], len(own) - 1)
                     seen[i : i + len(own) - 1] += np.bincount(doc, minlength=len(own) - 1)
             p = _softmax((sums / np.maximum(seen, 1)[:, None] + model.bias) / model.temperature)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([model.languages[k] for k in p.argmax(axis=1)], pa.string()), pa.array(p.max(axis=1), pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"],
+                [*batch.columns, pa.array([model.languages[k] for k in p.argmax(axis=1)], pa.string()), pa.array(p.max(axis=1), pa.float64()), pa.array(unseen / np.maximum(seen, 1), pa.float64())],
+                [*batch.schema.names, "lang_pred", "score", "__unseen"],
             )
 
     out = docs.drop("lang_pred", "score", "rejected")
@@ -169,13 +218,13 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         return out.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": unknown})
     names = out.columns
     marked = out.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in names], unknown.alias("__unknown"))
-    place, schema = names.index("text"), marked.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    place, schema = names.index("text"), marked.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "__unseen": F.lit(0.0)}).schema
     scored = marked.mapInArrow(run, schema)
     return scored.select(
         *names,
         F.when(F.col("__unknown"), "und").otherwise(F.col("lang_pred")).alias("lang_pred"),
         F.when(F.col("__unknown"), 0.0).otherwise(F.col("score")).alias("score"),
-        (F.col("__unknown") | (F.col("score") < model.threshold)).alias("rejected"),
+        (F.col("__unknown") | (F.col("score") < model.threshold) | (F.col("__unseen") > model.unseen_limit)).alias("rejected"),
     )
 
 
@@ -184,7 +233,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))
 
 
-def identify(docs: DataFrame, sample_rows: int = 4000, sample_chars: int = 1500) -> DataFrame:
+def identify(docs: DataFrame, sample_rows: int = 6000, sample_chars: int = 1500) -> DataFrame:
     """``docs`` (doc_id, text, lang, ...) with held_out, lang_pred, score, rejected.
 
     Learns from rows that are not held out and have a lang: at most ``sample_rows`` windows of ``sample_chars`` characters.
