@@ -166,7 +166,8 @@ def prescription(spark, d) -> DataFrame:
     )
 
 
-# What can be practised: the parts of size 1 to 5; each is offered to the learners who work in its subject.
+# What can be practised: one part in twenty, as in the SQL (not all parts: see the README); each is offered to the learners
+# who work in its subject.
 CANDIDATES_SQL = """tried AS (SELECT DISTINCT user_id, problem_id FROM v_attempt), weak AS (SELECT DISTINCT user_id, subject, concept FROM mastery WHERE mastery < 0.5),
 cand AS (SELECT s.user_id, p.problem_id, p.subject, round(s.n_correct / s.n, 4) AS accuracy, w.concept IS NOT NULL AS weak, t.problem_id IS NOT NULL AS attempted,
     list_contains(r.tags, 'time_pressure') AND coalesce(limit_seconds <= 90, false) AS pressed
