@@ -38,9 +38,10 @@ f AS (SELECT *, base_failed OR 10 * n_symbols > word_chars OR 2 * n_dup_lines >=
 h AS (SELECT host, count(*) AS n, count_if(failed) AS f FROM f WHERE host IS NOT NULL GROUP BY host),
 z AS (SELECT least(greatest(sum(f) / sum(n), 0.0001), 0.9999)::DOUBLE AS mean, var_samp(f / n) AS spread, avg(1 / n) AS inverse FROM h),
 y AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(coalesce(spread, 0) - mean * (1 - mean) * inverse, 0.000001) - 1, 2.0), 1000.0) AS k FROM z),
-x AS (SELECT host, mean * k + f AS a, (1 - mean) * k + n - f AS b FROM h, y),
-d AS (SELECT host, a / (a + b) - 2 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 AS dropped FROM x)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(dropped, false) AS kept FROM f LEFT JOIN d USING (host)"""
+x AS (SELECT host, n, f, mean, mean * k + f AS a, (1 - mean) * k + n - f AS b FROM h, y),
+d AS (SELECT host, n, f, a / (a + b) - 2 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 3 * mean / (1 - mean) / (1 + 3 * mean / (1 - mean)) AS dropped FROM x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(dropped, false) AS kept,
+  coalesce(d.n, 0) AS host_docs, coalesce(d.f, 0)::BIGINT AS host_failures, coalesce(dropped, false) AS host_dropped FROM f LEFT JOIN d USING (host)"""
 
 
 def _case(column: str, weights: dict[str, float]) -> str:

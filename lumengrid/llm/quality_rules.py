@@ -2,9 +2,11 @@
 
 Each text is measured by itself, in one pass and without a shuffle; the figures (a few numbers a row) are written to the
 shared folder. Rule failures are then summed by host. Hosts' failure rates get a beta prior whose two parameters come from
-the mean and the spread of the rates over all hosts (moments, one row); a host is dropped if its posterior mean lies more
-than two posterior deviations above ``worst_rate``. The join of host verdicts to documents is salted, so a host with a
-third of all documents is spread over ``salts`` partitions.
+the mean and the spread of the rates over all hosts (moments, one row). A host is dropped if it is clearly worse than the
+corpus: the odds of its rate, two posterior deviations under the posterior mean, are over ``worst_odds`` times the odds of
+the prior's mean. Hosts of one quality differ by chance alone, so among them none goes. Verdicts go back to documents by a
+broadcast where the table of hosts is small (both its rows and its characters are counted first), else by a join salted on
+both sides, so a host with a third of all documents is spread over ``salts`` partitions.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from lumengrid.llm.common import let, materialize
 SEPARATORS = " \t\n\x0b\f\r"
 SYMBOLS = "[#*$%&|<>]"
 
+#: Hosts whose verdicts are sent to every task: 50,000 rows and 5,000,000 characters at most, both counted first.
+FEW_HOSTS = 50_000
+
 
 def words(text: Column) -> Column:
     trimmed = F.btrim(text, F.lit(SEPARATORS))
@@ -58,26 +63,31 @@ def measures(text: Column) -> Column:
     )
 
 
-def host_verdicts(figures: DataFrame, worst_rate: float = 0.5) -> DataFrame:
-    """host, n_docs, failures, rate (the posterior mean), dropped: one row a host. A null host gets no row."""
+def host_verdicts(figures: DataFrame, worst_odds: float = 3.0) -> tuple[DataFrame, bool]:
+    """(host, n_docs, failures, rate (the posterior mean), dropped: one row a host; whether they are few). A null host gets
+    no row."""
     hosts = figures.where("host is not null").groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("failures"))
     rate = F.col("failures") / F.col("n_docs")
-    m = hosts.agg(F.count("*").alias("k"), F.sum("failures").alias("f"), F.sum("n_docs").alias("n"), F.avg(rate).alias("mean"), F.var_samp(rate).alias("spread"), F.avg(1 / F.col("n_docs")).alias("inverse")).first()
+    sums = [F.count("*").alias("k"), F.sum(F.length("host")).alias("chars"), F.sum("failures").alias("f"), F.sum("n_docs").alias("n")]
+    m = hosts.agg(*sums, F.avg(rate).alias("mean"), F.var_samp(rate).alias("spread"), F.avg(1 / F.col("n_docs")).alias("inverse")).first()
     mean = min(max((m["f"] or 0) / (m["n"] or 1), 1e-4), 1 - 1e-4)
     between = max((m["spread"] or 0.0) - mean * (1 - mean) * (m["inverse"] or 0.0), 1e-6)
     strength = min(max(mean * (1 - mean) / between - 1, 2.0), 1000.0)
     a, b = F.lit(mean * strength) + F.col("failures"), F.lit((1 - mean) * strength) + F.col("n_docs") - F.col("failures")
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.select("host", "n_docs", "failures", (a / (a + b)).alias("rate"), (a / (a + b) - 2 * deviation > worst_rate).alias("dropped"))
+    odds = worst_odds * mean / (1 - mean)
+    dropped = a / (a + b) - 2 * deviation > odds / (1 + odds)
+    return hosts.select("host", "n_docs", "failures", (a / (a + b)).alias("rate"), dropped.alias("dropped")), m["k"] <= FEW_HOSTS and (m["chars"] or 0) <= 100 * FEW_HOSTS
 
 
-def judge(docs: DataFrame, host: Column | None = None, worst_rate: float = 0.5, salts: int = 16) -> DataFrame:
-    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed, kept for each row.
+def judge(docs: DataFrame, host: Column | None = None, worst_odds: float = 3.0, salts: int = 16) -> DataFrame:
+    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed, host_docs,
+    host_failures, host_dropped, kept for each row.
 
     ``docs``: doc_id, text, source; other columns are ignored. ``host`` is ``source`` unless given. Base rules: fewer than
     50 words, or more than half of the words in repeated windows. ``failed`` adds two rules that count only toward hosts:
     symbols over a tenth of the word characters, and half of the lines or more repeated. A null text has no words and
-    fails. A null host is never dropped. Repeated rows are judged alike; an empty table gives no rows.
+    fails. A null host counts 0 documents and is never dropped. Repeated rows are judged alike; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
@@ -86,7 +96,13 @@ def judge(docs: DataFrame, host: Column | None = None, worst_rate: float = 0.5,
     rows = rows.withColumn("base_failed", base)
     rows = rows.withColumn("failed", F.col("base_failed") | (10 * F.col("n_symbols") > F.col("word_chars")) | (2 * F.col("n_dup_lines") >= F.col("lines"))).drop("lines")
     figures = materialize(rows, "quality-figures")
-    bad = host_verdicts(figures, worst_rate).where("dropped").select(F.col("host").alias("bad_host"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("bad_salt"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    joined = figures.withColumn("salt", salt).join(bad, (F.col("host") == F.col("bad_host")) & (F.col("salt") == F.col("bad_salt")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("bad_host").isNull()).drop("salt", "bad_salt", "bad_host")
+    found, few = host_verdicts(figures, worst_odds)
+    verdicts = materialize(found.select("host", F.col("n_docs").alias("host_docs"), F.col("failures").alias("host_failures"), F.col("dropped").alias("host_dropped")), "quality-hosts")
+    if few:
+        joined = figures.join(F.broadcast(verdicts), "host", "left")
+    else:
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+        salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = figures.withColumn("salt", salt).join(salted, ["host", "salt"], "left")
+    filled = {"host_docs": F.coalesce("host_docs", F.lit(0).cast("long")), "host_failures": F.coalesce("host_failures", F.lit(0).cast("long")), "host_dropped": F.coalesce("host_dropped", F.lit(False))}
+    return joined.select(*figures.columns, *[c.alias(k) for k, c in filled.items()]).withColumn("kept", ~F.col("base_failed") & ~F.col("host_dropped"))

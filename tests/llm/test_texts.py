@@ -225,6 +225,21 @@ def test_bad_hosts_go_and_small_ones_are_shrunk(spark):
     assert not got[1000] and not got[1010] and got[2001] and got[1]
 
 
+def test_host_verdicts_fire_on_planted_hosts_alone(spark, monkeypatch):
+    """At sf0.01 no source is worse than chance allows, so none goes; a planted one takes its good documents with it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert quality_rules.judge(docs).where("host_dropped").count() == 0
+    bad = F.when(F.col("doc_id") % 25 == 3, F.lit("farm")).otherwise(F.col("source"))
+    spoiled = docs.withColumn("source", bad).withColumn("text", F.when((F.col("source") == "farm") & (F.col("doc_id") % 4 > 0), "buy now").otherwise(F.col("text")))
+    figures = ["doc_id", "host_docs", "host_failures", "host_dropped", "kept"]
+    got = sorted(quality_rules.judge(spoiled).where("host = 'farm' or not host_dropped").select("host", "base_failed", *figures).collect())
+    farm = [r for r in got if r.host == "farm"]
+    assert len(got) == 1000 and len(farm) == 40 and all(r.host_dropped and not r.kept and r.host_docs == 40 for r in farm)
+    assert sum(not r.base_failed for r in farm) > 0 and all(r.kept != r.base_failed for r in got if r.host != "farm")
+    monkeypatch.setattr(quality_rules, "FEW_HOSTS", 0)  # the salted join gives the same rows
+    assert sorted(quality_rules.judge(spoiled).select("host", "base_failed", *figures).collect()) == got
+
+
 def test_cotraining_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     fit = labels.where("doc_id % 2 = 0")
