@@ -1,6 +1,7 @@
 """Packing, languages, chat, secrets, quality, URLs, mixing: round trips, brute force and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -182,6 +183,70 @@ def test_battery_finds_random_strings_and_spares_names(spark):
     assert all(re.fullmatch("random:4:[0-9]+", r.s) for r in found if r.n)
 
 
+def tail(z):
+    p = min(math.exp(-0.717 * abs(z) - 0.416 * z * z), 1.0) / 2
+    return max(p if z >= 0 else 1 - p, 1e-290)
+
+
+def battery(t, alphabet):
+    """The three tests in numpy."""
+    n, size, x = len(t), len(alphabet), np.array([alphabet.index(c) for c in t], float)
+    chi = sum((t.count(c) - n / size) ** 2 / (n / size) for c in alphabet)
+    d, high = x - x.mean(), x >= size / 2
+    serial = ((d[1:] * d[:-1]).sum() / max((d * d).sum(), 1e-9) + 1 / n) * n**0.5
+    expected = 2 * high.sum() * (n - high.sum()) / n
+    runs = ((high[1:] != high[:-1]).sum() - expected) / max(expected * (expected - 1) / (n - 1), 0.25) ** 0.5
+    return 3 * min(tail((chi - size + 1) / (2 * size - 2) ** 0.5), 2 * tail(abs(serial)), 2 * tail(abs(runs)))
+
+
+def text_p(t):
+    n, u = len(t), t.replace("-", "+").replace("_", "/")
+    pairs = sum(u.count(c) * (u.count(c) - 1) for c in set(u)) / (n * (n - 1))
+    kind = ["0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else " " for c in t]
+    mixed = (sum(a != b for a, b in zip(kind, kind[1:], strict=False)) - 0.15 * (n - 1)) / (0.15 * 0.85 * (n - 1)) ** 0.5
+    return tail(((0.065 - pairs) / (0.12 / n**0.5) + mixed) / 2**0.5)
+
+
+def tenths_of(t):
+    alphabet = next((a for a, p in secrets.ENCODINGS if re.match(p, t)), None)
+    p = battery(t, alphabet) if alphabet else battery(t.replace("-", "+").replace("_", "/"), secrets.BASE64)
+    return max(math.floor(min(-math.log10(text_p(t) / min(len(t) / 32, 4)) * 10, 3000)), 0) if p >= 0.001 else -1
+
+
+def test_battery_equals_brute_force(spark):
+    rng = random.Random(14)
+    alphabets = [a for a, _ in secrets.ENCODINGS] + [secrets.BASE64, secrets.BASE64 + "-_", "ab", "aB3", "erstnichtheit"]
+    texts = ["".join(rng.choices(a, k=rng.randint(20, 150))) for a in alphabets for _ in range(25)] + ["z" * 40, "ab" * 30, "A1" * 20]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(secrets.evidence(F.col("t")).alias("e")).collect()
+    assert [(t, r.e) for t, r in zip(texts, got, strict=True) if abs(r.e - tenths_of(t)) > (0 if r.e < 0 else 1)] == []
+
+
+def test_discoveries_equal_weighted_benjamini_hochberg(spark):
+    """What the patterns cover is no candidate; the rest are found as by the rule with weights of mean 1."""
+    rng = random.Random(15)
+    words = ["einheit", "keiten", "lich", "berg", "tion", "Thing", "some", "path/", "v2", "_x"]
+    texts = ["".join(rng.choices(words, k=9)) for _ in range(150)] + ["".join(rng.choices(secrets.BASE64, k=rng.choice([24, 32, 44, 64]))) for _ in range(25)]
+    covered = ["token = " + "".join(rng.choices(secrets.BASE64[:62], k=40)) for _ in range(400)]
+    rows = [(i, f"a {t} b") for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(covered)]
+    weights = [min(len(t) / 32, 4) for t in texts]
+    mean = sum(weights) / len(weights)
+    p = [text_p(t) * mean / w if tenths_of(t) >= 0 else 1.0 for t, w in zip(texts, weights, strict=True)]
+    ranked = sorted(p)
+    limit = max([x for k, x in enumerate(ranked, 1) if len(p) * x <= 0.001 * k], default=-1)
+    got = {r.doc_id: r.s for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", secrets.said(F.col("spans")).alias("s")).collect()}
+    found, want = {i for i in range(len(texts)) if got[i]}, {i for i, x in enumerate(p) if x <= limit}
+    assert len(want) >= 20 and found <= want and len(want - found) <= 1  # tenths round down
+    assert all(got[1000 + i].startswith("assign:") and "random" not in got[1000 + i] for i in range(len(covered)))
+
+
+def test_random_span_that_holds_a_pattern_is_added(spark):
+    rng = random.Random(16)
+    key = "".join(rng.choices(secrets.BASE64[:62], k=150)) + "Z4f8a1c9e3b7d2065e8f1a3c7Z" + "".join(rng.choices(secrets.BASE64[:62], k=150))
+    df = spark.createDataFrame([(1, f"see {key} end"), (2, "plain words")], "doc_id long, text string")
+    (row,) = secrets.scan(df, false_share=1.0).where("doc_id = 1").select(secrets.said(F.col("base")).alias("b"), secrets.said(F.col("spans")).alias("s"), secrets.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
+    assert (row.b, row.s, row.t) == ("hex:155:179", f"random:4:{4 + len(key)},hex:155:179", "see [SECRET] end")
+
+
 def test_redaction(spark):
     rows = [(1, "é secret: abcdef0123456789abcdef0123 z"), (2, "plain"), (3, None)]
     df = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))
