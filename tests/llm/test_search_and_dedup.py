@@ -46,11 +46,20 @@ def test_nearest_leaves_out_what_has_no_direction(spark):
 
 
 def test_nearest_of_repeated_rows_and_of_nothing(spark):
-    rows = [(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0])]
-    assert nearest(spark, rows, k=5) == [(0, 1, 1, 2.0)]
+    rows = [(0, [1.0]), (0, [0.5]), (1, [2.0]), (1, [2.0]), (1, [3.0])]  # every row is a candidate; the least vector asks
+    assert nearest(spark, rows, k=5) == [(0, 1, 1, 1.5), (0, 2, 1, 1.0), (0, 3, 1, 1.0)]
     assert nearest(spark, [], k=5) == [] and nearest(spark, [(1, [1.0])], k=5) == []
 
 
+def test_nearest_of_huge_and_tiny_doubles(spark):
+    """Norms and bounds overflow from 1e154 on, and squares vanish under 1e-162; no candidate may go with them."""
+    rows = [(0, [1e160, 1e100]), (20, [1e-170, 1e-170]), (40, [2.0, -1.0]), (1, [1e160, 1.0]), (2, [-1e160, 2.0]), (3, [1e-170, 3e-170]), (4, [1.0, 1.0])]
+    rows += [(i, [float(i), 1e150]) for i in range(100, 140) if i % 20]
+    assert nearest(spark, rows, "double", k=6, block_rows=8) == brute_nearest(rows, 6)
+    rows = [(0, [1e200, -1e200]), (1, [1e200, 1e200]), (2, [1e200, -1e200]), (3, [1.0, 0.0])]
+    assert nearest(spark, rows, "double", k=6) == [(0, 1, 2, float("inf")), (0, 2, 3, 1e200)]
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(2)
     q, x = rng.normal(size=(50, 1500)) * 10.0 ** rng.integers(-3, 4, (50, 1)), rng.normal(size=(60, 1500))
