@@ -4,9 +4,11 @@ Each task tokenizes its documents and cuts whole windows off the front of long o
 What remains of each document (under one window) waits in a pool that keeps only counts by length and the pieces. When
 the pool is full, windows are filled from it: the longest piece first, then a subset-sum over the multiset of remaining
 lengths on bitsets (an int whose bit s says that a sum of s can be reached; the counts go in as 1, 2, 4, ... copies),
-read at the reachable sum closest to capacity and traced back to counts by length. The same pattern is used again while
-its lengths last, so many documents of one length cost one search. A last window that would need padding is cut at powers
-of two, which are not padded. There is no shuffle, a pool has a fixed size, and a task that is run again gives the same rows.
+read at the reachable sum closest to capacity and traced back to counts by length. A pattern without slack is used again
+while its lengths last, so many documents of one length cost one search. Where a window keeps some slack, every piece left
+is longer than it (else the search had taken one more), so the longest is cut to fit and its rest goes back to the pool:
+the slack found decides how many documents are cut. Only the last window of a task can stay short; it is cut at powers of
+two, which are not padded. There is no shuffle, a pool has a fixed size, and a task that is run again gives the same rows.
 """
 
 from __future__ import annotations
@@ -121,18 +123,29 @@ class Pool:
         self.pieces.setdefault(length, deque()).append(piece)
         self.size += 1
 
-    def windows(self, keep: int) -> Iterator[list]:
-        """Windows (lists of pieces) until ``keep`` pieces are left at most."""
+    def _take(self, length: int):
+        piece = self.pieces[length].popleft()
+        self.size -= 1
+        if not self.pieces[length]:
+            del self.pieces[length]
+        return piece
+
+    def windows(self, keep: int, cut) -> Iterator[list]:
+        """Windows (lists of pieces) until ``keep`` pieces are left at most. ``cut`` takes a piece and a length, and gives its
+        front of that length and its rest."""
         while self.size > keep:
             chosen, total = fill({k: len(v) for k, v in self.pieces.items()}, self.capacity)
-            for _ in range(min(len(self.pieces[k]) // n for k, n in chosen.items())):
+            slack = self.capacity - total
+            for _ in range(1 if slack else min(len(self.pieces[k]) // n for k, n in chosen.items())):
                 if self.size <= keep:
                     break
-                yield [self.pieces[k].popleft() for k, n in chosen.items() for _ in range(n)]
-                self.size -= sum(chosen.values())
-            for k in chosen:
-                if not self.pieces[k]:
-                    del self.pieces[k]
+                window = [self._take(k) for k, n in chosen.items() for _ in range(n)]
+                if slack and self.size:
+                    longest = max(self.pieces)
+                    front, rest = cut(self._take(longest), slack)
+                    window.append(front)
+                    self.add(longest - slack, rest)
+                yield window
 
 
 def unpadded(length: int, capacity: int) -> list[int]:
@@ -167,14 +180,19 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             rows.append((doc, start, len(ids), ids.tobytes(), tokens, number, offset))
             held += ids.nbytes
 
+        def cut(piece: tuple, length: int) -> tuple[tuple, tuple]:
+            doc, start, ids, tokens = piece
+            return (doc, start, ids[:length], tokens), (doc, start + length, ids[length:], tokens)
+
         def close(window: list) -> None:
             nonlocal number
             sizes = unpadded(sum(len(p[2]) for p in window), capacity)
             room, offset = sizes.pop(0), 0
-            for doc, start, ids, tokens in window:
-                while len(ids):
-                    put(doc, start, part := ids[:room - offset], tokens, offset)
-                    start, ids, offset = start + len(part), ids[len(part) :], offset + len(part)
+            for piece in window:
+                while len(piece[2]):
+                    (doc, start, ids, tokens), piece = cut(piece, room - offset)
+                    put(doc, start, ids, tokens, offset)
+                    offset += len(ids)
                     if offset == room:
                         number, offset, room = number + 1, 0, sizes.pop(0) if sizes else 0
 
@@ -190,11 +208,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
                     if whole < len(ids):
                         waiting.add(len(ids) - whole, (doc, whole, ids[whole:], len(ids)))
                 if waiting.size >= waiting.full:
-                    for window in waiting.windows(waiting.full // 2):
+                    for window in waiting.windows(waiting.full // 2, cut):
                         close(window)
                 if held > 4_000_000:
                     yield flush()
-        for window in waiting.windows(0):
+        for window in waiting.windows(0, cut):
             close(window)
             if held > 4_000_000:
                 yield flush()

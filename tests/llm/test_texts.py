@@ -38,6 +38,55 @@ def test_fill_is_the_best_subset(counts, capacity):
     assert all(n <= counts[k] for k, n in chosen.items()) and max(counts) in chosen
 
 
+def windows_of(pool, lengths, keep=0):
+    """All windows of a pool of (name, start, length) pieces, each as the pieces it holds."""
+    for k, n in enumerate(lengths):
+        pool.add(n, (k, 0, n))
+    return list(pool.windows(keep, lambda p, n: ((p[0], p[1], n), (p[0], p[1] + n, p[2] - n))))
+
+
+def first_fit_cuts(lengths, capacity):
+    """Pieces over documents where windows are filled in order of decreasing length, first fit, and slack by cutting."""
+    left, cuts = sorted(lengths, reverse=True), 0
+    while left:
+        room, rest = capacity, []
+        for n in left:
+            if n <= room:
+                room -= n
+            else:
+                rest.append(n)
+        if room and rest:
+            rest = sorted([rest[0] - room, *rest[1:]], reverse=True)
+            cuts += 1
+        left = rest
+    return cuts
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 63), min_size=1, max_size=80))
+def test_windows_are_full_but_the_last(lengths):
+    found = windows_of(packing.Pool(64, 10), lengths)
+    sizes = [sum(p[2] for p in w) for w in found]
+    assert all(x == 64 for x in sizes[:-1]) and sum(sizes) == sum(lengths)
+    for k, n in enumerate(lengths):
+        at = 0
+        for _, start, size in sorted(p for w in found for p in w if p[0] == k):
+            assert start == at
+            at += size
+        assert at == n
+
+
+def test_least_slack_cuts_fewer_documents_than_first_fit():
+    """Lengths that seldom add up by chance: the search finds sums without slack that first fit passes over."""
+    rng = random.Random(21)
+    short = [min(2047, int(rng.lognormvariate(5.5, 1)) + 1) for _ in range(600)]
+    for lengths, most in ((short, 0.3), ([rng.randint(300, 700) for _ in range(600)], 0.3), ([rng.randint(600, 760) for _ in range(600)], 0.5), ([rng.randint(1, 2047) for _ in range(600)], 1.1)):
+        found = windows_of(packing.Pool(2048, 600), lengths)
+        cuts = sum(len(w) for w in found) - len(lengths)
+        assert sum(sum(p[2] for p in w) < 2048 for w in found) <= 1
+        assert cuts < most * first_fit_cuts(lengths, 2048), (cuts, first_fit_cuts(lengths, 2048))
+
+
 def pack(spark, rows, **more):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("clash"))
     return packing.pack(df, token_path(), **more).collect()
