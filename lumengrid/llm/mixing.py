@@ -58,12 +58,17 @@ def leaf_budgets(leaves: DataFrame, budget: float, weights: dict[str, Column], e
     return leaves.join(nodes, LEVELS).withColumn("budget", F.floor(F.col("budget") + 1e-6).cast("long"))
 
 
-def _spread(leaves: DataFrame, rows: DataFrame, count: int, salts: int = 32) -> DataFrame:
+#: Columns of our own inside ``mix``; they carry this mark, and columns of ``docs`` whose names begin with it are set aside.
+MARK = "__mix_"
+
+
+def _spread(leaves: DataFrame, rows: DataFrame, keys: list[str], row: Column, count: int, salts: int = 32) -> DataFrame:
     """rows joined to their leaf: every task gets the leaves if they are few; else by salted keys, so no leaf is hot."""
     if count <= FEW_LEAVES:
-        return rows.join(F.broadcast(leaves), LEVELS)
-    salted = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, [*LEVELS, "salt"]).drop("salt")
+        return rows.join(F.broadcast(leaves), keys)
+    salt = f"{MARK}salt"
+    salted = leaves.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(row), F.lit(salts)).cast("int")).join(salted, [*keys, salt]).drop(salt)
 
 
 def place(seed: int, epoch: Column, doc_id: Column) -> Column:
@@ -73,14 +78,17 @@ def place(seed: int, epoch: Column, doc_id: Column) -> Column:
 def mix(docs: DataFrame, domain: Column, tokens: Column, weights: dict[str, Column], budget_share: float = 0.8, epochs: int = 2, seed: int = 17, bucket_rows: int = 4096) -> DataFrame:
     """``docs`` with domain, language, origin, tokens, copies (columns of these names are replaced): how often each is drawn.
 
-    ``docs``: doc_id, lang, source and what ``domain`` and ``tokens`` read. The budget is ``budget_share`` of all tokens.
-    Null domains, languages and sources make nodes of their own (named by the empty string). Rows that repeat a doc_id in
-    a leaf share one place, so they are drawn or left together. Documents without tokens cost nothing and are drawn with
-    their place. An empty table gives no rows.
+    ``docs``: doc_id, lang, source and what ``domain`` and ``tokens`` read, which may be columns named like the result's;
+    other columns are carried along whatever their names. The budget is ``budget_share`` of all tokens. Null domains,
+    languages and sources make nodes of their own (named by the empty string). Rows that repeat a doc_id in a leaf share one
+    place, so they are drawn or left together. Documents without tokens cost nothing and are drawn with their place. An
+    empty table gives no rows.
     """
+    result = [*LEVELS, "tokens", "copies"]
+    carried = [c for c in docs.columns if c not in result]
     keys = {"domain": domain, "language": F.col("lang"), "origin": F.col("source")}
-    named = {k: F.coalesce(c.cast("string"), F.lit("")) for k, c in keys.items()}
-    base = materialize(docs.select("doc_id", *[c.alias(k) for k, c in named.items()], tokens.cast("long").alias("tokens")), "mixing-base")
+    named = [F.coalesce(c.cast("string"), F.lit("")) for c in keys.values()]
+    base = materialize(docs.select("doc_id", *[c.alias(k) for k, c in zip(keys, named, strict=True)], tokens.cast("long").alias("tokens")), "mixing-base")
     leaves = materialize(base.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "mixing-leaves")
     total = leaves.agg(F.count("*").alias("leaves"), F.sum("tokens").alias("tokens"), F.max("n").alias("largest")).first()
     digits = max(1, math.ceil(math.log(max(1, (total["largest"] or 1) / bucket_rows), 16)))
@@ -88,21 +96,30 @@ def mix(docs: DataFrame, domain: Column, tokens: Column, weights: dict[str, Colu
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(epochs)).cast("long")
     plan = budgets.select(*LEVELS, whole.alias("whole"), (F.col("budget") - whole * F.col("tokens")).alias("rest"))
     plan = materialize(plan, "mixing-plan")
-    placed = _spread(plan, base, total["leaves"]).withColumn("place", place(seed, F.col("whole"), F.col("doc_id"))).withColumn("bucket", F.substring("place", 1, digits))
+    by_doc = F.col("doc_id")
+    placed = _spread(plan, base, LEVELS, by_doc, total["leaves"]).withColumn("place", place(seed, F.col("whole"), by_doc)).withColumn("bucket", F.substring("place", 1, digits))
     sums = placed.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("tokens").alias("tokens"))
     running = F.sum("tokens").over(W.partitionBy(*LEVELS).orderBy("bucket"))
     cut = sums.withColumn("upto", running).where("upto > rest")
     cut = cut.groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("before"))).alias("c")).select(*LEVELS, "c.bucket", "c.before")
     cut = materialize(cut, "mixing-cut")
-    at_cut = _spread(cut.withColumnRenamed("bucket", "at"), placed, total["leaves"]).where("bucket = at")
+    at_cut = _spread(cut.withColumnRenamed("bucket", "at"), placed, LEVELS, by_doc, total["leaves"]).where("bucket = at")
     inside = F.sum("tokens").over(W.partitionBy(*LEVELS).orderBy("place", "doc_id"))
     first_out = at_cut.withColumn("upto", F.col("before") + inside).where("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("place", "doc_id")).alias("stop"))
-    stops = materialize(plan.join(first_out, LEVELS, "left").select(*LEVELS, "whole", F.col("stop.place").alias("stop_place"), F.col("stop.doc_id").alias("stop_id"), (F.col("rest") > 0).alias("partial")), "mixing-stops")
-    rows = docs.drop("domain", "language", "origin", "tokens", "copies").withColumns(named | {"tokens": tokens.cast("long")})
-    spot = place(seed, F.col("whole"), F.col("doc_id"))
-    drawn = F.col("partial") & (F.col("stop_place").isNull() | (spot < F.col("stop_place")) | ((spot == F.col("stop_place")) & F.coalesce(F.col("doc_id") < F.col("stop_id"), F.lit(False))))
-    out = _spread(stops, rows, total["leaves"]).withColumn("copies", F.col("whole") + drawn.cast("long"))
-    return out.select(*[c for c in docs.columns if c not in ("domain", "language", "origin", "tokens", "copies")], *LEVELS, "tokens", "copies")
+    stops = plan.join(first_out, LEVELS, "left").select(*LEVELS, "whole", F.col("stop.place").alias("stop_place"), F.col("stop.doc_id").alias("stop_id"), (F.col("rest") > 0).alias("partial"))
+    stops = materialize(stops.select(*[F.col(c).alias(MARK + c) for c in stops.columns]), "mixing-stops")
+    leaf = [MARK + c for c in LEVELS]
+    # a column of docs whose name has our mark gets one more character until its turn in the result
+    aside = {c: f"{MARK}_{c}" for c in carried if c.lower().startswith(MARK)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in carried], *[c.alias(k) for c, k in zip(named, leaf, strict=True)], tokens.cast("long").alias(f"{MARK}tokens"))
+    stop_place, stop_id = F.col(f"{MARK}stop_place"), F.col(f"{MARK}stop_id")
+    spot = place(seed, F.col(f"{MARK}whole"), by_doc)
+    before_stop = stop_place.isNull() | (spot < stop_place) | ((spot == stop_place) & F.coalesce(by_doc < stop_id, F.lit(False)))
+    copies = F.col(f"{MARK}whole") + (F.col(f"{MARK}partial") & before_stop).cast("long")
+    out = _spread(stops, rows, leaf, by_doc, total["leaves"])
+    return out.select(
+        *[F.col(f"`{aside.get(c, c)}`").alias(c) for c in carried], *[F.col(MARK + c).alias(c) for c in LEVELS], F.col(f"{MARK}tokens").alias("tokens"), copies.alias("copies")
+    )
 
 
 # Production parameters of the query and of the pipeline: domains by a source's number, weights by domain and language.

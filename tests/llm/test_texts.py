@@ -448,6 +448,21 @@ def test_mixture_equals_brute_force(spark):
     assert mixing.mix_documents(df.limit(0)).count() == 0
 
 
+def test_mixture_of_columns_with_clashing_names(spark):
+    rng = random.Random(18)
+    rows = [(i, "w " * rng.randint(0, 50), rng.choice(["en", "de"]), rng.choice(["src0", "src1"]), 1) for i in range(80)]
+    df = spark.createDataFrame(rows, DOCS)
+    weights = {"domain": mixing.level_weight("domain", mixing.DOMAIN_WEIGHTS)}
+    want = sorted(map(tuple, mixing.mix(df, F.expr(mixing.DOMAIN_SQL), mixing.word_count(F.col("text")), weights).select("doc_id", "domain", "tokens", "copies").collect()))
+    named = df.withColumns({"domain": F.expr(mixing.DOMAIN_SQL), "tokens": mixing.word_count(F.col("text"))})
+    clash = ["whole", "partial", "rest", "stop_place", "stop_id", "bucket", "place", "salt", "budget", "__mix_whole", "__mix_tokens", "a.b"]
+    for c in clash:
+        named = named.withColumn(c, F.lit(c))
+    got = mixing.mix(named, F.col("domain"), F.col("tokens"), weights)
+    assert sorted(map(tuple, got.select("doc_id", "domain", "tokens", "copies").collect())) == want
+    assert {tuple(r) for r in got.select(*[f"`{c}`" for c in clash]).collect()} == {tuple(clash)}
+
+
 def test_mixture_with_salted_leaves_is_the_same(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
     one = sorted(map(tuple, mixing.mix_documents(docs).select("doc_id", "copies").collect()))
