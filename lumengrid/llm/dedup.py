@@ -5,14 +5,16 @@
    value of the first round that reaches it. Bins that are empty after as many rounds as there are bins take their least
    value over all shingles in one more round each, so every bin fills, and the share of equal bins concentrates around
    the Jaccard similarity. Large sets need few rounds.
-2. Documents with equal digests are one class, which its smallest doc_id stands for: copies cost no pairs.
+2. Rows with equal digests are one class, with a number of its own and the text of its smallest doc_id: copies cost no
+   pairs, and rows that repeat a doc_id with other texts are in classes of their own.
 3. Classes that share a band key are joined to that key's smallest class (a star, never all pairs), and the components of
    the stars are groups that no link can leave.
 4. Each group gets its members' texts and finds every link by exact intersection sizes. A group with more shingles than
    ``block_shingles`` (a member counts for 1000 at least) is dealt out in blocks: first each block by itself, with some
-   pivots of the group beside it, which makes most groups one component; then, in groups that are not, the members outside
-   the largest component meet all others, block by block. A task holds two blocks at most, and no pair of members that
-   could still add a link is left out.
+   pivots of the group beside it, which makes most groups one component. In groups that are not, the rest goes by band key:
+   only where the members of a key are in several components, those outside the largest one meet the others of the same
+   key, block by block. So a task holds two blocks at most, members of a long chain that share no key never meet, and no
+   pair of one key that could still add a link is left out.
 5. The components of confirmed links, joined back to all documents.
 
 With 40 bands of 8 rows, two sets at similarity 0.85 miss each other with probability 3e-6, at 0.9 with 2e-10.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import connected_components, materialize
+from lumengrid.llm.common import connected_components, discard, materialize
 from lumengrid.llm.wordhash import factors, mix, shingle_sets, whole_texts
 
 #: Members of a group of several blocks that every block sees in the first round.
@@ -53,7 +55,7 @@ def fast_sketch(shingles: np.ndarray, bins: int, seeds: np.ndarray) -> np.ndarra
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, digest (hex of the full set), keys (one long for each band)."""
+    """doc_id, h (a hash of the text), n_shingles, digest (hex of the full set), keys (one long for each band)."""
     bins = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,14 +71,20 @@ def signatures(docs: DataFrame, bands: int, rows: int, shingle: int) -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, len(sets)),
+                        batch.column(2).slice(i, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets], pa.string()),
                         pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys), pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "digest", "keys"],
+                    ["doc_id", "h", "n_shingles", "digest", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest string, keys array<long>")
+    return _own(docs).mapInArrow(run, "doc_id long, h long, n_shingles long, digest string, keys array<long>")
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
 
 def overlaps(sets: list[np.ndarray], dense_from: int = 16, width: int = 4096) -> np.ndarray:
@@ -130,7 +138,7 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
 
 
 def confirmed(members: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """members: cell (string), doc_id, text. Links (src, dst) that span the components of each cell."""
+    """members: cell (string), node, text. Links (src, dst) that span the components of each cell."""
     members = members.repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,52 +163,73 @@ def confirmed(members: DataFrame, percent: int, shingle: int) -> DataFrame:
     return members.mapInArrow(run, "src long, dst long")
 
 
-def _apart(large: DataFrame, links: DataFrame, block_shingles: int) -> DataFrame:
-    """Cells for what the first round left open in groups of several blocks: every member outside the group's largest
-    component with every other member. A group that is one component by now gives none."""
-    found = connected_components(links, "dedup-first").withColumnsRenamed({"node": "doc_id", "component": "label"})
-    labelled = materialize(large.select("doc_id", "component", "w").distinct().join(found, "doc_id", "left").select("doc_id", "component", "w", F.coalesce("label", "doc_id").alias("label")), "dedup-labels")
-    sizes = labelled.groupBy("component", "label").agg(F.sum("w").alias("w"))
-    open_groups = sizes.groupBy("component").agg(F.max_by("label", F.struct("w", "label")).alias("largest"), (F.sum("w") - F.max("w")).alias("rest")).where("rest > 0")
-    parts = open_groups.select("component", "largest", F.ceil(F.col("rest") / F.lit(block_shingles)).cast("int").alias("parts"))
-    place = labelled.join(parts, "component").select("doc_id", "parts", F.when(F.col("label") != F.col("largest"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), "parts").cast("int")).alias("part"))
-    rows = large.join(place, "doc_id")
-    here = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.concat_ws(":", "component", i, "block"))
-    there = F.when(F.col("part").isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(":", "component", "part", j)))
-    return rows.select(F.explode(F.array_union(here, there)).alias("cell"), "doc_id", "text")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands: int = 40, rows: int = 8, block_shingles: int = 1_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs`` (doc_id, text; other columns are ignored).
+def _hot(df: DataFrame, key: str) -> DataFrame:
+    """With a hash of ``key`` to join by: both sides of such a join are shuffled for it, so a hot key can be split."""
+    return df.withColumn("k", F.xxhash64(key))
+
+
+def _apart(large: DataFrame, keys: DataFrame, links: DataFrame, block_shingles: int) -> DataFrame:
+    """(cell, node): what the first round left open in groups of several blocks (large: node, w). Where a band key has members
+    of several components, those outside the key's largest one share a cell with every other member of the key. Keys with the
+    same members count once; a group that is one component by now gives none."""
+    found = connected_components(links, "dedup-first").withColumnsRenamed({"component": "label"})
+    labelled = materialize(large.join(found, "node", "left").select("node", "w", F.coalesce("label", "node").alias("label")), "dedup-labels")
+    inside = materialize(keys.join(labelled, "node"), "dedup-open")
+    several = inside.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.count("*").alias("n")).where("lo <> hi")
+    once = several.groupBy("who", "n").agg(F.min("key").alias("key")).select("key")
+    sizes = inside.groupBy("key", "label").agg(F.sum("w").alias("w")).join(once, "key")
+    plan = sizes.groupBy("key").agg(F.max_by("label", F.struct("w", "label")).alias("largest"), F.sum("w").alias("all"), (F.sum("w") - F.max("w")).alias("rest"))
+    plan = plan.select(F.col("key").alias("same"), "largest", *[F.ceil(F.col(c) / F.lit(block_shingles)).cast("int").alias(a) for c, a in (("all", "blocks"), ("rest", "parts"))])
+    a, b = _hot(inside, "key"), _hot(plan, "same")
+    rows = a.join(b, (a["k"] == b["k"]) & (a["key"] == b["same"]))
+    part = F.when(F.col("label") != F.col("largest"), F.pmod(F.xxhash64(F.lit(1), "node"), "parts"))
+    rows = rows.select("key", "node", "parts", "blocks", part.alias("part"), F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    here = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.concat_ws(":", "key", i, "block"))
+    there = F.when(F.col("part").isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(":", "key", "part", j)))
+    return rows.select(F.explode(F.array_union(here, there)).alias("cell"), "node")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands: int = 40, rows: int = 8, block_shingles: int = 250_000) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, text_hash: one row for each row of ``docs`` (doc_id, text; other columns are
+    ignored). (doc_id, text_hash) tells rows apart that repeat a doc_id with other texts; text_hash is xxhash64 of the text.
 
     Links hold between sets with 100 * intersection >= percent * union; ``component_id`` is the smallest doc_id reachable.
-    Null or wordless texts: an empty set, linked with nothing. Rows that repeat a doc_id give a row each. A null doc_id
-    takes part in no link: component_id null, kept true. An empty table gives an empty result.
+    Null or wordless texts: an empty set, linked with nothing. Rows that repeat a doc_id are documents of their own: each
+    gets a row and the component of its own text. A null doc_id takes part in no link: component_id null, kept true. An
+    empty table gives an empty result.
     """
     sig = materialize(signatures(docs, bands, rows, shingle), "dedup-signatures")
-    classes = sig.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    classes = materialize(classes, "dedup-classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("own"))
-    keys = sig.join(reps, "doc_id").where("digest = own").dropDuplicates(["doc_id"]).select("doc_id", F.explode("keys").alias("key"))
-    keys = materialize(keys, "dedup-keys")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").select(F.xxhash64("key").alias("k"), F.col("key").alias("same"), "pivot")
-    hashed = keys.withColumn("k", F.xxhash64("key"))  # a shuffle on both sides of the join, so a hot key can be split
-    stars = hashed.join(shared, (hashed["k"] == shared["k"]) & (hashed["key"] == shared["same"])).where("doc_id <> pivot").select(F.col("doc_id").alias("src"), F.col("pivot").alias("dst"))
+    known = sig.where("digest is not null and doc_id is not null")
+    classes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    # a class's number is fixed when it is written, and no two are alike
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("least.doc_id").alias("rep"), F.col("least.h").alias("h"), "n", "keys"), "dedup-classes")
+    keys = classes.select("node", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select(F.col("key").alias("same"), "pivot")
+    a, b = _hot(keys, "key"), _hot(shared, "same")
+    stars = a.join(b, (a["k"] == b["k"]) & (a["key"] == b["same"])).where("node <> pivot").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
     groups = materialize(connected_components(stars, "dedup-groups"), "dedup-groups")
-    weighed = groups.join(classes.select(F.col("rep").alias("node"), "n").groupBy("node").agg(F.greatest(F.max("n"), F.lit(1000)).alias("w")), "node")
+    weighed = groups.join(classes.select("node", "rep", "h", F.greatest("n", F.lit(1000)).alias("w")), "node")
     pivots = F.array_distinct(F.array("component", *[F.min_by("node", F.xxhash64(F.lit(i), "node")) for i in range(PIVOTS)]))
-    total = weighed.groupBy("component").agg(F.ceil(F.sum("w") / F.lit(block_shingles)).cast("int").alias("blocks"), pivots.alias("pivots"))
-    dealt = weighed.join(total, "component").select(F.col("node").alias("doc_id"), "component", "w", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.array_contains("pivots", F.col("node")).alias("pivot"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = materialize(own.join(dealt, "doc_id"), "dedup-members")
+    total = weighed.groupBy("component").agg(F.ceil(F.sum("w") / F.lit(block_shingles)).cast("int").alias("blocks"), pivots.alias("pivots")).withColumnRenamed("component", "same")
+    a, b = _hot(weighed, "component"), _hot(total, "same")
+    dealt = a.join(b, (a["k"] == b["k"]) & (a["component"] == b["same"])).select("node", "rep", "h", "component", "w", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.array_contains("pivots", F.col("node")).alias("pivot"))
+    members = _own(docs).withColumnRenamed("doc_id", "rep").join(dealt, ["rep", "h"]).drop("rep", "h")
+    if known.groupBy("doc_id", "h").count().where("count > 1").limit(1).count():
+        members = members.dropDuplicates(["node"])  # rows that repeat as they are
+    members = materialize(members, "dedup-members")
     blocks = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    cells = members.select(F.explode(blocks).alias("j"), "component", "doc_id", "text").select(F.concat_ws(":", "component", "j").alias("cell"), "doc_id", "text")
+    cells = members.select(F.explode(blocks).alias("j"), "component", "node", "text").select(F.concat_ws(":", "component", "j").alias("cell"), "node", "text")
     links = materialize(confirmed(cells, percent, shingle), "dedup-links")
     large = members.where("blocks > 1")
     if large.limit(1).count():
-        links = links.unionByName(materialize(confirmed(_apart(large, links, block_shingles), percent, shingle), "dedup-links"))
-    found = connected_components(links, "dedup-found")
-    named = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("root"))
-    out = sig.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+        open_cells = _apart(large.select("node", "w"), keys, links, block_shingles).join(large.select("node", "text"), "node").select("cell", "node", "text")
+        links = links.unionByName(materialize(confirmed(open_cells, percent, shingle), "dedup-links"))
+    discard(members, groups)
+    found = materialize(connected_components(links, "dedup-found"), "dedup-found")
+    low = found.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("root")).withColumnRenamed("component", "same")
+    a, b = _hot(found, "component"), _hot(low, "same")
+    rooted = a.join(b, (a["k"] == b["k"]) & (a["component"] == b["same"])).select("node", "root")
+    named = classes.join(rooted, "node", "left").select("digest", F.coalesce("root", "rep").alias("root"))
+    out = sig.select("doc_id", "n_shingles", "digest", "h").join(named, "digest", "left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"), F.col("h").alias("text_hash"))

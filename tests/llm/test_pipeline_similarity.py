@@ -33,3 +33,10 @@ def test_stage_links_from_eighty_percent(spark):
     kept = {r.doc_id for r in pipeline.keep_one_of_each_group(spark, df, "").collect()}
     assert kept == brute_kept(rows, 80) and kept != brute_kept(rows, 85)
     assert {r.doc_id for r in dedup.near_duplicates(df).where("kept").collect()} == brute_kept(rows, 85)
+
+
+def test_stage_keeps_a_text_whose_id_repeats_with_a_copy(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    df = spark.createDataFrame([(3, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (7, None, "en", "s", 1), (None, a, "en", "s", 1)], SCHEMA)
+    kept = sorted((r.doc_id or 0, r.text or "") for r in pipeline.keep_one_of_each_group(spark, df, "").collect())
+    assert kept == sorted([(3, a), (5, b), (7, ""), (0, a)])

@@ -124,6 +124,22 @@ def test_near_duplicates_of_nothing_and_of_odd_ids(spark):
     assert got == {(None, None, True): 1, (3, 3, True): 2, (9, 3, False): 1}
 
 
+def test_ids_that_repeat_with_other_texts_lose_no_link(spark):
+    a, b = " ".join(f"a{k}" for k in range(90)), " ".join(f"b{k}" for k in range(90))
+    rows = [(5, a), (5, b), (9, a + " x"), (10, b + " y"), (11, a + " z"), (5, b), (5, b)]
+    assert components(spark, rows) == sorted([(5, 86, 5, True)] * 4 + [(9, 87, 5, False), (10, 87, 5, False), (11, 87, 5, False)])
+
+
+@pytest.mark.parametrize("block_shingles", [10_000, 25_000, 250_000])
+def test_chains_of_a_common_passage_equal_brute_force(spark, block_shingles):
+    """Many texts share a passage and hang together by weak links only; some of them are copies with few edits."""
+    rng = np.random.default_rng(6)
+    passage = [f"p{k}" for k in range(100)]
+    rows = [(i, " ".join(passage + [f"t{i}w{k}" for k in range(int(rng.integers(5, 60)))])) for i in range(150)]
+    rows += [(200 + i, edited(rng, rows[int(rng.integers(0, 150))][1].split(" "), int(rng.integers(0, 4)))) for i in range(150)]
+    assert components(spark, rows, block_shingles=block_shingles) == brute_components(rows)
+
+
 def test_sketches_fill_and_concentrate():
     rng = np.random.default_rng(4)
     seeds = wordhash.factors(640, 5)
