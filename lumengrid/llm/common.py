@@ -39,6 +39,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name`` with as many underscores in front as no column of ``taken`` has (names are compared without case)."""
+    while name.lower() in [c.lower() for c in taken]:
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(x)`` with ``x`` bound to ``value``, which is thus computed once, whatever the optimizer merges."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,8 +5,9 @@
 * The metadata view sees what describes a page without its wording: source and language (hashed), size, and layout (lines,
   capitals, symbols, digits, word length).
 
-Both are logistic models trained in numpy on the same bounded sample of labelled rows. In each round, each view gives the
-other its most confident pseudo-labels for a bounded pool of unlabelled rows, in the classes' proportions. On labelled rows
+Both are logistic models trained in numpy on the same bounded sample of labelled rows. In each round, a pool of unlabelled
+rows is filled up with ones not seen before, and each view gives the other its most confident pseudo-labels for it, in the
+classes' proportions; what the rounds see together is bounded. On labelled rows
 that neither saw, each view is calibrated (a logistic map of its score), and a logistic map of both calibrated views gives
 the score. Scoring is one pass over the whole texts without a shuffle: the models are folded into tables of 1,024 weights.
 """
@@ -27,6 +28,7 @@ from lumengrid.llm.wordhash import SEPARATOR, factors, whole_texts, words
 
 BUCKETS = 1024
 META = 64 + 16 + 8
+LONGEST = 3
 #: Calibrated log-odds of a view count up to this, so a view that errs with confidence can be outweighed.
 MOST = 5.0
 _MIX = (factors(8, 41) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
@@ -35,24 +37,36 @@ _KIND[0, 10] = _KIND[1, 65:91] = _KIND[3, 48:58] = True
 _KIND[2, [33, 35, 36, 37, 38, 42, 60, 62, 124]] = True
 
 
-def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text number) of each run of 1 to 3 bytes inside a text."""
+def runs(data: np.ndarray, offsets: np.ndarray, starts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text number) of each run of 1 to LONGEST bytes inside a text that begins at one of the first ``starts``
+    places (anywhere, unless given)."""
     doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     found, owner, h = [], [], np.zeros(len(data), np.uint32)
-    for n in range(1, 4):
+    for n in range(1, LONGEST + 1):
         if len(data) < n:
             break
         h = h[: len(data) - n + 1] * np.uint32(0x01000193) + (data[n - 1 :].astype(np.uint32) + np.uint32(1)) * _MIX[n]
         same = doc[: len(doc) - n + 1] == doc[n - 1 :]
         x = h ^ (h >> np.uint32(15))
         x = x * np.uint32(0x85EBCA6B)
-        found.append(((x ^ (x >> np.uint32(13))) % np.uint32(BUCKETS))[same])
-        owner.append(doc[: len(doc) - n + 1][same])
+        found.append(((x ^ (x >> np.uint32(13))) % np.uint32(BUCKETS))[:starts][same[:starts]])
+        owner.append(doc[: len(doc) - n + 1][:starts][same[:starts]])
     if not found:
         return np.zeros(0, np.uint32), np.zeros(0, np.int32)
     return np.concatenate(found), np.concatenate(owner)
 
 
+def parts(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``runs`` some at a time where a very long text comes alone: its parts overlap by LONGEST - 1 bytes, and each run counts
+    in the part it begins in."""
+    if len(data) <= most or len(offsets) > 2:
+        yield runs(data, offsets)
+        return
+    for a in range(0, len(data), most):
+        part = data[a : a + most + LONGEST - 1]
+        yield runs(part, np.array([0, len(part)]), most)
+
+
 def variety(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Two numbers for each text: the logarithm of distinct words per word (and 0.02), and the root of the share of words
     that repeat the word before."""
@@ -128,6 +142,7 @@ def cotrain(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds:
     z = [((v - m) / s).astype(np.float32) for v, (m, s) in zip(x, scales, strict=True)]
     u = [((v - m) / s).astype(np.float32) for v, (m, s) in zip(pool, scales, strict=True)]
     taught = [np.full(len(u[0]), -1), np.full(len(u[0]), -1)]  # pseudo-labels that each view has been given
+    fresh = np.array_split(np.arange(len(u[0])), max(rounds, 1))  # the pool is filled up with rows not seen before
     w: list = [None, None]
     prior = y[fit].mean()
     for r in range(rounds + 1):
@@ -136,10 +151,11 @@ def cotrain(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds:
             w[k] = logistic(np.vstack([z[k][fit], u[k][extra]]), np.r_[y[fit], taught[k][extra]], ridge=(3e-3, 1e-2)[k], start=w[k])
         if r == rounds or not len(u[0]):
             break
+        there = np.arange(len(u[0])) <= fresh[r].max(initial=-1)
         for k in (0, 1):
             p = _sigmoid(u[k] @ w[k][:-1] + w[k][-1])
-            free = np.flatnonzero(taught[1 - k] < 0)
-            many = max(1, int(share * len(u[0])))
+            free = np.flatnonzero((taught[1 - k] < 0) & there)
+            many = max(1, int(share * there.sum()))
             order = free[np.argsort(p[free], kind="stable")]
             low, high = order[: int(many * (1 - prior)) + 1], order[::-1][: int(many * prior) + 1]
             taught[1 - k][low[p[low] < 0.05]] = 0
@@ -169,8 +185,9 @@ def _sample(docs: DataFrame, ids: list[int]) -> tuple[list[int], list[np.ndarray
 
     if not ids:
         return [], [np.zeros((0, BUCKETS + 2), np.float32), np.zeros((0, META), np.float32)]
-    picked = docs.where(F.col("doc_id").isin(ids)).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")), "source", "lang")
-    rows = sorted({r.doc_id: r for r in picked.mapInArrow(run, "doc_id long, content binary, meta binary").limit(2 * len(ids)).collect()}.values())
+    row = F.struct(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
+    picked = docs.where(F.col("doc_id").isin(ids)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(row).alias("row")).select("doc_id", "row.*")
+    rows = sorted(picked.mapInArrow(run, "doc_id long, content binary, meta binary").collect())  # a row for each id
     return [r.doc_id for r in rows], [np.array([np.frombuffer(r.content, np.float32) for r in rows]), np.array([np.frombuffer(r.meta, np.float32) for r in rows])]
 
 
@@ -183,9 +200,7 @@ def score(docs: DataFrame, model: Views | None) -> DataFrame:
             for i, data, offsets in whole_texts(b.column(1), 1 << 18):
                 n = len(offsets) - 1
                 sums, seen = np.zeros(n), np.zeros(n)
-                for a in range(0, len(data), 1 << 20):  # a very long text comes alone and goes in parts; runs across a border do not count
-                    part, own = (data, offsets) if len(data) <= 1 << 20 else (data[a : a + (1 << 20)], np.array([0, min(1 << 20, len(data) - a)]))
-                    bucket, doc = runs(part, own)
+                for bucket, doc in parts(data, offsets):
                     sums += np.bincount(doc, table[bucket], n)
                     seen += np.bincount(doc, minlength=n)
                 content = sums / np.maximum(seen, 1) + variety(data, offsets) @ model.content[BUCKETS:-1] + model.content[-1]
@@ -200,12 +215,12 @@ def score(docs: DataFrame, model: Views | None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled_rows: int = 3000, pool_rows: int = 2000, keep_from: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled_rows: int = 3000, pool_rows: int = 4000, keep_from: float = 0.5) -> DataFrame:
     """doc_id, text_score, meta_score, score, kept (score >= keep_from): one row for each row of ``docs``.
 
     ``docs``: doc_id, text, source, lang; ``labels``: doc_id and ``label`` (1: good); other columns are ignored. Training
-    takes at most ``labelled_rows`` labelled and ``pool_rows`` other ids, those of the least hashes. A null text counts as
-    empty; null sources and languages are values of their own; an id with two labels counts as its larger one. Without
+    takes at most ``labelled_rows`` labelled and ``pool_rows`` other ids, those of the least hashes (of rows that repeat an
+    id, the least). A null text counts as empty; null sources and languages are values of their own; an id with two labels counts as its larger one. Without
     labels all scores are 0.5. Repeated rows score alike; an empty table gives no rows.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumengrid.llm.common import free_name
 from lumengrid.llm.wordhash import factors, whole_texts
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -52,14 +53,20 @@ class LanguageModel:
     unseen_limit: float
 
 
-def subwords(data: np.ndarray, offsets: np.ndarray, buckets: int, longest: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text number) of each run of 1 to ``longest`` bytes inside one text, ordered by run length, then place."""
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class, text number) of each byte that counts: letters lower-cased, and the first blank of a run."""
     c = _CLASS[data]
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
     doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    c, doc = c[keep].astype(np.uint32) + np.uint32(1), doc[keep]
+    return c[keep], doc[keep]
+
+
+def hashed(c: np.ndarray, doc: np.ndarray, buckets: int, longest: int = 4, starts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text number) of each run of 1 to ``longest`` folded bytes inside one text that begins at one of the first
+    ``starts`` places (anywhere, unless given), ordered by run length, then place."""
     found, owner = [], []
+    c = c.astype(np.uint32) + np.uint32(1)
     h = np.zeros(len(c), np.uint32)
     for n in range(1, longest + 1):
         if len(c) < n:
@@ -69,13 +76,25 @@ def subwords(data: np.ndarray, offsets: np.ndarray, buckets: int, longest: int =
         x = h ^ (h >> np.uint32(15))
         x = x * np.uint32(0x85EBCA6B)
         x = x ^ (x >> np.uint32(13))
-        found.append((x % np.uint32(buckets))[same])
-        owner.append(doc[: len(doc) - n + 1][same])
+        found.append((x % np.uint32(buckets))[:starts][same[:starts]])
+        owner.append(doc[: len(doc) - n + 1][:starts][same[:starts]])
     if not found:
         return np.zeros(0, np.uint32), np.zeros(0, np.int32)
     return np.concatenate(found), np.concatenate(owner)
 
 
+def subwords(data: np.ndarray, offsets: np.ndarray, buckets: int, longest: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text number) of each run of 1 to ``longest`` bytes inside one text, ordered by run length, then place."""
+    return hashed(*folded(data, offsets), buckets, longest)
+
+
+def parts(data: np.ndarray, offsets: np.ndarray, buckets: int, most: int = 1 << 20, longest: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``subwords`` some at a time: parts overlap by ``longest`` - 1 places, and each run counts in the part it begins in."""
+    c, doc = folded(data, offsets)
+    for a in range(0, max(len(c), 1), most):
+        yield hashed(c[a : a + most + longest - 1], doc[a : a + most + longest - 1], buckets, longest, most)
+
+
 def _quota(counts: list[int], rows: int) -> int:
     """Rows that each language may give, so that all give ``rows`` at most (LEAST_ROWS each in any case)."""
     left, quota = rows, rows
@@ -198,18 +217,17 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             n = batch.num_rows
             sums, seen, unseen = np.zeros((n, len(model.languages))), np.zeros(n), np.zeros(n)
             for i, data, offsets in whole_texts(batch.column(place), 1 << 18):
-                for a in range(0, len(data), 1 << 20):  # a very long text goes in parts, whose sums add up; runs across a border do not count
-                    part, own = (data, offsets) if len(data) <= 1 << 20 else (data[a : a + (1 << 20)], np.array([0, min(1 << 20, len(data) - a)]))
-                    fine, doc = subwords(part, own, buckets * FINER)
-                    unseen[i : i + len(own) - 1] += np.bincount(doc[~known[fine]], minlength=len(own) - 1)
+                m = len(offsets) - 1
+                for fine, doc in parts(data, offsets, buckets * FINER):  # a very long text comes alone and goes in parts, whose sums add up
+                    unseen[i : i + m] += np.bincount(doc[~known[fine]], minlength=m)
                     bucket = fine % np.uint32(buckets)
                     for k in range(len(model.languages)):
-                        sums[i : i + len(own) - 1, k] += np.bincount(doc, logits[:, k][bucket], len(own) - 1)
-                    seen[i : i + len(own) - 1] += np.bincount(doc, minlength=len(own) - 1)
+                        sums[i : i + m, k] += np.bincount(doc, logits[:, k][bucket], m)
+                    seen[i : i + m] += np.bincount(doc, minlength=m)
             p = _softmax((sums / np.maximum(seen, 1)[:, None] + model.bias) / model.temperature)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([model.languages[k] for k in p.argmax(axis=1)], pa.string()), pa.array(p.max(axis=1), pa.float64()), pa.array(unseen / np.maximum(seen, 1), pa.float64())],
-                [*batch.schema.names, "lang_pred", "score", "__unseen"],
+                [*batch.schema.names, "lang_pred", "score", share],
             )
 
     out = docs.drop("lang_pred", "score", "rejected")
@@ -217,14 +235,15 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     if model is None:
         return out.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": unknown})
     names = out.columns
-    marked = out.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in names], unknown.alias("__unknown"))
-    place, schema = names.index("text"), marked.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "__unseen": F.lit(0.0)}).schema
+    share, none = (free_name(names, n) for n in ("unseen", "unknown"))
+    marked = out.select(*[F.col("text").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in names], unknown.alias(none))
+    place, schema = names.index("text"), marked.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), share: F.lit(0.0)}).schema
     scored = marked.mapInArrow(run, schema)
     return scored.select(
-        *names,
-        F.when(F.col("__unknown"), "und").otherwise(F.col("lang_pred")).alias("lang_pred"),
-        F.when(F.col("__unknown"), 0.0).otherwise(F.col("score")).alias("score"),
-        (F.col("__unknown") | (F.col("score") < model.threshold) | (F.col("__unseen") > model.unseen_limit)).alias("rejected"),
+        *[F.col(f"`{c}`") for c in names],
+        F.when(F.col(none), "und").otherwise(F.col("lang_pred")).alias("lang_pred"),
+        F.when(F.col(none), 0.0).otherwise(F.col("score")).alias("score"),
+        (F.col(none) | (F.col("score") < model.threshold) | (F.col(share) > model.unseen_limit)).alias("rejected"),
     )
 
 

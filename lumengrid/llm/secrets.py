@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import let, materialize
+from lumengrid.llm.common import free_name, let, materialize
 
 # Fixed values of the contract: kinds in their order with their patterns.
 ASSIGN = "(?i:(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+))"
@@ -200,9 +200,7 @@ def scan(docs: DataFrame, false_share: float = 0.001, carry: list[str] | None =
     hold it, but is never inside one.
     """
     kept = [c for c in (docs.columns if carry is None else carry) if c not in ("base", "spans")]
-    name = "found"
-    while name in kept:
-        name += "_"
+    name = free_name(kept, "found")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     once = docs.select(*kept, let(base_spans(text), lambda b: F.struct(b.alias("base"), judged_candidates(text, b).alias("more"))).alias(name))
     once = materialize(once.select(*kept, F.col(f"{name}.base").alias("base"), F.col(f"{name}.more").alias(name)), "secrets-found")

@@ -46,7 +46,7 @@ def test_language_stage_keeps_clean_documents(stages):
 
 def test_dedup_stage_keeps_one_of_each_group(stages):
     before, after = stages["near_duplicates"]
-    want = {i for i, _, _, kept in brute_components([(r.doc_id, r.text) for r in before.collect()]) if kept}
+    want = {i for i, _, _, kept in brute_components([(r.doc_id, r.text) for r in before.collect()], 80) if kept}
     assert {r.doc_id for r in after.collect()} == want
 
 

@@ -76,7 +76,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = [(i, shingles(t)) for i, t in rows]
     parent = {i: i for i, _ in sets}
 
@@ -86,7 +86,7 @@ def brute_components(rows):
         return a
 
     for (a, x), (b, y) in itertools.combinations(sets, 2):
-        if x and y and 100 * len(x & y) >= 85 * len(x | y):
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
             lo, hi = sorted((find(a), find(b)))
             parent[hi] = lo
     return sorted((i, len(s), find(i), find(i) == i) for i, s in sets)

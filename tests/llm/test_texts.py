@@ -168,6 +168,36 @@ def test_language_ignores_label_and_source(spark):
     assert sorted(a) == sorted(b)
 
 
+def test_subwords_of_parts_are_those_of_the_whole():
+    rng = random.Random(19)
+    for _ in range(60):
+        texts = ["".join(rng.choices("abCé  12 日", k=rng.randint(0, 60))).encode() for _ in range(rng.choice([1, 1, 4]))]
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        whole = sorted(zip(*map(np.ndarray.tolist, langid.subwords(data, offsets, 997)), strict=True))
+        for most in (1, 2, 7, 30):
+            found = [x for part in langid.parts(data, offsets, 997, most) for x in zip(*map(np.ndarray.tolist, part), strict=True)]
+            assert sorted(found) == whole
+
+
+def test_scores_equal_brute_force(spark):
+    """The scoring pass, from the model's tables, text by text and run by run."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    model = langid.train(langid.training_sample(docs, F.col("lang"), 200, 500), buckets=1 << 12)
+    rows = [(i, t) for i, t in enumerate(["the and of", "Der  Und\tnicht 12", "é", "x" * 5000, "日本語 の text", "a\n\n b"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"unknown": F.lit(1), "unseen": F.lit(2), "__unknown": F.lit(3)})
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    for i, t in rows:
+        low = re.sub(r" +", " ", "".join(c.lower() if c.isascii() and c.isalpha() else " " if c.isascii() else c for c in t)).encode()
+        z, n = np.zeros(len(model.languages)), 0
+        for size in range(1, 5):
+            for a in range(len(low) - size + 1):
+                (bucket,) = langid.hashed(np.frombuffer(low[a : a + size], np.uint8), np.zeros(size, np.int32), 1 << 12 << 6, size)[0][-1:]
+                z, n = z + model.logits[bucket % (1 << 12)], n + 1
+        z = (z / n + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        assert (got[i].lang_pred, got[i].unknown, got[i].unseen) == (model.languages[int(p.argmax())], 1, 2) and abs(got[i].score - p.max() / p.sum()) < 1e-4
+
+
 # Chat
 
 texts_strategy = st.lists(st.sampled_from([*"ab\\<>/\n ", "<turn ", "</turn>", "\n</turn>\n", "\\<", "user", "é", "日"]), max_size=12).map("".join)
@@ -372,6 +402,38 @@ def test_cotraining_of_odd_rows(spark):
     assert cotrain.classify(docs.limit(0), labels).count() == 0
 
 
+def test_cotraining_scores_equal_brute_force(spark):
+    """The scoring pass over long texts in parts, against both views made text by text."""
+    rng = np.random.default_rng(20)
+    model = cotrain.Views(rng.normal(size=cotrain.BUCKETS + 3), rng.normal(size=cotrain.META + 1) / 9, np.array([0.5, 0.1]), np.array([0.4, -0.2]), np.array([0.7, 0.6, 0.05]))
+    rows = [(0, "", "en", "s", 1), (1, "one Two two 33!\n#x", "de", None, 1), (2, "ab c " * 420_000, None, "t", 1), (3, "é", "en", "s", 1)]
+    got = {r.doc_id: r for r in cotrain.score(spark.createDataFrame(rows, DOCS), model).collect()}
+    for i, t, lang, source, _ in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        offsets = np.array([0, len(data)])
+        counts = np.zeros(cotrain.BUCKETS)
+        short = t.encode() if len(t) < 1000 else None
+        if short is None:  # a text of one period: its runs from the counts of a whole number of periods
+            counts = np.bincount(cotrain.runs(data, offsets)[0], minlength=cotrain.BUCKETS)
+        else:
+            for n in range(1, 4):
+                for a in range(len(short) - n + 1):
+                    counts[cotrain.runs(np.frombuffer(short[a : a + n], np.uint8), np.array([0, n]))[0][-1]] += 1
+        views = []
+        for z, m in ((counts @ model.content[: cotrain.BUCKETS] / max(counts.sum(), 1) + cotrain.variety(data, offsets)[0] @ model.content[cotrain.BUCKETS : -1] + model.content[-1], model.content_map), (cotrain.metadata(data, offsets, [source], [lang])[0] @ model.meta[:-1] + model.meta[-1], model.meta_map)):
+            views.append(np.clip(z * m[0] + m[1], -cotrain.MOST, cotrain.MOST))
+        want = 1 / (1 + np.exp(-np.array([*views, views[0] * model.final[0] + views[1] * model.final[1] + model.final[2]])))
+        assert np.allclose([got[i].text_score, got[i].meta_score, got[i].score], want, atol=1e-6)
+
+
+def test_training_sample_has_one_row_of_each_id(spark):
+    rows = [(i % 40, f"text {i}", "en", "s", 1) for i in range(4000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    ids, views = cotrain._sample(docs, list(range(40)))
+    again, more = cotrain._sample(docs.orderBy(F.desc("text")).repartition(7), list(range(40)))
+    assert ids == again == list(range(40)) and all((a == b).all() for a, b in zip(views, more, strict=True))
+
+
 # URLs
 
 
