@@ -1,9 +1,11 @@
 """URL verdicts: host and path rules first, gradient-boosted trees on lexical features for the rest; SQL functions alone.
 
 The trees are trained from labelled URLs: those that a rule decides, at most ``sample_rows`` of them by hash order. Each
-feature is cut at its quantiles; a level of a tree is one aggregate of gradients by node, feature and bin, whose result
-(nodes x features x bins, a few hundred rows) is all that the driver sees. A model is a sum of nested CASE expressions, so
-scoring is one projection over the scan, without a shuffle.
+feature is cut at its quantiles, and the sample is written once as counts by bins; a level of a tree is one aggregate of
+gradients by node, feature and bin, whose result (nodes x features x bins, a few hundred rows) is all that the driver sees.
+Statistics of suffixes are a table of numbers with a row for each suffix of the sample, so at most ``sample_rows`` rows of
+24 bytes, and are broadcast. A model is a sum of nested CASE expressions, so scoring is one projection over the scan,
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumengrid.llm.common import hash_sample, let, materialize
+from lumengrid.llm.common import discard, hash_sample, let, materialize
 
 # Fixed values of the contract: (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -74,58 +76,73 @@ def suffix_of(host: Column) -> Column:
 
 @dataclass
 class Trees:
-    """Each tree: (feature, edge, left, right), whose sides are trees or numbers. Suffixes: name -> (block rate, share)."""
+    """Each tree: (feature number, edge number, left, right), whose sides are trees or numbers; a value up to an edge goes
+    left. suffixes: (suffix_key, suffix_rate, suffix_share), or None where there were no labels."""
 
     base: float
     trees: list
-    suffixes: dict[str, tuple[float, float]]
+    edges: list[list[float]]
+    suffixes: DataFrame | None
     prior: float
 
-    def suffix(self, suffix: Column, part: int) -> Column:
-        if not self.suffixes:
-            return F.lit((self.prior, 0.0)[part])
-        table = F.create_map(*[F.lit(x) for k, v in self.suffixes.items() for x in (k, float(v[part]))])
-        return F.coalesce(F.try_element_at(table, suffix), F.lit((self.prior, 0.0)[part]))
-
-    def score(self) -> Column:
-        """The log-odds of block, over columns named as FEATURES."""
+    def score(self, below=None) -> Column:
+        """The log-odds of block, over columns named as FEATURES (or by ``below``: (feature, edge) -> Column)."""
+        below = below or (lambda k, e: F.col(FEATURES[k]) <= self.edges[k][e])
 
         def value(node) -> Column:
             if isinstance(node, tuple):
-                return F.when(F.col(node[0]) <= node[1], value(node[2])).otherwise(value(node[3]))
+                return F.when(below(node[0], node[1]), value(node[2])).otherwise(value(node[3]))
             return F.lit(float(node))
 
         return sum((value(t) for t in self.trees), F.lit(float(self.base)))
 
 
 def with_features(rows: DataFrame, model: Trees) -> DataFrame:
-    own = suffix_of(F.col("host"))
-    columns = lexical(F.col("url"), F.col("host")) | {"suffix_rate": model.suffix(own, 0), "suffix_share": model.suffix(own, 1)}
-    return rows.withColumns(columns)
+    """rows (url, host, ...) with the columns of FEATURES."""
+    out = rows.withColumns(lexical(F.col("url"), F.col("host")))
+    if model.suffixes is None:
+        return out.withColumns({"suffix_rate": F.lit(model.prior), "suffix_share": F.lit(0.0)})
+    found = out.withColumn("suffix_key", F.xxhash64(suffix_of(F.col("host")))).join(F.broadcast(model.suffixes), "suffix_key", "left")
+    return found.withColumns({"suffix_rate": F.coalesce("suffix_rate", F.lit(model.prior)), "suffix_share": F.coalesce("suffix_share", F.lit(0.0))}).drop("suffix_key")
+
+
+def suffix_table(labelled: DataFrame, n: int, prior: float) -> DataFrame:
+    """suffix_key, suffix_rate (of block, drawn to the prior), suffix_share: one row for each suffix of ``labelled``."""
+    sums = labelled.groupBy(F.xxhash64(suffix_of(F.col("host"))).alias("suffix_key")).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    return materialize(sums.select("suffix_key", ((F.col("y") + 10 * prior) / (F.col("n") + 10)).alias("suffix_rate"), (F.col("n") / n).alias("suffix_share")), "url-suffixes")
 
 
-def boost(labelled: DataFrame, rounds: int = 10, bins: int = 16, rate: float = 0.3, suffix_limit: int = 150) -> Trees:
-    """Trees of depth two under logistic loss. labelled: url, host, y (1: block)."""
+def boost(labelled: DataFrame, rounds: int = 10, bins: int = 16, rate: float = 0.3) -> Trees:
+    """Trees of depth two under logistic loss. labelled: url, host, y (1: block), a bounded sample (its suffixes are sent to
+    every task)."""
     total = labelled.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
     n, y = total["n"] or 0, total["y"] or 0
     prior = (y + 1) / (n + 2)
-    top = labelled.groupBy(suffix_of(F.col("host")).alias("s")).agg(F.count("*").alias("n"), F.sum("y").alias("y")).orderBy(F.desc("n"), "s").limit(suffix_limit).collect()
-    model = Trees(math.log(prior / (1 - prior)), [], {r["s"]: ((r["y"] + 10 * prior) / (r["n"] + 10), r["n"] / n) for r in top}, prior)
+    model = Trees(math.log(prior / (1 - prior)), [], [], suffix_table(labelled, n, prior) if n else None, prior)
     if not n or y in (0, n):
         return model
     rows = materialize(with_features(labelled, model).groupBy("y", *FEATURES).agg(F.count("*").alias("w")), "url-features")
     cuts = rows.agg(*[F.percentile_approx(f, [i / bins for i in range(1, bins)], 1000).alias(f) for f in FEATURES]).first()
-    edges = {f: sorted(set(cuts[f])) for f in FEATURES}
-    def bin_of(f: str) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges[f]]), lambda e: e < F.col(f)))
+    model.edges = [sorted({float(x) for x in cuts[f]}) for f in FEATURES]
+
+    def bin_of(k: int) -> Column:
+        """How many edges lie below the value, so a bin up to e is a value up to edge e."""
+        return F.size(F.filter(F.array(*[F.lit(e) for e in model.edges[k]]), lambda e: e < F.col(FEATURES[k]))).alias(f"b{k}")
+
+    names = [f"b{k}" for k in range(len(FEATURES))]
+    binned = rows.select("y", "w", *[bin_of(k) for k in range(len(FEATURES))]).groupBy("y", *names).agg(F.sum("w").alias("w"))
+    binned = materialize(binned, "url-bins")
+    discard(rows)
+    each = F.array(*[F.struct(F.lit(k).alias("f"), F.col(c).alias("b")) for k, c in enumerate(names)])
 
-    binned = F.array(*[F.struct(F.lit(k).alias("f"), bin_of(f).alias("b")) for k, f in enumerate(FEATURES)])
+    def below(k: int, e: int) -> Column:
+        return F.col(names[k]) <= e
 
     def histogram(chance: Column, node: Column) -> dict:
         g, h = F.col("w") * (F.col("y") - chance), F.col("w") * chance * (1 - chance)
-        each = rows.select(node.alias("node"), g.alias("g"), h.alias("h"), F.explode(binned).alias("c"))
+        spread = binned.select(node.alias("node"), g.alias("g"), h.alias("h"), F.explode(each).alias("c"))
         out: dict = {}
-        for r in each.groupBy("node", "c.f", "c.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+        for r in spread.groupBy("node", "c.f", "c.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
             out.setdefault(r["node"], {}).setdefault(r["f"], {})[r["b"]] = (r["g"], r["h"])
         return out
 
@@ -135,7 +152,7 @@ def boost(labelled: DataFrame, rounds: int = 10, bins: int = 16, rate: float = 0
         for k in sorted(found):
             g, h = (sum(v[i] for v in found[k].values()) for i in (0, 1))
             gl = hl = 0.0
-            for b in range(len(edges[FEATURES[k]])):
+            for b in range(len(model.edges[k])):
                 a = found[k].get(b, (0.0, 0.0))
                 gl, hl = gl + a[0], hl + a[1]
                 gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
@@ -144,17 +161,14 @@ def boost(labelled: DataFrame, rounds: int = 10, bins: int = 16, rate: float = 0
         return best[1:] if best and best[0] > 1e-6 else None
 
     for _ in range(rounds):
-        chance = 1 / (1 + F.exp(-model.score()))
+        chance = 1 / (1 + F.exp(-model.score(below)))
         root = split(histogram(chance, F.lit(0)).get(0, {}))
         if root is None:
             break
-        feature, edge = FEATURES[root[0]], float(edges[FEATURES[root[0]]][root[1]])
-        below = histogram(chance, F.when(F.col(feature) <= edge, 0).otherwise(1))
-        sides = []
-        for side in (0, 1):
-            s = split(below.get(side, {}))
-            sides.append(root[2 + side] if s is None else (FEATURES[s[0]], float(edges[FEATURES[s[0]]][s[1]]), s[2], s[3]))
-        model.trees.append((feature, edge, *sides))
+        parts = histogram(chance, F.when(below(*root[:2]), 0).otherwise(1))
+        sides = [split(parts.get(side, {})) or root[2 + side] for side in (0, 1)]
+        model.trees.append((*root[:2], *sides))
+    discard(binned)
     return model
 
 

@@ -463,6 +463,56 @@ def test_trees_learn_from_labels(spark):
     assert len(model.trees) == 4 and all((r.s > 0) == (r.y == 1) for r in scored)
 
 
+def grown(x, y, edges, rounds, rate=0.3):
+    """Trees of depth two, every cut tried by masks: (feature, edge, left, right)."""
+    prior = (y.sum() + 1) / (len(y) + 2)
+    z, trees = np.full(len(y), math.log(prior / (1 - prior))), []
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-z))
+        g, h = y - p, p * (1 - p)
+
+        def best(rows):
+            found = None
+            for k in range(x.shape[1]):
+                for e, edge in enumerate(edges[k]):
+                    low, high = rows & (x[:, k] <= edge), rows & (x[:, k] > edge)
+                    gain = sum(s * g[m].sum() ** 2 / (h[m].sum() + 1) for m, s in ((low, 1), (high, 1), (rows, -1)))
+                    if found is None or gain > found[0] + 1e-9:
+                        found = (gain, k, e, *(rate * g[m].sum() / (h[m].sum() + 1) for m in (low, high)))
+            return found[1:] if found and found[0] > 1e-6 else None
+
+        root = best(np.ones(len(y), bool))
+        if root is None:
+            break
+        low = x[:, root[0]] <= edges[root[0]][root[1]]
+        sides = [best(m) if m.any() else None for m in (low, ~low)]
+        for m, s, flat in ((low, sides[0], root[2]), (~low, sides[1], root[3])):
+            z = z + np.where(m, flat if s is None else np.where(x[:, s[0]] <= edges[s[0]][s[1]], s[2], s[3]), 0)
+        trees.append((*root[:2], *(s or root[2 + i] for i, s in enumerate(sides))))
+    return trees, z
+
+
+def test_trees_equal_brute_force(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(300):
+        host = f"{rng.choice(['a', 'shop', 'x-y', 'w1'])}{i % 40}.{rng.choice(['com', 'org', 'net', 'de', 'info'])}"
+        url = f"http://{host}/" + "/".join(rng.choices(["p", "item", "12", "a-b-c"], k=rng.randint(0, 5))) + rng.choice(["", "?q=1", "?a=1&b=2"])
+        rows.append((url, host, int(rng.random() < (0.8 if "?" in url or host.endswith("info") else 0.2))))
+    df = spark.createDataFrame(rows, "url string, host string, y int")
+    model = url_filter.boost(df, rounds=4)
+    got = url_filter.with_features(df, model).select("url", "y", *url_filter.FEATURES, model.score().alias("s")).collect()
+    x, y = np.array([[r[f] for f in url_filter.FEATURES] for r in got], float), np.array([r.y for r in got], float)
+    trees, z = grown(x, y, model.edges, 4)
+    flat = lambda t: [v for part in t for v in (flat(part) if isinstance(part, tuple) else [part])]
+    assert len(model.trees) == 4 and all(np.allclose(flat(a), flat(b), atol=1e-9) for a, b in zip(model.trees, trees, strict=True))
+    assert np.allclose([r.s for r in got], z, atol=1e-9)
+    known = {r["suffix"]: (r.y, r.n) for r in df.groupBy(url_filter.suffix_of(F.col("host")).alias("suffix")).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()}
+    for r in got:
+        a, n = known[r.url.split("/")[2].rsplit(".", 1)[-1]]
+        assert abs(r.suffix_rate - (a + 10 * model.prior) / (n + 10)) < 1e-9 and abs(r.suffix_share - n / 300) < 1e-9
+
+
 # Mixing
 
 
