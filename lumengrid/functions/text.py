@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, StructType
 
 # Fixed value: a token is a run of two or more Hangul syllables, ASCII letters or digits.
 TOKEN = "([가-힣A-Za-z0-9]{2,})"
@@ -14,15 +15,31 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), F.lower)
 
 
-def quoted(needle: Column) -> Column:
-    """A needle as a literal inside a regular expression."""
-    return F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-
-
 def holds(text: Column, needle: Column) -> Column:
-    """Containment, case-sensitive; a needle of ASCII alone must not touch ASCII letters or digits. Empty needles do not match."""
-    bounded = F.regexp_like(text, F.concat(F.lit("(?<![A-Za-z0-9])"), quoted(needle), F.lit("(?![A-Za-z0-9])")))
-    return (F.length(needle) > 0) & F.contains(text, needle) & (needle.rlike("[^\\x00-\\x7F]") | bounded)
+    """Containment, case-sensitive; a needle of ASCII letters and digits alone must not touch ASCII letters or digits, any
+    other one (Hangul, symbols, blanks) is a plain substring. Empty needles do not match."""
+    bounded = F.regexp_like(text, F.concat(F.lit("(?<![A-Za-z0-9])"), needle, F.lit("(?![A-Za-z0-9])")))
+    return F.contains(text, needle) & F.when(needle.rlike("^[A-Za-z0-9]+$"), bounded).otherwise(F.length(needle) > 0)
+
+
+def serialized(rows: DataFrame) -> Column:
+    """All values of a row as one text: fields in their order, nested structs and lists in theirs, map values by their keys,
+    joined by blanks. Null is ``None``, truth values are ``True`` and ``False``, numbers as they are written."""
+
+    def said(value: Column, kind: DataType) -> Column:
+        if isinstance(kind, StructType):
+            whole = F.concat_ws(" ", *[said(value[f.name], f.dataType) for f in kind.fields])
+        elif isinstance(kind, ArrayType):
+            whole = F.array_join(F.transform(value, lambda x: said(x, kind.elementType)), " ")
+        elif isinstance(kind, MapType):
+            whole = F.array_join(F.transform(F.array_sort(F.map_entries(value)), lambda e: said(e["value"], kind.valueType)), " ")
+        elif isinstance(kind, BooleanType):
+            whole = F.when(value, "True").otherwise("False")
+        else:
+            whole = value.cast("string")
+        return F.when(value.isNull(), "None").otherwise(whole)
+
+    return F.concat_ws(" ", *[said(F.col(f"`{f.name}`"), f.dataType) for f in rows.schema.fields])
 
 
 def surface_forms(name: Column, aliases: Column) -> Column:

@@ -2,27 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumengrid.functions.text import holds, label_variants
 
 
+def substring_pairs(needles: DataFrame, texts: DataFrame, longest: int = 4) -> DataFrame:
+    """text_id, needle: every pair of a text that contains a needle, found by equi-joins.
+
+    needles: needle (empty and null ones match nothing; repeats count once). texts: text_id (unique), text. Each needle is
+    looked up by one of its runs of up to ``longest`` characters, the one that fewest texts hold; only texts with that run
+    are compared, so no common run is a hot key for a needle that has a rarer one.
+    """
+    wanted = needles.where(F.length("needle") > 0).select("needle", F.least(F.length("needle"), F.lit(longest)).alias("n")).distinct()
+    runs = wanted.select("needle", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("needle") - F.col("n") + 1), lambda i: F.substring("needle", i, F.col("n"))))).alias("run"))
+
+    def of_size(n: int) -> Column:
+        places = F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.substring(F.col("text"), i, F.lit(n)))
+
+    sizes = [r["n"] for r in wanted.select("n").distinct().collect()]  # ``longest`` rows at most
+    if not sizes:
+        return texts.select("text_id", F.lit("").alias("needle")).limit(0)
+    held = texts.select("text_id", F.explode(F.array_distinct(F.flatten(F.array(*map(of_size, sorted(sizes)))))).alias("run"))
+    spread = held.join(runs.select("run").distinct(), "run").groupBy("run").agg(F.count("*").alias("texts"))
+    key = runs.join(spread, "run").groupBy("needle").agg(F.min(F.struct("texts", "run")).alias("k")).select("needle", F.col("k.run").alias("run"))
+    near = held.join(key, "run").select("text_id", "needle")
+    return near.join(texts, "text_id").where(F.contains("text", "needle")).select("text_id", "needle")
+
+
+def form_edges(forms: DataFrame, listed: DataFrame, bodies: DataFrame, weight: float = 1.0) -> DataFrame:
+    """from_term, to_id, weight, evidence: 2.0 where a term's form is listed for an item, else ``weight`` where a body of the
+    item holds one. The evidence is the first such form by position.
+
+    forms: term_id, position, form. listed: to_id, form. bodies: to_id, body_id (unique), text.
+    """
+    exact = listed.distinct().join(forms, "form")
+    exact = exact.groupBy(F.col("term_id").alias("from_term"), "to_id").agg(F.min_by("form", F.struct("position", "form")).alias("evidence")).withColumn("weight", F.lit(2.0))
+    texts = bodies.select(F.col("body_id").alias("text_id"), "text")
+    pairs = substring_pairs(forms.select(F.col("form").alias("needle")), texts)
+    near = pairs.join(bodies, pairs["text_id"] == bodies["body_id"]).where(holds(F.col("text"), F.col("needle"))).select("to_id", F.col("needle").alias("form")).distinct()
+    found = near.join(forms, "form").groupBy(F.col("term_id").alias("from_term"), "to_id").agg(F.min_by("form", F.struct("position", "form")).alias("evidence"))
+    rest = found.join(exact.select("from_term", "to_id"), ["from_term", "to_id"], "left_anti").withColumn("weight", F.lit(weight))
+    return exact.unionByName(rest)
+
+
 def keyword_edges(forms: DataFrame, chunks: DataFrame) -> DataFrame:
     """from_term, to_id, weight, evidence: 2.0 where a chunk lists a form as a keyword, else 1.0 where its body holds one.
 
-    forms: term_id, position, form. chunks: chunk_id, keywords, text. Listed keywords join by equality. Bodies are compared
-    with the forms that have a word in common with them (the form's first word is the join key), never all with all.
-    """
-    listed = chunks.select("chunk_id", F.explode("keywords").alias("form")).join(forms, "form")
-    listed = listed.groupBy(F.col("term_id").alias("from_term"), F.col("chunk_id").alias("to_id")).agg(F.min_by("form", "position").alias("evidence")).withColumn("weight", F.lit(2.0))
-    word = F.regexp_extract("form", "^([^\\s]+)", 1)
-    bodies = chunks.select("chunk_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+|[^\\x00-\\x7F]+)"), F.lit(1)))).alias("word"))
-    near = bodies.join(forms.withColumn("word", word), "word").where(holds(F.col("text"), F.col("form")))
-    found = near.groupBy(F.col("term_id").alias("from_term"), F.col("chunk_id").alias("to_id")).agg(F.min_by("form", "position").alias("evidence"))
-    rest = found.join(listed.select("from_term", "to_id"), ["from_term", "to_id"], "left_anti").withColumn("weight", F.lit(1.0))
-    return listed.unionByName(rest)
+    forms: term_id, position, form. chunks: chunk_id (unique), keywords, text."""
+    listed = chunks.select(F.col("chunk_id").alias("to_id"), F.explode("keywords").alias("form"))
+    return form_edges(forms, listed, chunks.select(F.col("chunk_id").alias("to_id"), F.col("chunk_id").alias("body_id"), "text"))
+
+
+def problem_edges(forms: DataFrame, problems: DataFrame) -> DataFrame:
+    """The same for problems: 2.0 where a form is one of the required concepts, else 1.0 where a tag holds one.
+
+    problems: problem_id (unique), concepts, tags."""
+    listed = problems.select(F.col("problem_id").alias("to_id"), F.explode("concepts").alias("form"))
+    tags = problems.select(F.col("problem_id").alias("to_id"), F.posexplode("tags").alias("n", "text"))
+    return form_edges(forms, listed, tags.select("to_id", F.concat_ws(":", "to_id", "n").alias("body_id"), "text"))
+
+
+def tutorial_edges(forms: DataFrame, tutorials: DataFrame) -> DataFrame:
+    """The same for tutorials, by their whole text alone. tutorials: tutorial_id (unique), text (see ``functions.text.serialized``)."""
+    none = tutorials.select(F.col("tutorial_id").alias("to_id"), F.col("text").alias("form")).limit(0)
+    return form_edges(forms, none, tutorials.select(F.col("tutorial_id").alias("to_id"), F.col("tutorial_id").alias("body_id"), "text"))
 
 
 def both_ways(pairs: DataFrame, relation: str) -> DataFrame:
@@ -42,7 +89,11 @@ def match_concepts(labels: DataFrame, forms: DataFrame) -> DataFrame:
     """label, term_id: for the first variant of a label with any candidate, an equal form, else the longest form in it, else
     the shortest form that holds it; ties to the least term_id. forms: term_id, form."""
     variants = labels.select("label", F.posexplode(label_variants(F.col("label"))).alias("variant_no", "variant"))
-    near = forms.where(F.length("form") >= 2).join(variants, F.col("variant").contains(F.col("form")) | F.col("form").contains(F.col("variant")))
+    known = forms.where(F.length("form") >= 2)
+    one, other = known.select("form").distinct(), variants.select("variant").distinct()
+    held = substring_pairs(one.select(F.col("form").alias("needle")), other.select(F.col("variant").alias("text_id"), F.col("variant").alias("text"))).select(F.col("text_id").alias("variant"), F.col("needle").alias("form"))
+    holding = substring_pairs(other.select(F.col("variant").alias("needle")), one.select(F.col("form").alias("text_id"), F.col("form").alias("text"))).select(F.col("needle").alias("variant"), F.col("text_id").alias("form"))
+    near = held.union(holding).distinct().join(variants, "variant").join(known, "form")
     rank = F.when(F.col("form") == F.col("variant"), 0).when(F.col("variant").contains(F.col("form")), 1).otherwise(2)
     size = F.when(rank == 2, F.length("form")).otherwise(-F.length("form"))
     return near.groupBy("label").agg(F.min(F.struct("variant_no", rank.alias("rank"), size.alias("size"), "term_id")).alias("m")).select("label", "m.term_id")

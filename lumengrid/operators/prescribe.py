@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumengrid.operators.graph import substring_pairs
+
 WILDCARD = "all"
+#: More rules are refused, never left out.
+MOST_RULES = 10_000
 
 
 def matches(stage: Column, subjects: Column, tags: Column, groups: dict[str, list[str]]) -> Column:
@@ -25,10 +29,13 @@ def matches(stage: Column, subjects: Column, tags: Column, groups: dict[str, lis
 
 
 def matched_rules(users: DataFrame, rules: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
-    """user_id, rule_key, confidence, position. users: user_id, stage, subjects, tags. rules: a small table of at most a
-    thousand rows (they are written by hand), each of which is tested against each user where the user is read."""
+    """user_id, rule_key, confidence, position. users: user_id, stage, subjects, tags. rules: written by hand, so few; their
+    number is checked, and each is tested against each user where the user is read."""
     fits = matches(F.col("stage"), F.col("subjects"), F.col("tags"), groups)
-    rows = users.join(F.broadcast(rules.limit(1000)), fits)
+    count = rules.count()
+    if count > MOST_RULES:
+        raise ValueError(f"{count} rules; every user is tested against every rule, so there may be {MOST_RULES} at most")
+    rows = users.join(F.broadcast(rules), fits)
     order = W.partitionBy("user_id").orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "rule_key")
     return rows.select("user_id", "rule_key", "confidence").withColumn("position", F.row_number().over(order))
 
@@ -53,8 +60,11 @@ def concepts_to_review(mastery: DataFrame, frequency: DataFrame, keep: int = 3)
     """user_id, concept, subject, importance, position. frequency: tag, f. A tag counts for a concept that holds it or is
     held by it; distinct concepts are matched first, so the comparison does not grow with the users."""
     concepts = mastery.select("concept").distinct()
-    pairs = concepts.join(frequency, F.col("concept").contains(F.col("tag")) | F.col("tag").contains(F.col("concept")), "left")
-    known = pairs.groupBy("concept").agg(F.coalesce(F.max("f"), F.lit(0)).alias("f"))
+    a, b = concepts.select(F.col("concept").alias("x")), frequency.select(F.col("tag").alias("x")).distinct()
+    held = substring_pairs(b.select(F.col("x").alias("needle")), a.select(F.col("x").alias("text_id"), F.col("x").alias("text"))).select(F.col("text_id").alias("concept"), F.col("needle").alias("tag"))
+    holding = substring_pairs(a.select(F.col("x").alias("needle")), b.select(F.col("x").alias("text_id"), F.col("x").alias("text"))).select(F.col("needle").alias("concept"), F.col("text_id").alias("tag"))
+    pairs = held.union(holding).distinct().join(frequency, "tag").groupBy("concept").agg(F.max("f").alias("f"))
+    known = concepts.join(pairs, "concept", "left").select("concept", F.coalesce("f", F.lit(0)).alias("f"))
     top = frequency.agg(F.coalesce(F.max("f"), F.lit(0)).alias("top")).first()["top"]
     weakness = 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("mastery")))
     importance = F.round(0.6 * weakness + (0.4 * F.col("f") / top if top else 0.0), 4)

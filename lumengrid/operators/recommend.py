@@ -31,6 +31,65 @@ def first_of_each(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return top(rows, key, order, 1, "_first").drop("_first")
 
 
+def _first_rank(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.withColumn("rn", F.row_number().over(W.partitionBy(*by).orderBy("problem_id")))
+
+
+def candidates(states: DataFrame, questions: DataFrame, weak: DataFrame, tried: DataFrame, keep: int, pressed_upto: int = 90) -> DataFrame:
+    """user_id, problem_id, subject, accuracy, score: questions that hold the ``keep`` best of each user, without a join of
+    users to all questions of a subject.
+
+    states: user_id, subject, accuracy, risk (tags). questions: problem_id, subject, concept, limit_seconds. weak: user_id,
+    subject, concept (distinct). tried: user_id, problem_id (distinct). A score depends on the question only by its subject,
+    whether it is short, its concept's weakness and whether it was tried, and ties go to the smaller id. So of a class of
+    questions only the first count, ``keep`` and as many more as the user has tried or has in a weak concept, and these are
+    fetched by rank. Subjects in which a user has no state are neutral (accuracy 0.5); their number is checked.
+    """
+    short = F.coalesce(F.col("limit_seconds") <= pressed_upto, F.lit(False))
+    q = questions.select("problem_id", "subject", "concept", short.alias("short"))
+    profile = states.select("user_id", "subject", "accuracy", F.array_contains("risk", "time_pressure").alias("hurried"))
+    hit = tried.join(q, "problem_id")
+    keys = ["user_id", "subject", "concept"]
+    mine = hit.join(weak.withColumn("weak", F.lit(True)), keys, "left").withColumn("weak", F.coalesce("weak", F.lit(False))).withColumn("attempted", F.lit(True))
+
+    # weak concepts: the first of each (subject, concept, short)
+    in_concept = _first_rank(q, ["subject", "concept", "short"])
+    done = hit.groupBy(*keys, "short").agg(F.count("*").alias("k"))
+    both = F.explode(F.array(F.lit(True), F.lit(False)))
+    need = weak.select(*keys, both.alias("short")).join(done, [*keys, "short"], "left")
+    ranks = F.explode(F.sequence(F.lit(1), F.coalesce("k", F.lit(0)).cast("int") + keep))
+    of_weak = need.select(*keys, "short", ranks.alias("rn")).join(in_concept, ["subject", "concept", "short", "rn"]).withColumn("weak", F.lit(True))
+
+    # the others: the first of each (subject, short), past what was tried or is in a weak concept
+    in_subject = _first_rank(q, ["subject", "short"]).drop("concept")
+    sizes = q.groupBy("subject", "concept", "short").agg(F.count("*").alias("k"))
+    passed = done.join(weak, keys, "left_anti").select("user_id", "subject", "short", "k").unionByName(weak.join(sizes, ["subject", "concept"]).select("user_id", "subject", "short", "k"))
+    passed = passed.groupBy("user_id", "subject", "short").agg(F.sum("k").alias("k"))
+    need = profile.select("user_id", "subject", both.alias("short")).join(passed, ["user_id", "subject", "short"], "left")
+    of_rest = need.select("user_id", "subject", "short", ranks.alias("rn")).join(in_subject, ["subject", "short", "rn"])
+    of_rest = of_rest.join(q.select("problem_id", "concept"), "problem_id").join(weak, keys, "left_anti").withColumn("weak", F.lit(False))
+
+    columns = ["user_id", "subject", "problem_id", "short", "weak"]
+    fresh = of_weak.select(columns).unionByName(of_rest.select(columns)).join(tried, ["user_id", "problem_id"], "left_anti").withColumn("attempted", F.lit(False))
+    rows = mine.select(*columns, "attempted").unionByName(fresh.select(*columns, "attempted")).join(profile, ["user_id", "subject"])
+    points = score(F.col("accuracy"), F.col("weak"), F.col("attempted"), F.col("hurried") & F.col("short"))
+    known = rows.select("user_id", "problem_id", "subject", "accuracy", points.alias("score"))
+
+    # subjects without a state
+    subjects = [r["subject"] for r in q.select("subject").distinct().limit(MOST_SUBJECTS + 1).collect()]
+    if len(subjects) > MOST_SUBJECTS:
+        raise ValueError(f"over {MOST_SUBJECTS} subjects")
+    others = F.array_except(F.array(*map(F.lit, subjects)).cast("array<string>"), F.collect_set("subject"))
+    lacking = profile.groupBy("user_id").agg(others.alias("s")).select("user_id", F.explode("s").alias("subject"))
+    first = top(q, ["subject"], ["problem_id"], keep).select("subject", "problem_id")
+    neutral = lacking.join(first, "subject").select("user_id", "problem_id", "subject", F.lit(None).cast("double").alias("accuracy"))
+    return known.unionByName(neutral.withColumn("score", score(F.col("accuracy"), F.lit(False), F.lit(False), F.lit(False))))
+
+
+#: Subjects are a short list; more are refused, never left out.
+MOST_SUBJECTS = 1000
+
+
 def round_robin(rows: DataFrame, group: str, order: list, keep: int) -> DataFrame:
     """Rows taken from the groups in turn. Only the first ``keep`` of each group can be among them."""
     ranked = top(rows, [group], order, keep, "turn")

@@ -5,22 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumengrid.functions.text import serialized
 from lumengrid.operators import graph
 from lumengrid.plans.registry import query
 from lumengrid.sources.tables import table
 
-TERMS_SQL = """terms AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part),
-chunks AS (SELECT p_partkey AS chunk_id, [lower(p_type)] AS keywords, p_name || ' of ' || p_brand AS text FROM part),
+# Forms are the words of part names and some that are not words of ASCII letters; chunks, problems and tutorials are parts.
+FORMS = ["현금", "C++", "IFRS-15 lease", "P/E ratio", "IFRS"]
+TAILS = ["현금흐름표를 본다", "C++17 and IFRS15", "IFRS-15 leases, P/E ratios", "IFRS alone", "미현금"]
+_TAIL_SQL = "CASE p_partkey % 5 " + " ".join(f"WHEN {k} THEN ' {t}'" for k, t in enumerate(TAILS)) + " END"
+_HOLDS_SQL = "contains({0}, term) AND (NOT regexp_full_match(term, '[A-Za-z0-9]+') OR regexp_matches({0}, '(^|[^A-Za-z0-9])' || regexp_escape(term) || '($|[^A-Za-z0-9])'))"
+TERMS_SQL = f"""terms AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part UNION SELECT unnest({FORMS})),
+chunks AS (SELECT p_partkey AS chunk_id, [lower(p_type), string_split(p_name, ' ')[1]] AS keywords, p_name || ' of ' || p_brand || {_TAIL_SQL} AS text FROM part),
 listed AS (SELECT term AS from_term, chunk_id AS to_id, term AS evidence, 2.0::DOUBLE AS weight FROM chunks JOIN terms ON list_contains(keywords, term)),
-body AS (SELECT term AS from_term, chunk_id AS to_id, term AS evidence, 1.0::DOUBLE AS weight FROM chunks JOIN terms ON regexp_matches(text, '(^|[^A-Za-z0-9])' || term || '($|[^A-Za-z0-9])')),
+body AS (SELECT term AS from_term, chunk_id AS to_id, term AS evidence, 1.0::DOUBLE AS weight FROM chunks JOIN terms ON {_HOLDS_SQL.format('text')}),
 edges AS (SELECT * FROM listed UNION ALL SELECT * FROM body WHERE (from_term, to_id) NOT IN (SELECT from_term, to_id FROM listed))"""
 
 
+def _tail():
+    key, out = F.col("p_partkey") % 5, F.lit(None).cast("string")
+    for k, t in enumerate(TAILS):
+        out = F.when(key == k, f" {t}").otherwise(out)
+    return out
+
+
+def _forms(spark, d) -> DataFrame:
+    words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("form"))
+    forms = words.union(spark.createDataFrame([(f,) for f in FORMS], "form string")).distinct()
+    return forms.select(F.col("form").alias("term_id"), F.lit(0).alias("position"), "form")
+
+
 def _edges(spark, d) -> DataFrame:
-    parts = table(spark, d, "part")
-    forms = parts.select(F.explode(F.split("p_name", " ")).alias("form")).distinct().select(F.col("form").alias("term_id"), F.lit(0).alias("position"), "form")
-    chunks = parts.select(F.col("p_partkey").alias("chunk_id"), F.array(F.lower("p_type")).alias("keywords"), F.concat("p_name", F.lit(" of "), "p_brand").alias("text"))
-    return graph.keyword_edges(forms, chunks)
+    keywords = F.array(F.lower("p_type"), F.get(F.split("p_name", " "), F.lit(0)))
+    chunks = table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), keywords.alias("keywords"), F.concat("p_name", F.lit(" of "), "p_brand", _tail()).alias("text"))
+    return graph.keyword_edges(_forms(spark, d), chunks)
+
+
+@query(
+    f"""WITH {TERMS_SQL}, probs AS (SELECT p_partkey AS problem_id, string_split(p_name, ' ')[1:1] AS concepts, [p_type || {_TAIL_SQL}, p_name] AS tags FROM part),
+exact AS (SELECT term AS from_term, problem_id AS to_id, term AS evidence, 2.0::DOUBLE AS weight FROM probs JOIN terms ON list_contains(concepts, term)),
+part_of AS (SELECT DISTINCT term AS from_term, problem_id AS to_id, term AS evidence, 1.0::DOUBLE AS weight FROM (SELECT problem_id, unnest(tags) AS tag FROM probs) JOIN terms ON {_HOLDS_SQL.format('tag')})
+SELECT * FROM exact UNION ALL SELECT * FROM part_of WHERE (from_term, to_id) NOT IN (SELECT from_term, to_id FROM exact)"""
+)
+def tested_in_edges(spark, d) -> DataFrame:
+    """Terms to problems: a required concept, or held by a tag."""
+    tags = F.array(F.concat("p_type", _tail()), F.col("p_name"))
+    probs = table(spark, d, "part").select(F.col("p_partkey").alias("problem_id"), F.slice(F.split("p_name", " "), 1, 1).alias("concepts"), tags.alias("tags"))
+    return graph.problem_edges(_forms(spark, d), probs).select("from_term", "to_id", "evidence", "weight")
+
+
+@query(
+    f"""WITH {TERMS_SQL}, tut AS (SELECT p_partkey AS tutorial_id, p_partkey || ' ' || p_name || ' ' || p_brand || ' ' || p_size || ' ' || 'True' || {_TAIL_SQL} || ' ' || 'None' AS text FROM part)
+SELECT term AS from_term, tutorial_id AS to_id, term AS evidence, 1.0::DOUBLE AS weight FROM tut JOIN terms ON {_HOLDS_SQL.format('text')}"""
+)
+def explained_in_edges(spark, d) -> DataFrame:
+    """Terms to tutorials: held by the text of all values of the tutorial, nested ones in their order."""
+    steps = F.array(F.struct(F.col("p_brand").alias("title"), F.col("p_size").alias("n")), F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("n")))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("tutorial_id"), "p_name", steps[0].alias("step"), F.lit(True).alias("open"), F.trim(_tail()).alias("tail"), F.lit(None).cast("string").alias("none"))
+    return graph.tutorial_edges(_forms(spark, d), parts.select("tutorial_id", serialized(parts).alias("text"))).select("from_term", "to_id", "evidence", "weight")
 
 
 @query(f"WITH {TERMS_SQL} SELECT from_term, to_id, evidence, weight FROM edges")
@@ -72,14 +114,14 @@ def _needs(spark, d) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {NEEDS_SQL}, walk AS (SELECT p_partkey AS root, p_partkey AS term_id, 0 AS depth FROM part WHERE p_partkey % 7 = 0
+    f"""WITH RECURSIVE {NEEDS_SQL}, walk AS (SELECT p_partkey AS root, p_partkey AS term_id, 0 AS depth FROM part 
   UNION SELECT root, needs, depth + 1 FROM walk JOIN needs USING (term_id) WHERE depth < 3),
 m AS (SELECT root, term_id, min(depth) AS depth FROM walk GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, term_id) AS n FROM m)
 SELECT root, term_id, depth::INT AS depth, row_number() OVER (PARTITION BY root ORDER BY depth DESC, term_id) AS position FROM r WHERE n <= 12"""
 )
 def learning_path(spark, d) -> DataFrame:
-    """What to learn before each seventh part, at most three steps back and twelve terms."""
-    roots = table(spark, d, "part").where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("root"))
+    """What to learn before each part, at most three steps back and twelve terms."""
+    roots = table(spark, d, "part").select(F.col("p_partkey").alias("root"))
     return graph.prerequisite_path(roots, _needs(spark, d)).select("root", "term_id", "depth", "position")
 
 

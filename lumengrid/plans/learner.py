@@ -166,37 +166,35 @@ def prescription(spark, d) -> DataFrame:
     )
 
 
-# What can be practised: one part in twenty, as in the SQL (not all parts: see the README); each is offered to the learners
-# who work in its subject.
+# What can be practised: every problem, also those of subjects in which a learner has no attempts yet (accuracy neutral).
 CANDIDATES_SQL = """tried AS (SELECT DISTINCT user_id, problem_id FROM v_attempt), weak AS (SELECT DISTINCT user_id, subject, concept FROM mastery WHERE mastery < 0.5),
-cand AS (SELECT s.user_id, p.problem_id, p.subject, round(s.n_correct / s.n, 4) AS accuracy, w.concept IS NOT NULL AS weak, t.problem_id IS NOT NULL AS attempted,
-    list_contains(r.tags, 'time_pressure') AND coalesce(limit_seconds <= 90, false) AS pressed
-  FROM st s JOIN risk r USING (user_id, subject) JOIN v_problem p ON p.subject = s.subject AND p.problem_id % 20 = 0
-  LEFT JOIN weak w ON w.user_id = s.user_id AND w.subject = s.subject AND w.concept = p.unit || ':' || p.tags[1]
-  LEFT JOIN tried t ON t.user_id = s.user_id AND t.problem_id = p.problem_id),
-scored AS (SELECT user_id, problem_id, subject, accuracy, round((1 - greatest(0.0, least(1.0, accuracy))) + CASE WHEN accuracy < 0.40 THEN 1.5 ELSE 0.0 END + CASE WHEN weak THEN 0.8 ELSE 0.0 END
+every AS (SELECT user_id, subject FROM (SELECT DISTINCT user_id FROM st) a, (SELECT DISTINCT subject FROM v_problem) b),
+cand AS (SELECT e.user_id, p.problem_id, p.subject, round(s.n_correct / s.n, 4) AS accuracy, w.concept IS NOT NULL AS weak, t.problem_id IS NOT NULL AS attempted,
+    coalesce(list_contains(r.tags, 'time_pressure'), false) AND coalesce(limit_seconds <= 90, false) AS pressed
+  FROM every e LEFT JOIN st s USING (user_id, subject) LEFT JOIN risk r USING (user_id, subject) JOIN v_problem p ON p.subject = e.subject
+  LEFT JOIN weak w ON w.user_id = e.user_id AND w.subject = e.subject AND w.concept = p.unit || ':' || p.tags[1]
+  LEFT JOIN tried t ON t.user_id = e.user_id AND t.problem_id = p.problem_id),
+scored AS (SELECT user_id, problem_id, subject, accuracy, round((1 - greatest(0.0, least(1.0, coalesce(accuracy, 0.5)))) + CASE WHEN accuracy < 0.40 THEN 1.5 ELSE 0.0 END + CASE WHEN weak THEN 0.8 ELSE 0.0 END
     - CASE WHEN attempted THEN 0.5 ELSE 0.0 END + CASE WHEN pressed THEN 0.2 ELSE 0.0 END, 4) AS score FROM cand),
 best AS (SELECT user_id, problem_id, score, accuracy, subject, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, problem_id) AS position FROM scored)"""
 
 
-def _scored(spark, d) -> DataFrame:
+def _best(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The five best questions of each learner, their states, and the problems."""
     a, p = attempts(spark, d), problems(spark, d)
     mastery = state.concept_mastery(a, p, _concept())
     states = state.subject_state(a, p).select("user_id", "subject", "accuracy").join(state.risk_tags(a, p, mastery).withColumnRenamed("tags", "risk"), ["user_id", "subject"])
-    weak = mastery.where("mastery < 0.5").select("user_id", "subject", "concept", F.lit(True).alias("weak"))
-    tried = a.select("user_id", "problem_id").distinct().withColumn("attempted", F.lit(True))
-    questions = p.where("problem_id % 20 = 0").withColumn("concept", _concept()).drop("tags")
-    rows = states.join(questions, "subject").join(weak, ["user_id", "subject", "concept"], "left").join(tried, ["user_id", "problem_id"], "left")
-    pressed = F.array_contains("risk", "time_pressure") & F.coalesce(F.col("limit_seconds") <= 90, F.lit(False))
-    score = recommend.score(F.col("accuracy"), F.coalesce("weak", F.lit(False)), F.coalesce("attempted", F.lit(False)), pressed)
-    return rows.select("user_id", "problem_id", "subject", "accuracy", score.alias("score"))
+    weak = mastery.where("mastery < 0.5").select("user_id", "subject", "concept")
+    tried = a.select("user_id", "problem_id").distinct()
+    questions = p.select("problem_id", "subject", _concept().alias("concept"), "limit_seconds")
+    rows = recommend.candidates(states, questions, weak, tried, 5)
+    return recommend.top(rows, ["user_id"], [F.desc("score"), "problem_id"], 5), states, questions
 
 
 @query(f"{STATE_SQL}, {CANDIDATES_SQL} SELECT user_id, problem_id, score, position FROM best WHERE position <= 5")
 def recommend_topk(spark, d) -> DataFrame:
     """The five questions that each learner should practise next."""
-    rows = recommend.top(_scored(spark, d), ["user_id"], [F.desc("score"), "problem_id"], 5)
-    return rows.select("user_id", "problem_id", "score", "position")
+    return _best(spark, d)[0].select("user_id", "problem_id", "score", "position")
 
 
 @query(
@@ -204,10 +202,11 @@ def recommend_topk(spark, d) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY accuracy DESC, problem_id) AS position FROM k) SELECT * FROM r WHERE position <= 3"""
 )
 def skip_candidates(spark, d) -> DataFrame:
-    """Up to three questions of subjects that a learner masters, none of those to practise."""
-    scored = _scored(spark, d)
-    chosen = recommend.top(scored, ["user_id"], [F.desc("score"), "problem_id"], 5).select("user_id", "problem_id")
-    rest = scored.where("accuracy >= 0.75").join(chosen, ["user_id", "problem_id"], "left_anti")
+    """Up to three questions of subjects that a learner masters, none of those to practise: of a subject the first eight
+    questions are enough, as five at most are to practise."""
+    chosen, states, questions = _best(spark, d)
+    first = recommend.top(questions.select("subject", "problem_id"), ["subject"], ["problem_id"], 8).drop("position")
+    rest = states.where("accuracy >= 0.75").select("user_id", "subject", "accuracy").join(first, "subject").join(chosen.select("user_id", "problem_id"), ["user_id", "problem_id"], "left_anti")
     return recommend.top(rest, ["user_id"], [F.desc("accuracy"), "problem_id"], 3).select("user_id", "problem_id", "accuracy", "position")
 
 
