@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lumengrid.functions.numbers import npv
 
@@ -94,3 +99,47 @@ def equal_split(total: Column, n: int) -> list[Column]:
     each = F.when(total > 0, F.round(total / n, 2)).otherwise(0.0)
     drift = F.round(total - each * n, 2)
     return [F.round(each + F.when(F.abs(drift) >= 0.01, drift).otherwise(0.0), 2)] + [each] * (n - 1)
+
+
+def streamed(rows: DataFrame, key: str, order: list, columns: list[str], schema: str, start: Callable, step: Callable, finish: Callable) -> DataFrame:
+    """One row a key: ``finish(key, state)`` after ``state = step(state, *columns)`` over the key's rows in ``order``. Rows are
+    shuffled by key, sorted by Spark (which spills) and read one by one, so a task holds one state, however long a key is."""
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, done = None, None, []
+
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), shape, strict=True)], schema=shape)
+
+        for b in batches:
+            for k, *values in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+                if now != (k,):
+                    if now:
+                        done.append(finish(now[0], state))
+                    now, state = (k,), start()
+                state = step(state, *values)
+            if done:
+                yield table()
+                done = []
+        if now:
+            done = [finish(now[0], state)]
+            yield table()
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).select(key, *columns).mapInArrow(run, schema)
+
+
+def moving_average_step(s: tuple | None, sell: bool, qty: float, price: float) -> tuple | None:
+    """(units, value, sold) after one move; None from the first sale of more than there is."""
+    if s is None or sell and qty > s[0]:
+        return None
+    units, value, sold = s
+    if not sell:
+        return units + qty, value + qty * price, sold
+    cost = value / units * qty if units else 0.0
+    return units - qty, value - cost, sold + cost
+
+
+def accepted_step(s: tuple[int, list], n: int, gap: int = 3) -> tuple[int, list]:
+    """(next number, numbers so far) after one number; see ``accepted_numbers``."""
+    return (n + 1, [*s[1], n]) if s[0] <= n <= s[0] + gap else s

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumengrid.functions.text import tokens
+from lumengrid.functions.text import holds, tokens
+from lumengrid.operators.graph import substring_pairs
 
 
 def score_of(query: Column, query_tokens: Column, keywords: Column, tags: Column, body: Column, unit: Column, query_unit: Column) -> Column:
@@ -22,18 +23,82 @@ def score_of(query: Column, query_tokens: Column, keywords: Column, tags: Column
     return F.round(listed + tagged + 1.5 * F.least(shared, F.lit(1.0)) + F.coalesce(units, F.lit(0.0)), 4)
 
 
-def by_shared_words(queries: DataFrame, chunks: DataFrame, boosted: DataFrame, least: float = 0.5, keep: int = 3) -> DataFrame:
-    """query_id, chunk_id, score, position: retrieval over whole tables by postings. Chunks and queries meet in the words they
-    share, and only those pairs are scored: 1.5 times the share of the query's words, 0.5 more for a boosted chunk.
+def candidate_pairs(queries: DataFrame, chunks: DataFrame, least: float, keep: int) -> DataFrame:
+    """query_id, chunk_id: every pair that can be among the ``keep`` best of its query with a score of ``least`` or more.
 
-    queries: query_id, text. chunks: chunk_id, text. boosted: chunk_id (distinct)."""
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("q"))
+    * Words of the body count 1.5 together, so a pair that they alone bring over ``least`` shares one of the query's rarest
+      words: all but so many that the rest is under the bound. Only these are looked up, so common words make no pairs.
+    * Keywords and tags meet the query in a word, keywords also as substrings of it.
+    * A unit alone gives all its chunks one score, so the first ``keep`` of each subject and unit are enough.
+    """
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("q")).where(F.size("q") > 0)
+    words = asked.select("query_id", F.size("q").alias("n"), F.explode("q").alias("word"))
     posted = chunks.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    shared = asked.select("query_id", F.size("q").alias("n"), F.explode("q").alias("word")).join(posted, "word").groupBy("query_id", "n", "chunk_id").agg(F.count("*").alias("k"))
-    base = F.round(1.5 * F.least(F.col("k") / F.greatest("n", F.lit(1)), F.lit(1.0)), 4)
-    rows = shared.join(boosted.withColumn("b", F.lit(0.5)), "chunk_id", "left").withColumn("score", F.round(base + F.coalesce("b", F.lit(0.0)), 4)).where(F.col("score") >= least)
+    spread = posted.join(words.select("word").distinct(), "word").groupBy("word").agg(F.count("*").alias("df"))
+    ranked = words.join(spread, "word").withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("df", "word")))
+    # of the n words, k must be shared; words in no body were left out by the join and come first in any order
+    missing = W.partitionBy("query_id")
+    k = F.ceil((least - 5e-5) / 1.5 * F.col("n"))
+    rare = ranked.withColumn("absent", F.col("n") - F.count("*").over(missing)).where(F.col("r") + F.col("absent") <= F.col("n") - k + 1)
+    bodies = rare.select("query_id", "word").join(posted, "word").select("query_id", "chunk_id")
+
+    def marked(column: str) -> DataFrame:
+        return chunks.select("chunk_id", F.explode(column).alias("mark"))
+
+    marks = marked("keywords").union(marked("tags")).select("chunk_id", F.explode(F.array_distinct(tokens(F.col("mark")))).alias("word"))
+    by_word = marks.distinct().join(words, "word").select("query_id", "chunk_id")
+    keywords = marked("keywords")
+    forms = keywords.select(F.explode(F.array("mark", F.lower("mark"))).alias("needle"))
+    inside = substring_pairs(forms, queries.select(F.col("query_id").alias("text_id"), "text"))
+    either = keywords.select("chunk_id", F.explode(F.array_distinct(F.array("mark", F.lower("mark")))).alias("needle"))
+    by_text = either.join(inside, "needle").select(F.col("text_id").alias("query_id"), "chunk_id")
+
+    first = chunks.where("unit <> ''").withColumn("r", F.row_number().over(W.partitionBy("subject", "unit").orderBy("chunk_id"))).where(F.col("r") <= keep).select("chunk_id", "unit")
+    wanted, units = queries.where("unit <> ''").select("query_id", F.col("unit").alias("asked")), first.select("unit").distinct()
+    a = substring_pairs(units.select(F.col("unit").alias("needle")), wanted.select(F.col("asked").alias("text_id"), F.col("asked").alias("text")).distinct()).select(F.col("needle").alias("unit"), F.col("text_id").alias("asked"))
+    b = substring_pairs(wanted.select(F.col("asked").alias("needle")), units.select(F.col("unit").alias("text_id"), F.col("unit").alias("text"))).select(F.col("text_id").alias("unit"), F.col("needle").alias("asked"))
+    by_unit = first.join(a.union(b).distinct(), "unit").join(wanted, "asked").select("query_id", "chunk_id")
+    return bodies.union(by_word).union(by_text).union(by_unit).distinct()
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, boosted: DataFrame | None = None, least: float = 0.5, keep: int = 3) -> DataFrame:
+    """query_id, chunk_id, score, position: the ``keep`` best chunks of each query that score ``least`` or more, ties to the
+    smaller chunk_id.
+
+    queries: query_id, text, subject (null: any), unit (null: none). chunks: chunk_id (unique), subject, unit, keywords,
+    tags, text. Only chunks of the query's subject or of ``general`` count. boosted: query_id, chunk_id (distinct): half a
+    point more. A query without a word finds nothing.
+    """
+    pairs = candidate_pairs(queries, chunks, least, keep)
+    if boosted is not None:
+        pairs = pairs.union(boosted.select("query_id", "chunk_id")).distinct().join(boosted.select("query_id", "chunk_id", F.lit(0.5).alias("boost")), ["query_id", "chunk_id"], "left")
+    else:
+        pairs = pairs.withColumn("boost", F.lit(0.0))
+    asked = queries.select("query_id", F.col("text").alias("q"), F.col("subject").alias("q_subject"), F.col("unit").alias("q_unit"), tokens(F.col("text")).alias("q_tokens")).where(F.size("q_tokens") > 0)
+    rows = pairs.join(asked, "query_id").join(chunks, "chunk_id").where(F.col("q_subject").isNull() | F.col("subject").isin("general") | (F.col("subject") == F.col("q_subject")))
+    base = score_of(F.col("q"), F.array_distinct("q_tokens"), F.col("keywords"), F.col("tags"), F.col("text"), F.col("unit"), F.col("q_unit"))
+    rows = rows.select("query_id", "chunk_id", F.round(base + F.coalesce("boost", F.lit(0.0)), 4).alias("score")).where(F.col("score") >= least)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= keep).select("query_id", "chunk_id", "score", "position")
+    return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= keep)
+
+
+def matched_terms(queries: DataFrame, forms: DataFrame) -> DataFrame:
+    """query_id, term_id (distinct): the terms of which a query holds a form. forms: term_id, form."""
+    pairs = substring_pairs(forms.select(F.col("form").alias("needle")), queries.select(F.col("query_id").alias("text_id"), "text"))
+    near = pairs.join(queries.select("query_id", "text"), F.col("text_id") == F.col("query_id")).where(holds(F.col("text"), F.col("needle")))
+    return near.select("query_id", F.col("needle").alias("form")).join(forms, "form").select("query_id", "term_id").distinct()
+
+
+def expansions(queries: DataFrame, forms: DataFrame, confusable: DataFrame) -> DataFrame:
+    """query_id, text with the forms of the terms that it holds, and of those confusable with them, behind it in order.
+
+    forms: term_id, form. confusable: term_id, other (term_id)."""
+    terms = matched_terms(queries, forms)
+    both = terms.union(terms.join(confusable, "term_id").select("query_id", F.col("other").alias("term_id"))).distinct()
+    more = both.join(forms, "term_id").groupBy("query_id").agg(F.collect_set("form").alias("forms"))
+    none = F.array().cast("array<string>")
+    rows = queries.join(more, "query_id", "left").withColumn("forms", F.coalesce("forms", none))
+    return rows.withColumn("text", F.when(F.size("forms") > 0, expanded(F.col("text"), F.col("forms"))).otherwise(F.col("text"))).drop("forms")
 
 
 def expanded(query: Column, forms: Column) -> Column:

@@ -10,14 +10,23 @@ from lumengrid.plans.registry import query
 from lumengrid.sources.tables import table
 
 
-@query()
+@query(
+    """WITH RECURSIVE m AS (SELECT l_partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS i, l_returnflag = 'R' AS sell,
+  CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE l_quantity END::DOUBLE AS qty, (l_extendedprice / l_quantity)::DOUBLE AS price FROM lineitem),
+s AS (SELECT DISTINCT l_partkey, 0::BIGINT AS i, 0::DOUBLE AS units, 0::DOUBLE AS value, 0::DOUBLE AS sold FROM lineitem
+  UNION ALL SELECT s.l_partkey, m.i, CASE WHEN sell AND qty > units THEN NULL WHEN sell THEN units - qty ELSE units + qty END,
+  CASE WHEN sell AND qty > units THEN NULL WHEN sell THEN value - value / units * qty ELSE value + qty * price END, CASE WHEN sell AND qty > units THEN NULL WHEN sell THEN sold + value / units * qty ELSE sold END
+  FROM s JOIN m ON m.l_partkey = s.l_partkey AND m.i = s.i + 1)
+SELECT l_partkey, arg_max(struct_pack(u := units), i).u AS units, round(arg_max(struct_pack(u := value), i).u, 2) AS value, round(arg_max(struct_pack(u := sold), i).u, 2) AS sold FROM s GROUP BY l_partkey"""
+)
 def moving_average_inventory(spark, d) -> DataFrame:
-    """Moving-average stock of each part over its lines in order: returns are sales. A fold with state; tests hold it
-    against a loop. A part's lines are bounded by what is known of one item; they are sorted inside the row."""
+    """Moving-average stock of each part over its lines in order: returns are sales."""
+    sell = F.col("l_returnflag") == "R"
+    rows = table(spark, d, "lineitem").withColumns({"sell": sell, "qty": F.when(sell, 1.0).otherwise(F.col("l_quantity")).cast("double"), "price": (F.col("l_extendedprice") / F.col("l_quantity")).cast("double")})
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"]
-    move = F.struct(*order, F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("kind"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(F.col("l_quantity")).alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
-    rows = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_list(move)).alias("moves"))
-    return rows.select("l_partkey", folds.moving_average(F.col("moves")).alias("s")).select("l_partkey", "s.units", F.round("s.value", 2).alias("value"), F.round("s.sold", 2).alias("sold"))
+    kind = dict(rows.dtypes)["l_partkey"]
+    out = folds.streamed(rows, "l_partkey", order, ["sell", "qty", "price"], f"l_partkey {kind}, units double, value double, sold double", lambda: (0.0, 0.0, 0.0), folds.moving_average_step, lambda k, s: (k, *(s or (None, None, None))))
+    return out.select("l_partkey", "units", F.round("value", 2).alias("value"), F.round("sold", 2).alias("sold"))
 
 
 @query("SELECT o_orderkey, round(o_totalprice + o_custkey * 2 - 300, 2) AS total, NULL::DOUBLE AS unknown FROM orders")
@@ -30,13 +39,17 @@ def cash_flow_statement(spark, d) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.round(folds.signed_total(F.col("o_totalprice"), array, signs), 2).alias("total"), folds.signed_total(F.col("o_totalprice"), odd, signs).alias("unknown"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, (event_id * 7) % 11 AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 1::BIGINT AS next, []::BIGINT[] AS kept FROM events
+  UNION ALL SELECT s.user_id, e.i, CASE WHEN n BETWEEN next AND next + 3 THEN n + 1 ELSE next END, CASE WHEN n BETWEEN next AND next + 3 THEN list_append(kept, n) ELSE kept END FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+SELECT user_id, len(arg_max(kept, i)) AS n, array_to_string(arg_max(kept, i), ',') AS kept FROM s GROUP BY user_id"""
+)
 def sequential_numbering(spark, d) -> DataFrame:
-    """Numbers that continue a numbering, per user and in log order: a fold; tests hold it against a loop."""
-    number = F.pmod(F.col("event_id") * 7, F.lit(11)).cast("long")
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", number.alias("n")))).alias("a"))
-    kept = folds.accepted_numbers(F.transform("a", lambda s: s["n"]))
-    return rows.select("user_id", F.size(kept).cast("long").alias("n"), F.array_join(kept.cast("array<string>"), ",").alias("kept"))
+    """Numbers that continue a numbering, per user and in log order."""
+    rows = table(spark, d, "events").select("user_id", "event_id", F.pmod(F.col("event_id") * 7, F.lit(11)).cast("long").alias("n"))
+    kind = dict(rows.dtypes)["user_id"]
+    return folds.streamed(rows, "user_id", ["event_id"], ["n"], f"user_id {kind}, n long, kept string", lambda: (1, []), folds.accepted_step, lambda k, s: (k, len(s[1]), ",".join(map(str, s[1]))))
 
 
 @query(

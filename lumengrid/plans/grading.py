@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumengrid.functions import text as T
 from lumengrid.operators import grade
+from lumengrid.operators.numbering import numbered
 from lumengrid.plans.registry import query
 from lumengrid.sources.tables import VIEWS_SQL, attempts, problems, table
 
@@ -176,7 +177,7 @@ def review_queue(spark, d) -> DataFrame:
     """Severity counts of each tutorial over a fixed domain (others do not count), in the order of review."""
     counts = _findings(spark, d).groupBy("tutorial_id").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES], F.count("*").alias("findings"))
     priority = F.when(F.col("critical") > 3, 0).when(F.col("major") > 3, 1).otherwise(2)
-    return counts.withColumn("position", F.row_number().over(W.orderBy(priority, F.desc("critical"), F.desc("major"), "tutorial_id")))
+    return numbered(counts, [priority, -F.col("critical"), -F.col("major"), F.floor(F.col("tutorial_id") / 4096)], ["tutorial_id"], "position")
 
 
 @query(f"{FINDINGS_SQL} SELECT category, severity, count(*) AS n FROM f WHERE severity <> 'other' GROUP BY ALL")

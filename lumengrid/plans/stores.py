@@ -24,12 +24,12 @@ def upsert_latest(spark, d) -> DataFrame:
     return sinks.upserted(target, batch.select("user_id", "event_id", "value", "created"), ["user_id"], "event_id", ["created"])
 
 
-@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS n FROM lineitem WHERE l_orderkey % 3 <> 0) SELECT l_orderkey, l_linenumber, l_partkey FROM r WHERE n = 1 AND (l_orderkey, l_linenumber) NOT IN (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 5)")
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS n FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey FROM r WHERE n = 1 AND (l_orderkey, l_linenumber) NOT IN (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 5)")
 def insert_ignore(spark, d) -> DataFrame:
-    """The rows that an insert-or-ignore adds: the first of each key that the target lacks."""
+    """The rows that an insert-or-ignore adds: the first of each key that the target lacks. All lines are offered."""
     lines = table(spark, d, "lineitem")
     order = F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    batch = lines.where("l_orderkey % 3 <> 0").withColumn("o", order)
+    batch = lines.withColumn("o", order)
     return sinks.inserted_or_ignored(lines.where("l_quantity < 5"), batch, ["l_orderkey", "l_linenumber"], "o").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
@@ -76,11 +76,11 @@ def anti_resume(spark, d) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey").join(table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
 
 
-@query("SELECT p_partkey AS id, 'synthetic' AS origin, p_name AS name FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT s_suppkey, 'real', s_name FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 4 = 0)")
+@query("SELECT p_partkey AS id, 'synthetic' AS origin, p_name AS name FROM part UNION ALL SELECT s_suppkey * 97, 'real', s_name FROM supplier WHERE s_suppkey * 97 NOT IN (SELECT p_partkey FROM part)")
 def catalog_union(spark, d) -> DataFrame:
     """Two catalogues in one; an id of the first hides that of the second."""
-    first = table(spark, d, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id"), F.lit("synthetic").alias("origin"), F.col("p_name").alias("name"))
-    second = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("real").alias("origin"), F.col("s_name").alias("name"))
+    first = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit("synthetic").alias("origin"), F.col("p_name").alias("name"))
+    second = table(spark, d, "supplier").select((F.col("s_suppkey") * 97).alias("id"), F.lit("real").alias("origin"), F.col("s_name").alias("name"))
     return first.unionByName(second.join(first.select("id"), "id", "left_anti"))
 
 
@@ -164,7 +164,7 @@ def route_backend(spark, d) -> DataFrame:
 def next_ids(spark, d) -> DataFrame:
     """Ids that go on from the largest number in use."""
     known = table(spark, d, "customer").select(F.col("c_name").alias("new_id"))
-    return sinks.next_ids(known, table(spark, d, "supplier").select("s_suppkey"), "new_id", "S-", ["s_suppkey"], 9)
+    return sinks.next_ids(known, table(spark, d, "supplier").select("s_suppkey"), "new_id", "S-", "s_suppkey", 9)
 
 
 @query("SELECT s_suppkey, '{\"s_name\": \"' || s_name || '\", \"s_nationkey\": \"' || s_nationkey || '\", \"s_suppkey\": \"' || s_suppkey || '\"}' AS line FROM supplier")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumengrid.operators.numbering import numbered
+
 
 def upserted(target: DataFrame, batch: DataFrame, key: list[str], order: str, keep_old: list[str] | None = None) -> DataFrame:
     """target with the batch's last row of each key in place of its own; ``keep_old`` columns keep the older value."""
@@ -30,11 +32,12 @@ def activated(rows: DataFrame, user: str, order: list) -> DataFrame:
     return rows.withColumn("is_active", F.row_number().over(W.partitionBy(user).orderBy(*order)) == 1)
 
 
-def next_ids(existing: DataFrame, new: DataFrame, column: str, prefix: str, order: list, width: int = 4) -> DataFrame:
-    """Adds to ``new`` the ids after the largest numeric suffix in ``existing``."""
-    top = existing.agg(F.coalesce(F.max(F.regexp_extract(column, "([0-9]+)$", 1).try_cast("int")), F.lit(0)).alias("top")).first()["top"]
-    number = F.row_number().over(W.orderBy(*order)) + top
-    return new.withColumn(column, F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0")))
+def next_ids(existing: DataFrame, new: DataFrame, column: str, prefix: str, order: str, width: int = 4, group: int = 4096) -> DataFrame:
+    """Adds to ``new`` the ids after the largest numeric suffix in ``existing``, by ``order`` (a column of whole numbers),
+    numbered in groups of ``group`` neighbouring values."""
+    top = existing.agg(F.coalesce(F.max(F.regexp_extract(column, "([0-9]+)$", 1).try_cast("long")), F.lit(0)).alias("top")).first()["top"]
+    rows = numbered(new, [F.floor(F.col(order) / group)], [order], "_number")
+    return rows.withColumn(column, F.concat(F.lit(prefix), F.lpad((F.col("_number") + top).cast("string"), width, "0"))).drop("_number")
 
 
 def canonical_json(columns: list[str]) -> Column:

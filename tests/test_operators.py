@@ -149,7 +149,10 @@ def test_policy(spark):
 
 def test_page_text():
     title, text = html.page_text("<html><title>A &amp; B</title><script>x<p></script><body><p>one  two</p><div>three<br>four</div></body>")
-    assert (title, text) == ("A & B", "one two\nthree\nfour")
+    assert (title, text) == ("A & B", "A & B \none two \nthree \nfour")
+    assert html.page_text("<svg><style>x</svg>y</style></svg>z &amp;lt;") == ("", "z <")  # only the innermost closes
+    assert html.page_text("<noscript>a</p>b") == ("", "") and html.page_text(None) == ("", "")
+    assert html.page_text("<table><tr><td>a<td>b</tr></table><h4>c</h4><li>d<section>e</section>f") == ("", "a b \nc \nd \ne f")
 
 
 def test_moving_average(spark):
