@@ -2,8 +2,9 @@
 
 A rule is a row of RULES: its id, the words that its question must hold, the labels of its values (each the first number
 within 120 characters after the label), a formula over them, and its confidence. A rule abstains (null) where a value is
-missing or the formula is undefined. ``solve`` tries the rules in order and takes the first that does not abstain; it adds
-columns in groups, so no single expression outgrows generated code.
+missing or the formula is undefined. ``solve`` tries the rules in order and takes the first that does not abstain. All of
+them stand inside one lambda over the text, which Spark evaluates as it is: a rule whose guards fail costs only its guards,
+and no generated method grows with the number of rules.
 """
 
 from __future__ import annotations
@@ -104,19 +105,17 @@ def answers(text: Column, rules: list[Rule] = RULES) -> list[tuple[Rule, Column]
     return out
 
 
-def solve(questions: DataFrame, bank: DataFrame | None = None, group: int = 10) -> DataFrame:
+def _first(text: Column) -> Column:
+    """(r, v, c) of the first rule that answers; null if none does."""
+    found = [F.when(v.isNotNull(), F.struct(F.lit(r.rule_id).alias("r"), v.alias("v"), F.lit(r.confidence).alias("c"))) for r, v in answers(text)]
+    return F.coalesce(*found)
+
+
+def solve(questions: DataFrame, bank: DataFrame | None = None) -> DataFrame:
     """question_id, rule_id, value, choice (0-based, -1: abstains), confidence. questions: question_id, text, choices (numbers).
     ``bank`` (question_id, choice, confidence) answers where every rule abstains."""
-    rows = questions.withColumns({"rule_id": F.lit(None).cast("string"), "value": F.lit(None).cast("double"), "confidence": F.lit(0.0)})
-    pairs = answers(F.lower("text"))
-    for i in range(0, len(pairs), group):
-        batch = pairs[i : i + group]
-        rows = rows.withColumns({f"_v{k}": v for k, (_, v) in enumerate(batch)})
-        name, value, sure = F.col("rule_id"), F.col("value"), F.col("confidence")
-        free = F.col("rule_id").isNull()
-        first = F.coalesce(*[F.when(F.col(f"_v{k}").isNotNull(), F.struct(F.lit(r.rule_id).alias("r"), F.col(f"_v{k}").alias("v"), F.lit(r.confidence).alias("c"))) for k, (r, _) in enumerate(batch)])
-        rows = rows.withColumn("_f", F.when(free, first))
-        rows = rows.withColumns({"rule_id": F.coalesce("_f.r", name), "value": F.coalesce("_f.v", value), "confidence": F.coalesce("_f.c", sure)}).drop("_f", *[f"_v{k}" for k in range(len(batch))])
+    rows = questions.withColumn("_f", F.element_at(F.transform(F.array(F.lower("text")), _first), 1))
+    rows = rows.withColumns({"rule_id": F.col("_f.r"), "value": F.col("_f.v"), "confidence": F.coalesce("_f.c", F.lit(0.0))}).drop("_f")
     rows = rows.withColumn("choice", F.coalesce(nearest_choice(F.col("value"), F.col("choices")), F.lit(-1)))
     if bank is not None:
         known = bank.select("question_id", F.col("choice").alias("_c"), F.col("confidence").alias("_p"))
@@ -124,3 +123,54 @@ def solve(questions: DataFrame, bank: DataFrame | None = None, group: int = 10)
         use = F.col("rule_id").isNull() & F.col("_c").isNotNull()
         rows = rows.withColumns({"choice": F.when(use, F.col("_c")).otherwise(F.col("choice")), "confidence": F.when(use, F.col("_p")).otherwise(F.col("confidence")), "rule_id": F.when(use, "known_solution_bank").otherwise(F.col("rule_id"))})
     return rows.select("question_id", F.coalesce("rule_id", F.lit("unsupported")).alias("rule_id"), "value", F.col("choice").cast("int").alias("choice"), "confidence")
+
+
+def treasury_sales(cost: Column, sales: Column) -> Column:
+    """Own shares bought at ``cost`` each and sold (array of struct of qty, price): book and cash of the sales, and the gain
+    (loss if negative), which is capital, never income. Nothing is null that is known: no sales give zeros."""
+    zero = F.struct(F.lit(0.0).alias("cash"), F.lit(0.0).alias("book"))
+    sums = F.aggregate(sales, zero, lambda s, x: F.struct((s["cash"] + x["qty"] * x["price"]).alias("cash"), (s["book"] + x["qty"] * cost).alias("book")))
+    return F.transform(F.array(sums), lambda s: F.struct(s["cash"].alias("cash"), s["book"].alias("book"), (s["cash"] - s["book"]).alias("gain")))[0]
+
+
+def entry_choice(choices: Column, amounts: list[Column], label: Column, needs: list[str], bars: list[str] = []) -> Column:
+    """The 0-based place of the first choice that names all amounts, the label and every needed word, and no barred one; -1."""
+
+    def numbers(c: Column) -> Column:
+        return F.transform(F.regexp_extract_all(c, F.lit("([0-9][0-9,]*)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
+
+    def fits(c: Column) -> Column:
+        out = F.contains(c, label)
+        for x in amounts:
+            out = out & F.array_contains(numbers(c), x)
+        for w in needs:
+            out = out & F.contains(c, F.lit(w))
+        for w in bars:
+            out = out & ~F.contains(c, F.lit(w))
+        return out
+
+    places = F.transform(choices, lambda c, i: F.when(fits(c), i))
+    return F.coalesce(F.array_min(F.filter(places, lambda i: i.isNotNull())), F.lit(-1))
+
+
+def taxable_income(text: Column, base: str, subtract: list[str], add: list[str], barred: list[tuple[str, str]]) -> Column:
+    """The number after ``base``, with what each other line names added or taken away; null if a line with an amount has no
+    sign, or several amounts. A line is taken away if it holds a word of ``subtract`` (for a word of ``barred``: and not the
+    other one), else added if it holds one of ``add``. Lines without an amount of three digits do not count."""
+    lines = F.filter(F.split(text, "[\r\n]+"), lambda x: ~F.contains(x, F.lit(base)))
+
+    def of(x: Column) -> Column:
+        found = F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit("([0-9][0-9,]{2,})"), F.lit(1)), lambda n: F.replace(n, F.lit(","), F.lit("")).cast("double")))
+        less = F.lit(False)
+        for w in subtract:
+            less = less | F.contains(x, F.lit(w))
+        for w, unless in barred:
+            less = less | (F.contains(x, F.lit(w)) & ~F.contains(x, F.lit(unless)))
+        more = F.lit(False)
+        for w in add:
+            more = more | F.contains(x, F.lit(w))
+        sign = F.when(less, -1.0).when(more, 1.0)
+        return F.when(F.size(found) == 0, 0.0).when(F.size(found) == 1, sign * F.get(found, F.lit(0)))
+
+    start = F.replace(F.regexp_extract(text, f"{base}[^0-9]{{0,8}}([0-9,]+)", 1), F.lit(","), F.lit("")).try_cast("double")
+    return F.aggregate(F.transform(lines, of), start, lambda s, v: s + v)

@@ -21,7 +21,7 @@ terms AS (SELECT DISTINCT regexp_extract(text, '^([A-Za-z]{{2,}})', 1) AS term_i
 forms AS (SELECT DISTINCT term_id, unnest([term_id, upper(term_id)]) AS form FROM terms),
 confusable AS (SELECT term_id, other FROM (SELECT term_id, lead(term_id) OVER (PARTITION BY left(term_id, 1) ORDER BY term_id) AS other FROM terms) WHERE other IS NOT NULL),
 items AS (SELECT item_id AS query_id, text, CASE WHEN item_id % 5 > 0 THEN ['en', 'de', 'fr', 'es'][1 + item_id % 4] END AS subject, 'src' || (item_id % 20) AS unit FROM benchmark),
-matched AS (SELECT DISTINCT query_id, term_id FROM items JOIN forms ON regexp_matches(text, '(^|[^A-Za-z0-9])' || form || '($|[^A-Za-z0-9])')),
+matched AS (SELECT DISTINCT query_id, term_id FROM items JOIN forms ON contains(text, form) AND regexp_matches(text, '(^|[^A-Za-z0-9])' || form || '($|[^A-Za-z0-9])')),
 near AS (SELECT * FROM matched UNION SELECT query_id, other FROM matched JOIN confusable USING (term_id)),
 more AS (SELECT query_id, string_agg(form, ' ' ORDER BY form) AS forms FROM (SELECT DISTINCT query_id, form FROM near JOIN forms USING (term_id)) GROUP BY query_id),
 wide AS (SELECT items.* REPLACE (CASE WHEN forms IS NULL THEN text ELSE text || ' ' || forms END AS text) FROM items LEFT JOIN more USING (query_id))"""
@@ -67,7 +67,7 @@ def retrieve_topk(spark, d) -> DataFrame:
     return retrieve.retrieve(_queries(spark, d), _chunks(spark, d))
 
 
-BOOSTED_SQL = f"""{TABLES_SQL}, {PAIRS_SQL.replace('__ROWS__', 'wide')}, defined AS (SELECT DISTINCT term_id, chunk_id FROM forms JOIN chunks ON list_contains(keywords, form) OR regexp_matches(text, '(^|[^A-Za-z0-9])' || form || '($|[^A-Za-z0-9])')),
+BOOSTED_SQL = f"""{TABLES_SQL}, {PAIRS_SQL.replace('__ROWS__', 'wide')}, defined AS (SELECT DISTINCT term_id, chunk_id FROM forms JOIN chunks ON list_contains(keywords, form) OR contains(text, form) AND regexp_matches(text, '(^|[^A-Za-z0-9])' || form || '($|[^A-Za-z0-9])')),
 hit AS (SELECT DISTINCT query_id, chunk_id FROM matched JOIN defined USING (term_id)),
 lifted AS (SELECT query_id, chunk_id, round(score + CASE WHEN hit.query_id IS NULL THEN 0.0 ELSE 0.5 END, 4)::DOUBLE AS score FROM pairs LEFT JOIN hit USING (query_id, chunk_id)), {BEST_SQL.format('lifted')}"""
 

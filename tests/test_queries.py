@@ -43,3 +43,13 @@ def test_scans_read_only_what_they_need(spark):
     plan = QUERIES["user_subject_state"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "p_retailprice" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("name", ["formula_rules", "recommend_topk", "retrieve_topk", "user_risk_tags", "risk_score"])
+def test_plans_stay_in_generated_code(spark, name):
+    """With no way back to interpreted code, a method that outgrows 64 KB would fail the query."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert QUERIES[name](spark, SF_DIR).count() >= 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
