@@ -100,16 +100,17 @@ def match_concepts(labels: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def prerequisite_path(roots: DataFrame, prerequisites: DataFrame, max_depth: int = 3, max_nodes: int = 12) -> DataFrame:
-    """root, term_id, depth, position: what to learn first. Breadth first to ``max_depth``; a term keeps its least depth;
-    the nearest ``max_nodes`` stay, and the deepest come first. Cycles end with the depth.
+    """root, term_id, depth, why, position: what to learn first. Breadth first to ``max_depth``; a term keeps its least depth
+    and, as its reason, the least term of the level before that needs it (null for the root); the nearest ``max_nodes``
+    stay, and the deepest come first. Cycles end with the depth.
 
     roots: root. prerequisites: term_id, needs. One equi-join a level; a level keeps each (root, term) once.
     """
-    front = roots.select("root", F.col("root").alias("term_id")).distinct().withColumn("depth", F.lit(0))
+    front = roots.select("root", F.col("root").alias("term_id")).distinct().withColumns({"depth": F.lit(0), "why": F.lit(None).cast(dict(roots.dtypes)["root"])})
     seen = front
     for depth in range(1, max_depth + 1):
-        step = front.join(prerequisites, "term_id").select("root", F.col("needs").alias("term_id")).distinct()
-        front = step.join(seen.select("root", "term_id"), ["root", "term_id"], "left_anti").withColumn("depth", F.lit(depth))
+        step = front.select("root", "term_id").join(prerequisites, "term_id").groupBy("root", F.col("needs").alias("term_id")).agg(F.min("term_id").alias("why"))
+        front = step.join(seen.select("root", "term_id"), ["root", "term_id"], "left_anti").select("root", "term_id", F.lit(depth).alias("depth"), "why")
         seen = seen.unionByName(front)
     near = W.partitionBy("root").orderBy("depth", "term_id")
     chosen = seen.withColumn("r", F.row_number().over(near)).where(F.col("r") <= max_nodes).drop("r")

@@ -70,6 +70,20 @@ def subject_hours(states: DataFrame) -> DataFrame:
     return rows.select("plan_id", "subject", F.when(F.col("h_all") <= 0, 0.0).otherwise(hours).alias("hours"))
 
 
+def full_plan(plans: DataFrame, states: DataFrame, most: int = 52) -> DataFrame:
+    """plan_id, week, label, stage, hours (text of subject=hours by position): every week of a plan, with its stage (stages
+    take their weeks one after the other) and the hours of each subject. plans: plan_id, days, stage. states as for
+    ``subject_hours``."""
+    names = F.array(*[F.lit(s) for s, _ in STAGES])
+    order = W.partitionBy("plan_id").orderBy(F.array_position(names, F.col("stage")))
+    spans = stage_weeks(plans, most).withColumn("last", F.sum("n_weeks").over(order))
+    each = spans.select("plan_id", "stage", F.explode(F.sequence(F.col("last") - F.col("n_weeks") + 1, F.col("last"))).alias("week"))
+    said = F.concat("subject", F.lit("="), F.col("hours").cast("decimal(10,2)").cast("string"))
+    given = subject_hours(states).join(states.select("plan_id", "subject", "position"), ["plan_id", "subject"])
+    hours = given.groupBy("plan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", said.alias("s")))), lambda x: x["s"]), ",").alias("hours"))
+    return weeks(plans, most).join(each, ["plan_id", "week"], "left").join(hours, "plan_id", "left").select("plan_id", "week", "label", "stage", "hours")
+
+
 def slots(items: DataFrame, by: list[str], order: list[str], n_slots: Column) -> DataFrame:
     """Adds slot (from 0): items in order, dealt evenly, ceil(items / slots) to each slot."""
     w = W.partitionBy(*by)

@@ -86,6 +86,14 @@ def candidates(states: DataFrame, questions: DataFrame, weak: DataFrame, tried:
     return known.unionByName(neutral.withColumn("score", score(F.col("accuracy"), F.lit(False), F.lit(False), F.lit(False))))
 
 
+def in_turn(rows: DataFrame, group: str, order: list, keep: int) -> DataFrame:
+    """Like ``round_robin``, with the groups in the order in which they are first seen."""
+    ranked = top(rows, [group], order, keep, "turn")
+    first = rows.groupBy(group).agg(F.min(F.struct(*order)).alias("_seen"))
+    last = ranked.join(first, group).orderBy("turn", "_seen").limit(keep)
+    return last.withColumn("position", F.row_number().over(W.orderBy("turn", "_seen"))).drop("_seen")
+
+
 #: Subjects are a short list; more are refused, never left out.
 MOST_SUBJECTS = 1000
 

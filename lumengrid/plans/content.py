@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumengrid.functions.text import occurrences
 from lumengrid.operators import content as C
+from lumengrid.operators import recommend
 from lumengrid.operators.numbering import numbered
 from lumengrid.plans.registry import query
 from lumengrid.sources.tables import table
@@ -346,3 +347,83 @@ def ontology(spark, d) -> DataFrame:
 
     raw = F.concat(F.lit('{"subjects": [{"subject_id": "s'), key, F.lit('", "nodes": ['), F.concat_ws(", ", *[node(i) for i in range(3)]), F.lit("]}]}"))
     return C.ontology_nodes(table(spark, d, "nation").select(raw.alias("raw")))
+
+
+@query(
+    """WITH a AS (SELECT o_orderkey AS asset_id, ['internal://x', 'manual://y', 'https://z'][1 + o_orderkey % 3] || o_custkey AS url, CASE WHEN o_orderkey % 2 = 0 THEN 'metadata_page' ELSE 'file' END AS fetch_policy, o_custkey % 4 AS priority, ['exam', 'book', 'note'][1 + o_custkey % 3] AS source_type FROM orders)
+SELECT asset_id, row_number() OVER (ORDER BY priority, asset_id) AS position FROM a WHERE fetch_policy = 'metadata_page' AND url NOT LIKE 'internal://%' AND url NOT LIKE 'manual://%' AND source_type IN ('exam', 'book')"""
+)
+def fetch_queue(spark, d) -> DataFrame:
+    """What is to be fetched, of some source types and not from our own addresses, by priority and id."""
+    key, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, d, "orders").select(
+        key.alias("asset_id"), F.concat(_of(["internal://x", "manual://y", "https://z"], key), c.cast("string")).alias("url"), F.when(key % 2 == 0, "metadata_page").otherwise("file").alias("fetch_policy"),
+        (c % 4).alias("priority"), _of(["exam", "book", "note"], c).alias("source_type"),
+    )
+    rows = rows.where((F.col("fetch_policy") == "metadata_page") & ~F.col("url").like("internal://%") & ~F.col("url").like("manual://%") & F.col("source_type").isin("exam", "book"))
+    return numbered(rows, [F.col("priority"), F.floor(F.col("asset_id") / 4096)], ["asset_id"], "position").select("asset_id", "position")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_type AS subject, p_brand AS unit, CASE WHEN p_size % 3 > 0 THEN 'real' END AS source, CASE WHEN p_size % 4 > 0 THEN 2020 + p_size % 4 END AS year FROM part),
+g AS (SELECT * FROM p WHERE coalesce(source, 'synthetic') = 'real' AND year >= 2021 AND p_partkey > 50 ORDER BY p_partkey LIMIT 20)
+SELECT p_partkey, subject, unit, year, (SELECT CASE WHEN count(*) = 20 THEN max(p_partkey) END FROM g) AS next_after FROM g"""
+)
+def practice_page(spark, d) -> DataFrame:
+    """A page of practice questions by source (synthetic if none is given) and year, with its cursor."""
+    n = F.col("p_size")
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("subject"), F.col("p_brand").alias("unit"), F.when(n % 3 > 0, "real").alias("source"), F.when(n % 4 > 0, 2020 + n % 4).alias("year"))
+    page = rows.where((F.coalesce("source", F.lit("synthetic")) == "real") & (F.col("year") >= 2021) & (F.col("p_partkey") > 50)).orderBy("p_partkey").limit(20)
+    whole = W.partitionBy(F.lit(0))  # twenty rows
+    return page.select("p_partkey", "subject", "unit", "year", F.when(F.count("*").over(whole) == 20, F.max("p_partkey").over(whole)).alias("next_after"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r, event_type FROM events) SELECT event_type, event_id FROM e WHERE r <= 25"""
+)
+def stratified_sample(spark, d) -> DataFrame:
+    """The first 25 of each type, in input order."""
+    return recommend.top(table(spark, d, "events").select("event_type", "event_id"), ["event_type"], ["event_id"], 25).select("event_type", "event_id")
+
+
+@query(
+    """WITH e AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS turn, min(event_id) OVER (PARTITION BY event_type) AS seen FROM events), r AS (SELECT *, row_number() OVER (ORDER BY turn, seen) AS position FROM e) SELECT event_type, event_id, position FROM r WHERE position <= 30"""
+)
+def first_seen_rotation(spark, d) -> DataFrame:
+    """One of each type after the other, types in the order in which they are first seen."""
+    return recommend.in_turn(table(spark, d, "events").select("event_type", "event_id"), "event_type", ["event_id"], 30).select("event_type", "event_id", "position")
+
+
+@query(
+    """WITH p AS (SELECT p_type AS subject, CASE WHEN p_size % 4 > 0 THEN 2020 + p_size % 4 END AS year, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END AS paths, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 3 END AS links FROM part)
+SELECT subject, year, count(*) AS questions, sum(paths)::BIGINT AS paths, sum(links)::BIGINT AS links FROM p WHERE year IS NOT NULL GROUP BY ALL"""
+)
+def nested_counts(spark, d) -> DataFrame:
+    """Questions by subject and year (rows without a year do not count), with the paths in them and what these hold."""
+    n = F.col("p_size")
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("subject"), F.when(n % 4 > 0, 2020 + n % 4).alias("year"))
+    inside = F.aggregate("paths", F.lit(0), lambda s, p: s + F.greatest(F.size(F.coalesce(p["eliminations"], F.expr("array()").cast("array<struct<choice_index:int,reason:string>>"))), F.lit(0)))
+    rows = _maps(spark, d).select("p_partkey", F.size("paths").alias("n_paths"), inside.alias("n_links")).join(parts, "p_partkey").where("year is not null")
+    return rows.groupBy("subject", "year").agg(F.count("*").alias("questions"), F.sum("n_paths").alias("paths"), F.sum("n_links").alias("links"))
+
+
+@query(
+    """WITH e AS (SELECT event_type AS subject, ['codex', 'local'][1 + user_id % 2] AS backend, value >= 0.5 AS good, event_id % 9 > 0 AS parsed, value AS seconds FROM events)
+SELECT subject, backend, count(*) AS n, count_if(good AND parsed)::BIGINT AS correct, round(count_if(parsed) / count(*), 4) AS parse_rate, round(avg(seconds), 4) AS mean_seconds FROM e GROUP BY ALL"""
+)
+def backend_counters(spark, d) -> DataFrame:
+    """Counters of each subject and backend: right answers, share of answers that parse, mean time."""
+    parsed = F.col("event_id") % 9 > 0
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("subject"), _of(["codex", "local"], F.col("user_id")).alias("backend")).agg(
+        F.count("*").alias("n"), F.count_if((F.col("value") >= 0.5) & parsed).alias("correct"), F.round(F.count_if(parsed) / F.count("*"), 4).alias("parse_rate"), F.round(F.avg("value"), 4).alias("mean_seconds")
+    )
+
+
+@query(
+    """SELECT p_partkey, array_to_string(list_distinct_in_order[1:3], ',') AS items FROM (SELECT p_partkey, list_filter([p_brand, '', p_type, p_brand, NULL, p_name, 'last'], lambda x: x IS NOT NULL AND x <> '') AS v,
+  list_transform(list_filter(list_zip(v, range(len(v))), lambda z: list_position(v, z[1]) = z[2] + 1), lambda z: z[1]) AS list_distinct_in_order FROM part)"""
+)
+def unique_slices(spark, d) -> DataFrame:
+    """The first three distinct values that are not empty, in their order."""
+    values = F.array("p_brand", F.lit(""), "p_type", "p_brand", F.lit(None).cast("string"), "p_name", F.lit("last"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(C.first_unique(values, 3), ",").alias("items"))

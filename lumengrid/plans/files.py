@@ -135,7 +135,7 @@ def stream_running_state(spark, d) -> DataFrame:
     return _completed(spark, ingest.running_state(_replayed(spark, d, folder)), folder).select("user_id", "n", F.round("total", 4).alias("total"))
 
 
-@query(f"WITH {FED} SELECT (epoch(ts)::BIGINT // 60) AS minute, event_type, count(*) AS n FROM fed GROUP BY ALL")
+@query(f"WITH {FED} SELECT floor(epoch(ts) / 60)::BIGINT AS minute, event_type, count(*) AS n FROM fed GROUP BY ALL")
 def stream_minute_counts(spark, d) -> DataFrame:
     """Requests of each type in each minute."""
     folder = _folder(spark)

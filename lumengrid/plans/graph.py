@@ -116,13 +116,14 @@ def _needs(spark, d) -> DataFrame:
 @query(
     f"""WITH RECURSIVE {NEEDS_SQL}, walk AS (SELECT p_partkey AS root, p_partkey AS term_id, 0 AS depth FROM part 
   UNION SELECT root, needs, depth + 1 FROM walk JOIN needs USING (term_id) WHERE depth < 3),
-m AS (SELECT root, term_id, min(depth) AS depth FROM walk GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, term_id) AS n FROM m)
-SELECT root, term_id, depth::INT AS depth, row_number() OVER (PARTITION BY root ORDER BY depth DESC, term_id) AS position FROM r WHERE n <= 12"""
+m AS (SELECT root, term_id, min(depth) AS depth FROM walk GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, term_id) AS n FROM m),
+y AS (SELECT a.root, needs AS term_id, b.depth, min(a.term_id) AS why FROM m a JOIN needs USING (term_id) JOIN m b ON b.root = a.root AND b.term_id = needs AND b.depth = a.depth + 1 GROUP BY ALL)
+SELECT root, term_id, r.depth::INT AS depth, why, row_number() OVER (PARTITION BY root ORDER BY r.depth DESC, term_id) AS position FROM r LEFT JOIN y USING (root, term_id) WHERE n <= 12"""
 )
 def learning_path(spark, d) -> DataFrame:
     """What to learn before each part, at most three steps back and twelve terms."""
     roots = table(spark, d, "part").select(F.col("p_partkey").alias("root"))
-    return graph.prerequisite_path(roots, _needs(spark, d)).select("root", "term_id", "depth", "position")
+    return graph.prerequisite_path(roots, _needs(spark, d)).select("root", "term_id", "depth", "why", "position")
 
 
 @query(

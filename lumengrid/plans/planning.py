@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumengrid.operators import planning
-from lumengrid.plans.registry import query
+from lumengrid.plans.registry import ORACLE_SQL, query
 from lumengrid.sources.tables import table
 
 STAGE_NAMES = [s for s, _ in planning.STAGES]
@@ -79,3 +79,22 @@ def content_rotation(spark, d) -> DataFrame:
 def feasibility(spark, d) -> DataFrame:
     rows = _plans(spark, d).select("plan_id", F.round(3500 * (F.col("plan_id") % 7) / 6).cast("long").alias("required"), F.round(F.col("hours_per_day") * F.col("days"), 2).alias("planned"))
     return rows.withColumn("verdict", planning.feasibility(F.col("required"), F.col("planned")))
+
+
+def _cte(name: str, sql: str) -> str:
+    """A query's SQL as a common table of another one."""
+    return f"{name} AS ({sql})"
+
+
+_ORDER_SQL = "CASE stage " + " ".join(f"WHEN '{s}' THEN {i}" for i, (s, _) in enumerate(planning.STAGES)) + " END"
+
+
+@query(
+    f"""WITH {_cte('wk', ORACLE_SQL['week_generator'])}, {_cte('ap', ORACLE_SQL['stage_apportion'])}, {_cte('ha', ORACLE_SQL['hours_allocation'])},
+sp AS (SELECT *, sum(n_weeks) OVER (PARTITION BY plan_id ORDER BY {_ORDER_SQL}) AS last FROM ap), ea AS (SELECT plan_id, stage, unnest(range((last - n_weeks + 1)::BIGINT, last::BIGINT + 1)) AS week FROM sp),
+ho AS (SELECT plan_id, string_agg(subject || '=' || hours::DECIMAL(10,2), ',' ORDER BY r_regionkey) AS hours FROM ha JOIN region ON r_name = subject GROUP BY plan_id)
+SELECT plan_id, week, label, stage, hours FROM wk LEFT JOIN ea USING (plan_id, week) LEFT JOIN ho USING (plan_id)"""
+)
+def full_plan(spark, d) -> DataFrame:
+    """Every week of a plan with its label, its stage and the hours of each subject."""
+    return planning.full_plan(_plans(spark, d), _states(spark, d))

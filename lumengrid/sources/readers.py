@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -121,6 +123,36 @@ def decoded(files: DataFrame, charsets: tuple[str, ...] = ("utf-8", "cp949", "eu
     return files.select("path", "content", "charset").mapInPandas(run, "path string, text string")
 
 
+def zip_members(files: DataFrame, ending: str = ".pdf") -> DataFrame:
+    """files: path, content (binary zip archives). path, name, size and content of the members whose names end so, without
+    their folders; names that are not marked as UTF-8 are read as Korean where they can be. Broken archives have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b.path, b.content, strict=True):
+                rows = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content or b"")) as archive:
+                        for member in archive.infolist():
+                            if not member.is_dir() and member.filename.lower().endswith(ending):
+                                data = archive.read(member)
+                                rows.append((path, _korean(member).rsplit("/", 1)[-1], len(data), data))
+                except (zipfile.BadZipFile, RuntimeError):
+                    rows = []
+                yield pd.DataFrame(rows, columns=["path", "name", "size", "content"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, name string, size long, content binary")
+
+
+def _korean(member: zipfile.ZipInfo) -> str:
+    if member.flag_bits & 0x800:  # marked as UTF-8
+        return member.filename
+    try:
+        return member.filename.encode("cp437").decode("cp949")
+    except (UnicodeEncodeError, UnicodeDecodeError):
+        return member.filename
+
+
 def attachment_links(html: Column, extensions: tuple[str, ...] = ("pdf", "hwp", "zip")) -> Column:
     """The distinct links of a page that end in one of the extensions, in order."""
     links = F.regexp_extract_all(html, F.lit("(?i)href\\s*=\\s*[\"']([^\"']+)[\"']"), F.lit(1))

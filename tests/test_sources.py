@@ -87,3 +87,23 @@ def test_stream_counts_leave_out_late_rows(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.n for r in spark.table("counts").select(F.col("n")).collect()] == [2]
+
+
+def test_zip_members_with_repaired_names(spark):
+    import io
+    import zipfile
+
+    def archive(*members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in members:
+                z.writestr(zipfile.ZipInfo(name), data)
+        return out.getvalue()
+
+    raw = archive(("a/b.PDF", b"1"), ("c.txt", b"2"), ("x.pdf", b"345"))
+    korean = bytearray(archive(("AAAA.pdf", b"6")))
+    name = "회계".encode("cp949")
+    korean = bytes(korean).replace(b"AAAA", name)
+    files = spark.createDataFrame([("one", raw), ("two", korean), ("broken", b"nothing"), ("none", None)], "path string, content binary")
+    got = sorted((r.path, r.name, r["size"]) for r in readers.zip_members(files).collect())
+    assert got == [("one", "b.PDF", 1), ("one", "x.pdf", 3), ("two", "회계.pdf", 1)]
