@@ -11,10 +11,10 @@
    the stars are groups that no link can leave.
 4. Each group gets its members' texts and finds every link by exact intersection sizes. A group with more shingles than
    ``block_shingles`` (a member counts for 1000 at least) is dealt out in blocks: first each block by itself, with some
-   pivots of the group beside it, which makes most groups one component. In groups that are not, the rest goes by band key:
-   only where the members of a key are in several components, those outside the largest one meet the others of the same
-   key, block by block. So a task holds two blocks at most, members of a long chain that share no key never meet, and no
-   pair of one key that could still add a link is left out.
+   pivots of the group beside it, which makes most groups one component. In groups that are not, the members outside the
+   largest component meet the others, block by block: all others of the group, where that sends each member MOST_COPIES times
+   at most on average (a few stray members), else only those of the same band key (a long chain, whose members must not all
+   meet). A task holds two blocks at most, and no pair of one key that could add a link is left out.
 5. The components of confirmed links, joined back to all documents.
 
 With 40 bands of 8 rows, two sets at similarity 0.85 miss each other with probability 3e-6, at 0.9 with 2e-10.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumengrid.llm.common import connected_components, discard, materialize
@@ -35,6 +35,8 @@ from lumengrid.llm.wordhash import factors, mix, shingle_sets, whole_texts
 
 #: Members of a group of several blocks that every block sees in the first round.
 PIVOTS = 16
+#: A group whose members would be sent more often than this, on average, is gone through by band key.
+MOST_COPIES = 16
 _LOW = np.uint64(0xFFFFFFFF)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -168,25 +170,47 @@ def _hot(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("k", F.xxhash64(key))
 
 
+def _deal(rows: DataFrame, unit: str, block_shingles: int) -> DataFrame:
+    """rows: ``unit``, node, w, label. One row for each unit with several labels: same (the unit), the largest label, how many
+    blocks all members and parts the others make, and how many copies of texts their meeting costs."""
+    sizes = rows.groupBy(unit, "label").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    by_size = F.struct("w", "label")
+    sums = [F.max_by("label", by_size).alias("largest"), F.sum("w").alias("all"), (F.sum("w") - F.max("w")).alias("rest"), F.sum("n").alias("n"), (F.sum("n") - F.max_by("n", by_size)).alias("others")]
+    plan = sizes.groupBy(F.col(unit).alias("same")).agg(*sums).where("rest > 0")
+    blocks, parts = (F.ceil(F.col(c) / F.lit(block_shingles)).cast("int") for c in ("all", "rest"))
+    plan = plan.select("same", "largest", "n", "others", blocks.alias("blocks"), parts.alias("parts"))
+    return plan.withColumn("copies", F.col("n") * F.col("parts") + F.col("others") * F.col("blocks"))
+
+
+def _cells(rows: DataFrame, plan: DataFrame, unit: str) -> DataFrame:
+    """(cell, node): each member outside the unit's largest label shares a cell with every other member of the unit."""
+    a, b = _hot(rows, unit), _hot(plan, "same")
+    met = a.join(b, (a["k"] == b["k"]) & (a[unit] == b["same"]))
+    part = F.when(F.col("label") != F.col("largest"), F.pmod(F.xxhash64(F.lit(1), "node"), "parts"))
+    met = met.select(F.concat(F.lit(unit), F.col(unit).cast("string")).alias("u"), "node", "parts", "blocks", part.alias("part"), F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    here = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.concat_ws(":", "u", i, "block"))
+    there = F.when(F.col("part").isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(":", "u", "part", j)))
+    return met.select(F.explode(F.array_union(here, there)).alias("cell"), "node")
+
+
 def _apart(large: DataFrame, keys: DataFrame, links: DataFrame, block_shingles: int) -> DataFrame:
-    """(cell, node): what the first round left open in groups of several blocks (large: node, w). Where a band key has members
-    of several components, those outside the key's largest one share a cell with every other member of the key. Keys with the
-    same members count once; a group that is one component by now gives none."""
+    """(cell, node): what the first round left open in groups of several blocks (large: node, component, w). Members outside
+    the largest component of their group share a cell with every other member; in groups where that is too many copies,
+    only with those of the same band key, in keys whose members are in several components (keys with the same members count
+    once). A group that is one component by now gives none."""
     found = connected_components(links, "dedup-first").withColumnsRenamed({"component": "label"})
-    labelled = materialize(large.join(found, "node", "left").select("node", "w", F.coalesce("label", "node").alias("label")), "dedup-labels")
-    inside = materialize(keys.join(labelled, "node"), "dedup-open")
+    labelled = materialize(large.join(found, "node", "left").select("node", "component", "w", F.coalesce("label", "node").alias("label")), "dedup-labels")
+    groups = materialize(_deal(labelled, "component", block_shingles), "dedup-open")
+    many = F.col("copies") > MOST_COPIES * F.col("n")
+    cells = _cells(labelled, groups.where(~many), "component")
+    if not groups.where(many).limit(1).count():
+        return cells
+    a, b = _hot(labelled, "component"), _hot(groups.where(many).select("same"), "same")
+    chains = a.join(b, (a["k"] == b["k"]) & (a["component"] == b["same"])).select("node", "w", "label")
+    inside = materialize(keys.join(chains, "node"), "dedup-chains")
     several = inside.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.count("*").alias("n")).where("lo <> hi")
-    once = several.groupBy("who", "n").agg(F.min("key").alias("key")).select("key")
-    sizes = inside.groupBy("key", "label").agg(F.sum("w").alias("w")).join(once, "key")
-    plan = sizes.groupBy("key").agg(F.max_by("label", F.struct("w", "label")).alias("largest"), F.sum("w").alias("all"), (F.sum("w") - F.max("w")).alias("rest"))
-    plan = plan.select(F.col("key").alias("same"), "largest", *[F.ceil(F.col(c) / F.lit(block_shingles)).cast("int").alias(a) for c, a in (("all", "blocks"), ("rest", "parts"))])
-    a, b = _hot(inside, "key"), _hot(plan, "same")
-    rows = a.join(b, (a["k"] == b["k"]) & (a["key"] == b["same"]))
-    part = F.when(F.col("label") != F.col("largest"), F.pmod(F.xxhash64(F.lit(1), "node"), "parts"))
-    rows = rows.select("key", "node", "parts", "blocks", part.alias("part"), F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-    here = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.concat_ws(":", "key", i, "block"))
-    there = F.when(F.col("part").isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(":", "key", "part", j)))
-    return rows.select(F.explode(F.array_union(here, there)).alias("cell"), "node")
+    once = several.groupBy("who", "n").agg(F.min("key").alias("same")).select("same")
+    return cells.unionByName(_cells(inside, _deal(inside, "key", block_shingles).join(once, "same"), "key"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands: int = 40, rows: int = 8, block_shingles: int = 250_000) -> DataFrame:
@@ -222,7 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, bands:
     links = materialize(confirmed(cells, percent, shingle), "dedup-links")
     large = members.where("blocks > 1")
     if large.limit(1).count():
-        open_cells = _apart(large.select("node", "w"), keys, links, block_shingles).join(large.select("node", "text"), "node").select("cell", "node", "text")
+        open_cells = _apart(large.select("node", "component", "w"), keys, links, block_shingles).join(large.select("node", "text"), "node").select("cell", "node", "text")
         links = links.unionByName(materialize(confirmed(open_cells, percent, shingle), "dedup-links"))
     discard(members, groups)
     found = materialize(connected_components(links, "dedup-found"), "dedup-found")

@@ -130,9 +130,10 @@ def test_ids_that_repeat_with_other_texts_lose_no_link(spark):
     assert components(spark, rows) == sorted([(5, 86, 5, True)] * 4 + [(9, 87, 5, False), (10, 87, 5, False), (11, 87, 5, False)])
 
 
-@pytest.mark.parametrize("block_shingles", [10_000, 25_000, 250_000])
-def test_chains_of_a_common_passage_equal_brute_force(spark, block_shingles):
+@pytest.mark.parametrize(("block_shingles", "most_copies"), [(10_000, 0), (10_000, 1000), (25_000, 16), (250_000, 16)])
+def test_chains_of_a_common_passage_equal_brute_force(spark, monkeypatch, block_shingles, most_copies):
     """Many texts share a passage and hang together by weak links only; some of them are copies with few edits."""
+    monkeypatch.setattr(dedup, "MOST_COPIES", most_copies)  # 0: by band key, 1000: by group
     rng = np.random.default_rng(6)
     passage = [f"p{k}" for k in range(100)]
     rows = [(i, " ".join(passage + [f"t{i}w{k}" for k in range(int(rng.integers(5, 60)))])) for i in range(150)]
