@@ -1,6 +1,6 @@
 """SQL for DuckDB that gives the rows of the queries that SQL can express.
 
-The others (op2, op3, op5, op7, op10: token ids, a battery and trained models) are held against brute force in tests/llm.
+The others (op2, op3, op5, op7, op10, op12: token ids, a battery and trained models) are held against brute force in tests/llm.
 """
 
 from __future__ import annotations
@@ -79,4 +79,34 @@ f AS (SELECT *, 7 + length(role) + 1 + length(tail) + length(CASE WHEN contains(
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars FROM f GROUP BY conv_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_block_nearest": NEAREST, "op4_minhash_dedup": DEDUP, "op6_quality_rules": RULES, "op8_mix_sources": MIX, "op9_chat_format": CHAT}
+
+
+def _said(field: str) -> str:
+    return f"coalesce(octet_length(encode({field}::VARCHAR)) || ':' || {field}::VARCHAR, '-')"
+
+
+def _tree(name: str, leaves: str, part: str) -> str:
+    """Nodes of all levels of the trees of ``part`` over ``leaves`` (part, i, h, n), and what stands left and right of each."""
+    return f"""{name} AS (SELECT {part}, 0 AS lvl, i, h, n FROM {leaves}
+  UNION ALL SELECT {part}, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY {part}, lvl, i // 3, n),
+{name}_s AS (SELECT *, coalesce(string_agg(h, '') OVER (PARTITION BY {part}, lvl, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') OVER (PARTITION BY {part}, lvl, i // 3 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name})"""
+
+
+#: crc32, bit by bit, as DuckDB has none.
+CRC = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::UBIGINT)),
+  lambda x, b: list_reduce(list_prepend(xor(x, b), [0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[]), lambda y, k: xor(y >> 1, (y & 1) * 3988292384::UBIGINT)))"""
+
+MANIFEST = f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER () AS k, sha256({' || '.join(map(_said, ('doc_id', 'source', 'lang', 'n_chars', 'text')))}) AS leaf FROM documents),
+t AS (SELECT k, doc_id, source, leaf, CASE WHEN xor({CRC}, 4294967295::UBIGINT) % 2 = 0 THEN sha256({' || '.join(map(_said, ('doc_id', 'source', 'lang', 'n_chars', "replace(text, chr(10), '')")))}) ELSE leaf END AS x FROM d),
+w AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM t),
+{_tree('a', 'w', 'source')},
+b0 AS (SELECT 0 AS part, source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n FROM a WHERE n = 1),
+{_tree('b', 'b0', 'part')},
+f AS (SELECT k, source, doc_id, leaf, 0 AS lvl, i, n, x, '' AS proof FROM w
+  UNION ALL SELECT k, f.source, doc_id, leaf, f.lvl + 1, f.i // 3, (f.n + 2) // 3, sha256(l || x || r), proof || l || r FROM f JOIN a_s s ON s.source IS NOT DISTINCT FROM f.source AND s.lvl = f.lvl AND s.i = f.i WHERE f.n > 1),
+g AS (SELECT k, doc_id, leaf, b0.h AS subroot, 0 AS lvl, b0.i, b0.n, x, proof FROM f JOIN b0 ON b0.source IS NOT DISTINCT FROM f.source WHERE f.n = 1
+  UNION ALL SELECT k, doc_id, leaf, subroot, g.lvl + 1, g.i // 3, (g.n + 2) // 3, sha256(l || x || r), proof || l || r FROM g JOIN b_s s ON s.lvl = g.lvl AND s.i = g.i WHERE g.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, x AS folded_root, x = root AS verified FROM g, (SELECT h AS root FROM b WHERE n = 1) WHERE n = 1"""
+
+ORACLE_SQL: dict[str, str] = {"op1_block_nearest": NEAREST, "op4_minhash_dedup": DEDUP, "op6_quality_rules": RULES, "op8_mix_sources": MIX, "op9_chat_format": CHAT, "op11_merkle_manifest": MANIFEST}

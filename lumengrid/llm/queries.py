@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengrid.llm import ann, chat, cotrain, mixing, quality_rules, secrets, url_filter
+from lumengrid.llm import ann, chat, cotrain, manifest, mixing, quality_rules, secrets, url_filter
 from lumengrid.llm.common import table
 from lumengrid.llm.dedup import near_duplicates
 from lumengrid.llm.langid import identify
@@ -72,4 +72,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_block_nearest, op2_pack_min_slack, op3_secret_scan, op4_minhash_dedup, op5_quality_cotraining, op6_quality_rules, op7_url_filter, op8_mix_sources, op9_chat_format, op10_language_id)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, manifest.leaf(*fields[:4], F.replace("text", F.lit("\n"), F.lit(""))))
+    proofs = manifest.manifest(docs, "source", "doc_id", fields, [F.col("doc_id"), tampered.alias("tampered")])
+    folded = manifest.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root")
+    found = proofs.select("doc_id", "leaf", "subroot", "root", manifest.siblings_digest(F.col("path")).alias("proof_sha256"), folded)
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_block_nearest, op2_pack_min_slack, op3_secret_scan, op4_minhash_dedup, op5_quality_cotraining, op6_quality_rules, op7_url_filter, op8_mix_sources, op9_chat_format, op10_language_id, op11_merkle_manifest)}
