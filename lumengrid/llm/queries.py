@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengrid.llm import ann, chat, cotrain, manifest, mixing, quality_rules, secrets, url_filter
+from lumengrid.llm import ann, chat, cotrain, manifest, mixing, pieces, quality_rules, secrets, url_filter
 from lumengrid.llm.common import table
 from lumengrid.llm.dedup import near_duplicates
 from lumengrid.llm.langid import identify
@@ -19,6 +19,12 @@ def token_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -82,4 +88,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_block_nearest, op2_pack_min_slack, op3_secret_scan, op4_minhash_dedup, op5_quality_cotraining, op6_quality_rules, op7_url_filter, op8_mix_sources, op9_chat_format, op10_language_id, op11_merkle_manifest)}
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), piece_path())
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return pieces.decode(encoded, piece_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_block_nearest, op2_pack_min_slack, op3_secret_scan, op4_minhash_dedup, op5_quality_cotraining, op6_quality_rules, op7_url_filter, op8_mix_sources, op9_chat_format, op10_language_id, op11_merkle_manifest, op12_sentencepiece)}
