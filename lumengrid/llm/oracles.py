@@ -109,4 +109,26 @@ g AS (SELECT k, doc_id, leaf, b0.h AS subroot, 0 AS lvl, b0.i, b0.n, x, proof FR
   UNION ALL SELECT k, doc_id, leaf, subroot, g.lvl + 1, g.i // 3, (g.n + 2) // 3, sha256(l || x || r), proof || l || r FROM g JOIN b_s s ON s.lvl = g.lvl AND s.i = g.i WHERE g.n > 1)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, x AS folded_root, x = root AS verified FROM g, (SELECT h AS root FROM b WHERE n = 1) WHERE n = 1"""
 
-ORACLE_SQL: dict[str, str] = {"op1_block_nearest": NEAREST, "op4_minhash_dedup": DEDUP, "op6_quality_rules": RULES, "op8_mix_sources": MIX, "op9_chat_format": CHAT, "op11_merkle_manifest": MANIFEST}
+
+
+def _lloyd(rounds: int) -> str:
+    """Plain Lloyd rounds, one after the other."""
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""a{t} AS MATERIALIZED (SELECT r, c, d FROM (SELECT v.r, k.c, list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - k.e[i]) * (v.e[i] - k.e[i])))::BIGINT AS d FROM v, c{t} k)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if t < rounds:
+            steps.append(f"""c{t + 1} AS MATERIALIZED (SELECT k.c, coalesce(m.e, k.e) AS e FROM c{t} k LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS e
+  FROM (SELECT c, j, sum(x) AS s, count(*) AS n FROM a{t} JOIN u USING (r) GROUP BY c, j) GROUP BY c) m USING (c))""")
+    return ",\n".join(steps)
+
+
+LLOYD = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS MATERIALIZED (SELECT r, unnest(range(64)) AS j, unnest(e) AS x FROM v),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), e) - 1 AS c, e FROM v QUALIFY c < 40),
+{_lloyd(5)}
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c5.e, ',')) AS centroid_sha256 FROM a5 JOIN v USING (r) JOIN c5 USING (c)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_block_nearest": NEAREST, "op4_minhash_dedup": DEDUP, "op6_quality_rules": RULES, "op8_mix_sources": MIX, "op9_chat_format": CHAT, "op11_merkle_manifest": MANIFEST, "op13_ns_bounds": LLOYD}

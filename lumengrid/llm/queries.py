@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumengrid.llm import ann, chat, cotrain, manifest, mixing, pieces, quality_rules, secrets, url_filter
+from lumengrid.llm import ann, chat, cotrain, kmeans, manifest, mixing, pieces, quality_rules, secrets, url_filter
 from lumengrid.llm.common import table
 from lumengrid.llm.dedup import near_duplicates
 from lumengrid.llm.langid import identify
@@ -94,4 +94,9 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode(encoded, piece_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_block_nearest, op2_pack_min_slack, op3_secret_scan, op4_minhash_dedup, op5_quality_cotraining, op6_quality_rules, op7_url_filter, op8_mix_sources, op9_chat_format, op10_language_id, op11_merkle_manifest, op12_sentencepiece)}
+def op13_ns_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kmeans.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_block_nearest, op2_pack_min_slack, op3_secret_scan, op4_minhash_dedup, op5_quality_cotraining, op6_quality_rules, op7_url_filter, op8_mix_sources, op9_chat_format, op10_language_id, op11_merkle_manifest, op12_sentencepiece, op13_ns_bounds)}
