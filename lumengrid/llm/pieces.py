@@ -70,8 +70,12 @@ class Segmenter:
         return _MARKED.findall(MARK + text.replace(" ", MARK)) if self.by_words else [text]
 
     def ids(self, chunks: list[str]) -> list[list[int]]:
-        """The ids of each chunk. The model itself puts a marker in front of what it is given, so a chunk's first one is left out."""
-        return self.model.encode([c.removeprefix(MARK) for c in chunks] if self.by_words else chunks, num_threads=1)
+        """The ids of each chunk. The model itself puts a marker in front of what it is given, so a chunk's first one is left
+        out; but of nothing it makes no ids, so those of a lone marker (a text's last blank) are read off behind a letter."""
+        if not self.by_words:
+            return self.model.encode(chunks, num_threads=1)
+        lone = self.model.encode("a ")[len(self.model.encode("a")) :]
+        return [lone if c == MARK else i for c, i in zip(chunks, self.model.encode([c.removeprefix(MARK) for c in chunks], num_threads=1), strict=True)]
 
 
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
