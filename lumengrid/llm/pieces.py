@@ -83,7 +83,7 @@ _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 
 def packed(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, compressed by planes of equal bytes."""
-    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -108,13 +108,13 @@ def _blocks(model: str, buckets: int, most_chunks: int, most_positions: int):
         keys, docs, positions, block = [], [], 0, TaskContext.get().partitionId() << 32
 
         def close() -> pa.RecordBatch:
-            bucket = np.fromiter((zlib.crc32(c.encode()) % buckets for c in number), np.int64, len(number))
-            order = np.argsort(bucket, kind="stable")
-            at = np.empty(len(order), np.uint32)
-            at[order] = np.arange(len(order))
-            chunks = np.array(list(number), object)[order]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(block, b, None, None, zlib.compress(json.dumps(chunks[i:z].tolist(), ensure_ascii=False).encode(), 1)) for b, (i, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if i < z]
+            # in order of bucket and chunk: neighbours share prefixes and pieces, so chunks and ids compress well
+            chunks = sorted((zlib.crc32(c.encode()) % buckets, c) for c in number)
+            at = np.empty(len(chunks), np.uint32)
+            at[np.fromiter((number[c] for _, c in chunks), np.int64, len(chunks))] = np.arange(len(chunks))
+            cuts = np.searchsorted(np.fromiter((b for b, _ in chunks), np.int64, len(chunks)), np.arange(buckets + 1)).tolist()
+            said = {b: json.dumps([c for _, c in chunks[i:z]], ensure_ascii=False) for b, (i, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < z}
+            rows = [(block, b, None, None, zlib.compress(text.encode())) for b, text in said.items()]
             sizes = np.array([len(d) for d in docs])
             return _batch([*rows, (block, None, keys, packed(sizes), packed(at[np.concatenate(docs)]))], _ROWS)
 
