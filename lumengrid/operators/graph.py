@@ -2,35 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lumengrid.functions.text import holds, label_variants
+from lumengrid.operators.passes import passes
 
 
-def substring_pairs(needles: DataFrame, texts: DataFrame, longest: int = 4) -> DataFrame:
-    """text_id, needle: every pair of a text that contains a needle, found by equi-joins.
+def substring_pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """text_id, needle: every pair of a text that contains a needle.
 
-    needles: needle (empty and null ones match nothing; repeats count once). texts: text_id (unique), text. Each needle is
-    looked up by one of its runs of up to ``longest`` characters, the one that fewest texts hold; only texts with that run
-    are compared, so no common run is a hot key for a needle that has a rarer one.
+    needles: needle (empty and null ones match nothing; repeats count once). texts: text_id (unique), text. The distinct
+    needles become one automaton (goto and failure links over all of them), which goes through each text once, where it
+    lies: the work is that of reading the texts, and a text makes no more rows than it holds needles. Needles beyond the
+    bounds of ``passes`` make further automata, each with one more read of the texts.
     """
-    wanted = needles.where(F.length("needle") > 0).select("needle", F.least(F.length("needle"), F.lit(longest)).alias("n")).distinct()
-    runs = wanted.select("needle", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("needle") - F.col("n") + 1), lambda i: F.substring("needle", i, F.col("n"))))).alias("run"))
-
-    def of_size(n: int) -> Column:
-        places = F.when(F.length("text") >= n, F.sequence(F.lit(1), F.length("text") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.substring(F.col("text"), i, F.lit(n)))
-
-    sizes = [r["n"] for r in wanted.select("n").distinct().collect()]  # ``longest`` rows at most
-    if not sizes:
-        return texts.select("text_id", F.lit("").alias("needle")).limit(0)
-    held = texts.select("text_id", F.explode(F.array_distinct(F.flatten(F.array(*map(of_size, sorted(sizes)))))).alias("run"))
-    spread = held.join(runs.select("run").distinct(), "run").groupBy("run").agg(F.count("*").alias("texts"))
-    key = runs.join(spread, "run").groupBy("needle").agg(F.min(F.struct("texts", "run")).alias("k")).select("needle", F.col("k.run").alias("run"))
-    near = held.join(key, "run").select("text_id", "needle")
-    return near.join(texts, "text_id").where(F.contains("text", "needle")).select("text_id", "needle")
+    kinds = dict(texts.dtypes)
+    schema = StructType.fromDDL(f"text_id {kinds['text_id']}, needle string")
+    arrow = to_arrow_schema(schema)
+    spark = texts.sparkSession
+    found = spark.createDataFrame([], schema)
+    for part in passes(needles.where(F.length("needle") > 0).select("needle").distinct(), most_rows=200_000):
+        held = spark.sparkContext.broadcast([r["needle"] for r in part])
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for needle in held.value:
+                automaton.add_word(needle, needle)
+            automaton.make_automaton()
+            for b in batches:
+                ids, at, hits = b.column(0), [], []
+                for i, text in enumerate(b.column(1)):
+                    own = {needle for _, needle in automaton.iter(text.as_py() or "")}
+                    at += [i] * len(own)
+                    hits += own
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(hits, pa.string())], schema=arrow)
+
+        found = found.unionByName(texts.select("text_id", "text").mapInArrow(run, schema))
+    return found
 
 
 def form_edges(forms: DataFrame, listed: DataFrame, bodies: DataFrame, weight: float = 1.0) -> DataFrame:
