@@ -12,12 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lumengrid.functions.text import holds, label_variants
+from lumengrid.functions.text import label_variants
 from lumengrid.operators.passes import passes
 
 
-def substring_pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """text_id, needle: every pair of a text that contains a needle.
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether ``text[start:end]`` touches no ASCII letter or digit."""
+    around = text[start - 1 : start] + text[end : end + 1]
+    return not any(c.isascii() and c.isalnum() for c in around)
+
+
+def substring_pairs(needles: DataFrame, texts: DataFrame, bounded: bool = False) -> DataFrame:
+    """text_id, needle: every pair of a text that contains a needle; with ``bounded``, in the sense of ``functions.text.holds``
+    (a needle of ASCII letters and digits alone must not touch others).
 
     needles: needle (empty and null ones match nothing; repeats count once). texts: text_id (unique), text. The distinct
     needles become one automaton (goto and failure links over all of them), which goes through each text once, where it
@@ -35,12 +42,13 @@ def substring_pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             automaton = ahocorasick.Automaton()
             for needle in held.value:
-                automaton.add_word(needle, needle)
+                automaton.add_word(needle, (needle, bounded and needle.isascii() and needle.isalnum()))
             automaton.make_automaton()
             for b in batches:
                 ids, at, hits = b.column(0), [], []
                 for i, text in enumerate(b.column(1)):
-                    own = {needle for _, needle in automaton.iter(text.as_py() or "")}
+                    text = text.as_py() or ""
+                    own = {needle for end, (needle, alone) in automaton.iter(text) if not alone or stands_alone(text, end + 1 - len(needle), end + 1)}
                     at += [i] * len(own)
                     hits += own
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(hits, pa.string())], schema=arrow)
@@ -58,8 +66,9 @@ def form_edges(forms: DataFrame, listed: DataFrame, bodies: DataFrame, weight: f
     exact = listed.distinct().join(forms, "form")
     exact = exact.groupBy(F.col("term_id").alias("from_term"), "to_id").agg(F.min_by("form", F.struct("position", "form")).alias("evidence")).withColumn("weight", F.lit(2.0))
     texts = bodies.select(F.col("body_id").alias("text_id"), "text")
-    pairs = substring_pairs(forms.select(F.col("form").alias("needle")), texts)
-    near = pairs.join(bodies, pairs["text_id"] == bodies["body_id"]).where(holds(F.col("text"), F.col("needle"))).select("to_id", F.col("needle").alias("form")).distinct()
+    pairs = substring_pairs(forms.select(F.col("form").alias("needle")), texts, bounded=True)
+    owners = bodies.select("to_id", F.col("body_id").alias("text_id"))
+    near = pairs.join(owners, "text_id").select("to_id", F.col("needle").alias("form")).distinct()
     found = near.join(forms, "form").groupBy(F.col("term_id").alias("from_term"), "to_id").agg(F.min_by("form", F.struct("position", "form")).alias("evidence"))
     rest = found.join(exact.select("from_term", "to_id"), ["from_term", "to_id"], "left_anti").withColumn("weight", F.lit(weight))
     return exact.unionByName(rest)

@@ -13,11 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lumengrid.functions.text import TOKEN, holds
+from lumengrid.functions.text import TOKEN, tokens
 from lumengrid.operators.graph import substring_pairs
 from lumengrid.operators.passes import passes
 
 
+def score_of(query: Column, query_tokens: Column, keywords: Column, tags: Column, body: Column, unit: Column, query_unit: Column) -> Column:
+    """One chunk's score for one query: keywords, tags, shared words of the body, unit. Repeated keywords count repeatedly."""
+
+    def keyword(k: Column) -> Column:
+        return F.when(F.contains(query, k) | F.contains(query, F.lower(k)), 2.0).when(F.arrays_overlap(tokens(k), query_tokens), 1.0).otherwise(0.0)
+
+    listed = F.aggregate(keywords, F.lit(0.0), lambda s, k: s + keyword(k))
+    tagged = F.aggregate(tags, F.lit(0.0), lambda s, t: s + F.when(F.arrays_overlap(tokens(t), query_tokens), 0.8).otherwise(0.0))
+    shared = F.size(F.array_intersect(tokens(body), query_tokens)) / F.greatest(F.size(F.array_distinct(query_tokens)), F.lit(1))
+    units = F.when(unit == query_unit, 1.0).when(F.contains(unit, query_unit) | F.contains(query_unit, unit), 0.5).otherwise(0.0)
+    return F.round(listed + tagged + 1.5 * F.least(shared, F.lit(1.0)) + F.coalesce(units, F.lit(0.0)), 4)
+
+
 TOKENS = re.compile(TOKEN)
 #: Cells (chunks x queries) of one block of mark scores.
 CELLS = 2_000_000
@@ -185,9 +198,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, boosted: DataFrame | None =
 
 def matched_terms(queries: DataFrame, forms: DataFrame) -> DataFrame:
     """query_id, term_id (distinct): the terms of which a query holds a form. forms: term_id, form."""
-    pairs = substring_pairs(forms.select(F.col("form").alias("needle")), queries.select(F.col("query_id").alias("text_id"), "text"))
-    near = pairs.join(queries.select("query_id", "text"), F.col("text_id") == F.col("query_id")).where(holds(F.col("text"), F.col("needle")))
-    return near.select("query_id", F.col("needle").alias("form")).join(forms, "form").select("query_id", "term_id").distinct()
+    pairs = substring_pairs(forms.select(F.col("form").alias("needle")), queries.select(F.col("query_id").alias("text_id"), "text"), bounded=True)
+    return pairs.select(F.col("text_id").alias("query_id"), F.col("needle").alias("form")).join(forms, "form").select("query_id", "term_id").distinct()
 
 
 def expansions(queries: DataFrame, forms: DataFrame, confusable: DataFrame) -> DataFrame:

@@ -91,6 +91,17 @@ def test_needles_are_found_in_texts(spark, monkeypatch):
     assert graph.substring_pairs(n.limit(0), t).count() == 0 == graph.substring_pairs(n, t.limit(0)).count()
 
 
+def test_bounded_needles_are_those_that_a_text_holds(spark):
+    from lumengrid.functions.text import holds
+
+    rng = random.Random(8)
+    needles = ["VAT", "b", "12", "가치", "a b", "x.y", "é"]
+    texts = [(k, "".join(rng.choices(["VAT", "b", "12", "가치", " ", "a b", "x.y", "é", "-", "E"], k=rng.randint(0, 6)))) for k in range(200)]
+    n, t = spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame(texts, "text_id long, text string")
+    want = {(r["text_id"], r["needle"]) for r in t.join(n, holds(F.col("text"), F.col("needle"))).collect()}
+    assert {(r["text_id"], r["needle"]) for r in graph.substring_pairs(n, t, bounded=True).collect()} == want
+
+
 def test_containment_explodes_no_text(spark):
     n, t = spark.createDataFrame([("ab",)], "needle string"), spark.range(5).select(F.col("id").alias("text_id"), F.lit("cab").alias("text"))
     plan = graph.substring_pairs(n, t)._jdf.queryExecution().executedPlan().toString()
