@@ -122,11 +122,3 @@ def edge_targets(spark, d) -> DataFrame:
         rows = table(spark, d, t).select(F.lit(kind).alias("kind"), F.col(k).alias("ref"), F.col(n).alias("name"))
         names = rows if names is None else names.unionByName(rows)
     return edges.join(names, ["kind", "ref"]).select("event_id", "kind", "name")
-
-
-@query("WITH s AS (SELECT string_split('tax:vat:easy:3,law:firm:hard', ',') AS parts), p AS (SELECT unnest(parts) AS item FROM s) SELECT string_split(item, ':')[1] AS subject, string_split(item, ':')[2] AS unit, string_split(item, ':')[3] AS difficulty, coalesce(try_cast(string_split(item, ':')[4] AS BIGINT), 1) AS n FROM p")
-def item_specs(spark, d) -> DataFrame:
-    """Generation plans written as subject:unit:difficulty[:count]."""
-    parts = F.split("item", ":")
-    rows = spark.range(1).select(F.explode(F.split(F.lit("tax:vat:easy:3,law:firm:hard"), ",")).alias("item"))
-    return rows.select(F.get(parts, 0).alias("subject"), F.get(parts, 1).alias("unit"), F.get(parts, 2).alias("difficulty"), F.coalesce(F.get(parts, 3).try_cast("long"), F.lit(1)).alias("n"))

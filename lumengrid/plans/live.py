@@ -8,21 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumengrid.plans.registry import query
+from lumengrid.sources.folders import shared_folder
 from lumengrid.sources.tables import table
 from lumengrid.streaming import ingest
 
 
 def _folder(spark) -> str:
-    """A folder of this run under the session's shared folder, or its warehouse where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A folder of this run under the folder that executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _replayed(spark, d, folder: str) -> DataFrame:
     """The events as a stream of three files: two parts, and the first once more."""
     events = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
     for k in (0, 1, 0):
-        events.where(F.col("event_id") % 2 == k).coalesce(4).write.mode("append").parquet(f"{folder}/in")
+        events.where(F.col("event_id") % 2 == k).write.mode("append").parquet(f"{folder}/in")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
     return ingest.event_stream(spark, f"{folder}/in", schema, 4)
 
