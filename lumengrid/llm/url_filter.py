@@ -3,8 +3,8 @@
 The trees are trained from labelled URLs: those that a rule decides, at most ``sample_rows`` of them by hash order. Each
 feature is cut at its quantiles, and the sample is written once as counts by bins; a level of a tree is one aggregate of
 gradients by node, feature and bin, whose result (nodes x features x bins, a few hundred rows) is all that the driver sees.
-Statistics of suffixes are a table of numbers with a row for each suffix of the sample, so at most ``sample_rows`` rows of
-24 bytes, and are broadcast. A model is a sum of nested CASE expressions, so scoring is one projection over the scan,
+Statistics of suffixes are a table of numbers with six rows for each suffix of the sample, so at most ``6 * sample_rows`` rows
+of 28 bytes, and are broadcast; a row that is trained on sees those of the other folds alone. A model is a sum of nested CASE expressions, so scoring is one projection over the scan,
 without a shuffle.
 """
 
@@ -21,6 +21,8 @@ from lumengrid.llm.common import discard, hash_sample, let, materialize
 # Fixed values of the contract: (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
+#: Suffix figures of a row that is trained on come from the other folds (of its url's hash), so its own label is not in them.
+FOLDS = 5
 FEATURES = ["length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "hyphens", "suffix_rate", "suffix_share"]
 
 
@@ -97,31 +99,47 @@ class Trees:
         return sum((value(t) for t in self.trees), F.lit(float(self.base)))
 
 
-def with_features(rows: DataFrame, model: Trees) -> DataFrame:
-    """rows (url, host, ...) with the columns of FEATURES."""
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
+
+
+def with_features(rows: DataFrame, model: Trees, training: bool = False) -> DataFrame:
+    """rows (url, host, ...) with the columns of FEATURES; in ``training``, a row's suffix figures are those of the other
+    folds."""
     out = rows.withColumns(lexical(F.col("url"), F.col("host")))
     if model.suffixes is None:
         return out.withColumns({"suffix_rate": F.lit(model.prior), "suffix_share": F.lit(0.0)})
-    found = out.withColumn("suffix_key", F.xxhash64(suffix_of(F.col("host")))).join(F.broadcast(model.suffixes), "suffix_key", "left")
-    return found.withColumns({"suffix_rate": F.coalesce("suffix_rate", F.lit(model.prior)), "suffix_share": F.coalesce("suffix_share", F.lit(0.0))}).drop("suffix_key")
+    fold = _fold(F.col("url")) if training else F.lit(-1)
+    found = out.withColumns({"suffix_key": F.xxhash64(suffix_of(F.col("host"))), "suffix_fold": fold}).join(F.broadcast(model.suffixes), ["suffix_key", "suffix_fold"], "left")
+    return found.withColumns({"suffix_rate": F.coalesce("suffix_rate", F.lit(model.prior)), "suffix_share": F.coalesce("suffix_share", F.lit(0.0))}).drop("suffix_key", "suffix_fold")
 
 
 def suffix_table(labelled: DataFrame, n: int, prior: float) -> DataFrame:
-    """suffix_key, suffix_rate (of block, drawn to the prior), suffix_share: one row for each suffix of ``labelled``."""
-    sums = labelled.groupBy(F.xxhash64(suffix_of(F.col("host"))).alias("suffix_key")).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-    return materialize(sums.select("suffix_key", ((F.col("y") + 10 * prior) / (F.col("n") + 10)).alias("suffix_rate"), (F.col("n") / n).alias("suffix_share")), "url-suffixes")
+    """suffix_key, suffix_fold, suffix_rate (of block, drawn to the prior), suffix_share: for each suffix of ``labelled`` one
+    row of all its rows (fold -1), and one for each fold of all but that fold's."""
+    key = F.xxhash64(suffix_of(F.col("host"))).alias("suffix_key")
+    sums = labelled.groupBy(key, _fold(F.col("url")).alias("f")).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    each = sums.groupBy("suffix_key").agg(F.collect_list(F.struct("f", "n", "y")).alias("parts"))  # FOLDS at most
+
+    def figures(fold: Column) -> Column:
+        rest = F.filter("parts", lambda p: p["f"] != fold)
+        count, blocked = (F.aggregate(rest, F.lit(0).cast("long"), lambda s, p: s + p[c]) for c in ("n", "y"))
+        return F.struct(fold.alias("suffix_fold"), ((blocked + 10 * prior) / (count + 10)).alias("suffix_rate"), (count / n).alias("suffix_share"))
 
+    folds = F.transform(F.sequence(F.lit(-1), F.lit(FOLDS - 1)), figures)
+    return materialize(each.select("suffix_key", F.inline(folds)), "url-suffixes")
 
-def boost(labelled: DataFrame, rounds: int = 10, bins: int = 16, rate: float = 0.3) -> Trees:
+
+def boost(labelled: DataFrame, rounds: int = 10, bins: int = 16, rate: float = 0.3, suffixes: bool = True) -> Trees:
     """Trees of depth two under logistic loss. labelled: url, host, y (1: block), a bounded sample (its suffixes are sent to
-    every task)."""
+    every task). Without ``suffixes``, the features of suffixes are constant."""
     total = labelled.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
     n, y = total["n"] or 0, total["y"] or 0
     prior = (y + 1) / (n + 2)
-    model = Trees(math.log(prior / (1 - prior)), [], [], suffix_table(labelled, n, prior) if n else None, prior)
+    model = Trees(math.log(prior / (1 - prior)), [], [], suffix_table(labelled, n, prior) if n and suffixes else None, prior)
     if not n or y in (0, n):
         return model
-    rows = materialize(with_features(labelled, model).groupBy("y", *FEATURES).agg(F.count("*").alias("w")), "url-features")
+    rows = materialize(with_features(labelled, model, training=True).groupBy("y", *FEATURES).agg(F.count("*").alias("w")), "url-features")
     cuts = rows.agg(*[F.percentile_approx(f, [i / bins for i in range(1, bins)], 1000).alias(f) for f in FEATURES]).first()
     model.edges = [sorted({float(x) for x in cuts[f]}) for f in FEATURES]
 
@@ -172,6 +190,12 @@ def boost(labelled: DataFrame, rounds: int = 10, bins: int = 16, rate: float = 0
     return model
 
 
+def log_loss(rows: DataFrame, model: Trees) -> float:
+    """The mean logistic loss of a model over labelled rows (url, host, y) that it was not trained on; null without rows."""
+    score = with_features(rows, model).select("y", model.score().alias("s"))
+    return score.agg(F.avg(F.log1p(F.exp(-F.abs("s"))) + F.greatest(F.col("s"), F.lit(0.0)) - F.col("y") * F.col("s"))).first()[0]
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, sample_rows: int = 20_000, rounds: int = 10, block_from: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, chance (the model's, of block) for each row of ``pages`` (page_id, url).
 
