@@ -48,11 +48,16 @@ def tag_counts(attempts: DataFrame, problems: DataFrame) -> DataFrame:
 
 def risk_tags(attempts: DataFrame, problems: DataFrame, mastery: DataFrame) -> DataFrame:
     """user_id, subject, tags: the three most frequent given tags, filled up with inferred ones that are not among them."""
+    return tags_of(subject_state(attempts, problems), tag_counts(attempts, problems), mastery)
+
+
+def tags_of(subjects: DataFrame, counts: DataFrame, mastery: DataFrame) -> DataFrame:
+    """The same from what ``subject_state``, ``tag_counts`` and ``concept_mastery`` give."""
     rank = F.row_number().over(W.partitionBy("user_id", "subject").orderBy(F.desc("n"), "tag"))
-    given = tag_counts(attempts, problems).withColumn("r", rank).where("r <= 3").groupBy("user_id", "subject").agg(F.array_sort(F.collect_list(F.struct("r", "tag"))).alias("top"))
+    given = counts.withColumn("r", rank).where("r <= 3").groupBy("user_id", "subject").agg(F.array_sort(F.collect_list(F.struct("r", "tag"))).alias("top"))
     gaps = mastery.groupBy("user_id", "subject").agg(F.bool_or(F.col("mastery") < GAP_TAG_BELOW).alias("gap"))
     rate = F.coalesce(F.try_divide("n_over", "n_timed"), F.lit(0.0))
-    rows = subject_state(attempts, problems).join(given, ["user_id", "subject"], "left").join(gaps, ["user_id", "subject"], "left")
+    rows = subjects.join(given, ["user_id", "subject"], "left").join(gaps, ["user_id", "subject"], "left")
     inferred = F.concat(
         F.when(rate >= OVERRUN_TAG_FROM, F.array(F.lit("time_pressure"))).otherwise(F.array().cast("array<string>")),
         F.when(F.col("gap"), F.array(F.lit("concept_gap"))).otherwise(F.array().cast("array<string>")),
@@ -77,9 +82,13 @@ def user_stage(attempts: DataFrame) -> DataFrame:
 
 def user_state(attempts: DataFrame, problems: DataFrame, concept: Column) -> DataFrame:
     """One row a user: stage, and the subjects in ascending order with state, risk tags and mastery (lowest first)."""
-    mastery = concept_mastery(attempts, problems, concept)
-    nested = mastery.groupBy("user_id", "subject").agg(F.array_sort(F.collect_list(F.struct("mastery", "concept"))).alias("concept_mastery"))
+    return nested(subject_state(attempts, problems), tag_counts(attempts, problems), concept_mastery(attempts, problems, concept), user_stage(attempts))
+
+
+def nested(subjects: DataFrame, counts: DataFrame, mastery: DataFrame, stages: DataFrame) -> DataFrame:
+    """The same from what ``subject_state``, ``tag_counts``, ``concept_mastery`` and ``user_stage`` give."""
     keys = ["user_id", "subject"]
-    rows = subject_state(attempts, problems).join(risk_tags(attempts, problems, mastery), keys).join(nested, keys, "left")
+    concepts = mastery.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("mastery", "concept"))).alias("concept_mastery"))
+    rows = subjects.join(tags_of(subjects, counts, mastery), keys).join(concepts, keys, "left")
     states = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("subject", "accuracy", "overrun", "tags", "concept_mastery"))).alias("subject_states"))
-    return states.join(user_stage(attempts).select("user_id", "stage"), "user_id")
+    return states.join(stages.select("user_id", "stage"), "user_id")

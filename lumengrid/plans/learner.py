@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumengrid.operators import prescribe, recommend, state
 from lumengrid.plans.registry import query
+from lumengrid.sources.folders import cut, shared_folder
 from lumengrid.sources.tables import VIEWS_SQL, attempts, problems, table
+from lumengrid.streaming import learner
+from lumengrid.streaming.ingest import event_stream
+
 
 def _concept() -> Column:
     """A problem's main concept: its unit and the first word of its name."""
@@ -64,14 +70,13 @@ def user_stage(spark, d) -> DataFrame:
     return state.user_stage(attempts(spark, d))
 
 
-@query(
-    f"""{STATE_SQL}, m AS (SELECT user_id, subject, string_agg(concept || '=' || mastery::DECIMAL(6,4), ';' ORDER BY mastery, concept) AS mastery FROM mastery GROUP BY ALL)
+WHOLE_STATE_SQL = f"""{STATE_SQL}, m AS (SELECT user_id, subject, string_agg(concept || '=' || mastery::DECIMAL(6,4), ';' ORDER BY mastery, concept) AS mastery FROM mastery GROUP BY ALL)
 SELECT user_id, stage, string_agg(subject || '|' || round(st.n_correct / st.n, 4)::DECIMAL(6,4) || '|' || array_to_string(risk.tags, ',') || '|' || m.mastery, '/' ORDER BY subject) AS subject_states
 FROM st JOIN risk USING (user_id, subject) JOIN m USING (user_id, subject) JOIN stages USING (user_id) GROUP BY user_id, stage"""
-)
-def user_state(spark, d) -> DataFrame:
-    """The whole nested state of a learner, written out as text."""
-    full = state.user_state(attempts(spark, d), problems(spark, d), _concept())
+
+
+def _written(full: DataFrame) -> DataFrame:
+    """The whole nested state as text."""
 
     def ratio(x: Column) -> Column:
         return x.cast("decimal(6,4)").cast("string")
@@ -83,6 +88,28 @@ def user_state(spark, d) -> DataFrame:
     return full.select("user_id", "stage", F.array_join(F.transform("subject_states", said), "/").alias("subject_states"))
 
 
+@query(WHOLE_STATE_SQL)
+def user_state(spark, d) -> DataFrame:
+    """The whole nested state of a learner, written out as text."""
+    return _written(state.user_state(attempts(spark, d), problems(spark, d), _concept()))
+
+
+@query(WHOLE_STATE_SQL)
+def stream_user_state(spark, d) -> DataFrame:
+    """The same, kept by deltas over a stream: most attempts come first with a wrong result and wrong mistakes for one in
+    five, then all come as they are, some of them twice."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = cut(attempts(spark, d).drop("attempt_at").withColumn("log_id", F.monotonically_increasing_id()), "attempts")
+    wrong = F.col("log_id") % 5 == 0
+    first = rows.where("log_id % 3 > 0").withColumns({"correct": F.col("correct") != wrong, "mistakes": F.when(wrong, F.array(F.lit("x"))).otherwise(F.col("mistakes")), "version": F.lit(0)})
+    for part in (first, rows.withColumn("version", F.lit(1)), first.unionByName(rows.withColumn("version", F.lit(1))).where("log_id % 7 = 0")):
+        part.write.mode("append").parquet(f"{folder}/in")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.schema)
+    stream = event_stream(spark, f"{folder}/in", schema, 8)
+    learner.maintained(stream, problems(spark, d), _concept(), f"{folder}/state", f"{folder}/checkpoint", buckets=8).awaitTermination()
+    return _written(learner.current(spark, f"{folder}/state"))
+
+
 # Decision rules: key, stages, subjects, tags, confidence. Empty lists fit all; group ``metals`` needs both its members.
 RULES = [
     ("r1_all", [], [], [], 0.50),
