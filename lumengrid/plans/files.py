@@ -27,12 +27,13 @@ def _one_file_each(rows: DataFrame, path: str) -> None:
     rows.repartitionByRange(rows.count(), "n").write.json(path)
 
 
-@query("SELECT 'q' || n_nationkey AS question_id, CASE WHEN n_nationkey % 2 = 0 THEN 'tax' ELSE 'law' END AS subject, n_nationkey::INT AS n, CASE WHEN n_nationkey < 10 THEN 2020 ELSE 2021 END AS year FROM nation WHERE n_nationkey < 20")
+@query("SELECT 'q' || n_nationkey AS question_id, CASE WHEN n_nationkey % 2 = 0 THEN 'tax' ELSE 'law' END AS subject, n_nationkey::INT AS n, CASE WHEN n_nationkey < 10 THEN 2020 WHEN n_nationkey < 20 THEN 2021 ELSE 2022 END AS year FROM nation")
 def scan_year_files(spark, d) -> DataFrame:
     """Questions under a folder for each year."""
     folder, rows = _folder(spark), _questions(spark, d)
     _one_file_each(rows.where("n < 10"), f"{folder}/2020")
     _one_file_each(rows.where("n between 10 and 19"), f"{folder}/2021")
+    _one_file_each(rows.where("n >= 20"), f"{folder}/2022")
     return readers.year_files(spark, folder, NATION).select("question_id", "subject", "n", "year")
 
 
@@ -45,6 +46,25 @@ def scan_indexed(spark, d) -> DataFrame:
     return readers.indexed(spark, folder, NATION, "question_id").select("question_id", "n")
 
 
+@query("SELECT 'q' || c_custkey AS question_id, c_mktsegment AS subject, c_nationkey::INT AS n FROM customer")
+def scan_listed(spark, d) -> DataFrame:
+    """Questions from files of top-level arrays, all named in one text."""
+    folder = _folder(spark)
+    rows = table(spark, d, "customer").select(F.concat(F.lit("q"), F.col("c_custkey").cast("string")).alias("question_id"), F.col("c_mktsegment").alias("subject"), F.col("c_nationkey").cast("int").alias("n"))
+    arrays = rows.groupBy("n", F.pmod(F.xxhash64("question_id"), F.lit(16)).alias("part")).agg(F.to_json(F.collect_list(F.struct("question_id", "subject", "n"))).alias("value"))
+    for low in (0, 10, 20):  # an array a file: a writer's line is a document
+        own = arrays.where(F.col("n").between(low, low + 9))
+        own.repartition(max(1, own.count()), "n", "part").where("value IS NOT NULL").select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/{low}")
+    return readers.listed_arrays(spark, f" {folder}/0, {folder}/10,,{folder}/20 ,{folder}/0", NATION).select("question_id", "subject", "n")
+
+
+@query("SELECT doc_id, CASE WHEN source LIKE '%3' THEN 'tax' WHEN source LIKE '%5' THEN 'law' END AS subject, CASE WHEN source NOT LIKE '%3' AND source NOT LIKE '%5' THEN 'no_subject' WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) < 500 THEN 'scanned' END AS skipped FROM documents")
+def readable_texts(spark, d) -> DataFrame:
+    """Texts with the subject that their file's name tells, and why some go no further."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return readers.readable(docs, F.when(F.col("source").endswith("3"), "tax").when(F.col("source").endswith("5"), "law")).select("doc_id", "subject", "skipped")
+
+
 @query("SELECT r_regionkey::INT AS id, r_name AS title FROM region")
 def scan_nested_array(spark, d) -> DataFrame:
     """Rows of a top-level array; a missing file and a null array have none."""
@@ -81,8 +101,8 @@ def scan_csv(spark, d) -> DataFrame:
     """CSV with a byte-order mark; integers that are empty or no numbers take a default."""
     folder, key = _folder(spark), F.col("s_suppkey")
     points = F.when(key % 3 == 0, "").when(key % 5 == 0, "n/a").otherwise(F.col("s_nationkey").cast("string"))
-    lines = table(spark, d, "supplier").select(F.concat_ws(",", key.cast("string"), "s_name", points).alias("value"))
-    spark.createDataFrame([("﻿id,name,points",)], "value string").union(lines).coalesce(1).write.text(folder)
+    rows = table(spark, d, "supplier").select(key.cast("string").alias("\ufeffid"), F.col("s_name").alias("name"), points.alias("points"))
+    rows.write.option("header", True).option("emptyValue", "").csv(folder)  # every part begins with the mark
     return readers.csv_with_header(spark, folder, "id int, name string, points int", {"points": -1})
 
 

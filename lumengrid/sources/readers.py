@@ -33,6 +33,29 @@ def json_documents(spark: SparkSession, folder: str, schema: str, pattern: str =
     return reader.json(folder).withColumn("path", F.col("_metadata.file_path"))
 
 
+def listed_arrays(spark: SparkSession, paths: str, schema: str, recursive: bool = False) -> DataFrame:
+    """The elements of the top-level JSON arrays in several files or folders, named in one text with commas between them;
+    blanks and empty names do not count, and a path that is named twice is read once. Each file is a task of its own. A
+    name that matches nothing is an error, as a list that is written out is meant. ``path`` names each row's file."""
+    named = list(dict.fromkeys(p.strip() for p in paths.split(",") if p.strip()))
+    missing = [p for p in named if not exists(spark, p)]
+    if missing:
+        raise FileNotFoundError(", ".join(missing))
+    if not named:
+        return spark.createDataFrame([], schema).withColumn("path", F.lit(None).cast("string"))
+    reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", recursive)
+    return reader.json(named).withColumn("path", F.col("_metadata.file_path"))
+
+
+def readable(texts: DataFrame, subject: Column, least: int = 500) -> DataFrame:
+    """Adds subject and ``skipped``: why a text goes no further, null if it does. ``no_subject``: its file's name tells none;
+    ``scanned``: fewer than ``least`` characters without the blanks around them, as scans without a text layer have; a null
+    text is scanned. Rows stay, so what was skipped can be counted and restored otherwise."""
+    body = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n"))
+    told = texts.withColumn("subject", subject)
+    return told.withColumn("skipped", F.when(F.col("subject").isNull(), "no_subject").when(F.length(body) < least, "scanned"))
+
+
 def decision_rules(spark: SparkSession, folder: str) -> DataFrame:
     return json_documents(spark, folder, RULE, "*.decision_rule.json").drop("path")
 

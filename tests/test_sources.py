@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumengrid.sources import readers, sinks
@@ -107,3 +108,22 @@ def test_zip_members_with_repaired_names(spark):
     files = spark.createDataFrame([("one", raw), ("two", korean), ("broken", b"nothing"), ("none", None)], "path string, content binary")
     got = sorted((r.path, r.name, r["size"]) for r in readers.zip_members(files).collect())
     assert got == [("one", "b.PDF", 1), ("one", "x.pdf", 3), ("two", "회계.pdf", 1)]
+
+
+def test_listed_arrays_are_read_once_each(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": 1, "t": "x"}, {"id": 2}]', encoding="utf-8")
+    (tmp_path / "b.json").write_text("[\n]", encoding="utf-8")
+    (tmp_path / "c.json").write_text('[{"id": 3, "t": "한글"}]', encoding="utf-8")
+    a, b, c = (str(tmp_path / f"{x}.json") for x in "abc")
+    rows = readers.listed_arrays(spark, f" {a}, {b},,{c} ,{a}", "id int, t string")
+    assert sorted((r["id"], r["t"], r["path"][-6:]) for r in rows.collect()) == [(1, "x", "a.json"), (2, None, "a.json"), (3, "한글", "c.json")]
+    assert readers.listed_arrays(spark, " , ", "id int, t string").count() == 0
+    with pytest.raises(FileNotFoundError):
+        readers.listed_arrays(spark, f"{a},{tmp_path}/none.json", "id int, t string")
+
+
+def test_scanned_texts_are_told_and_kept(spark):
+    texts = [(1, "tax_2024", "w" * 500), (2, "tax_2024", "  " + "w" * 499 + "\n"), (3, "tax_2024", None), (4, "other", "w" * 900), (5, "other", "")]
+    rows = spark.createDataFrame(texts, "id int, name string, text string")
+    got = readers.readable(rows, F.when(F.col("name").startswith("tax"), "tax")).collect()
+    assert {r["id"]: (r["subject"], r["skipped"]) for r in got} == {1: ("tax", None), 2: ("tax", "scanned"), 3: ("tax", "scanned"), 4: (None, "no_subject"), 5: (None, "no_subject")}
