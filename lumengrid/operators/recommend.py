@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumengrid.sources.folders import cut
+
 
 def score(accuracy: Column, weak: Column, attempted: Column, pressed: Column) -> Column:
     """A question's score: weakness of its subject, a bonus for a failing subject and for a weak concept, less for a
@@ -47,8 +51,10 @@ def candidates(states: DataFrame, questions: DataFrame, weak: DataFrame, tried:
     """
     short = F.coalesce(F.col("limit_seconds") <= pressed_upto, F.lit(False))
     q = questions.select("problem_id", "subject", "concept", short.alias("short"))
-    profile = states.select("user_id", "subject", "accuracy", F.array_contains("risk", "time_pressure").alias("hurried"))
-    hit = tried.join(q, "problem_id")
+    # each of these is read by several branches below, so it is worked out once
+    profile = cut(states.select("user_id", "subject", "accuracy", F.array_contains("risk", "time_pressure").alias("hurried")), "states")
+    weak, tried = cut(weak, "weak"), cut(tried, "tried")
+    hit = cut(tried.join(q, "problem_id"), "hit")
     keys = ["user_id", "subject", "concept"]
     mine = hit.join(weak.withColumn("weak", F.lit(True)), keys, "left").withColumn("weak", F.coalesce("weak", F.lit(False))).withColumn("attempted", F.lit(True))
 
@@ -56,16 +62,18 @@ def candidates(states: DataFrame, questions: DataFrame, weak: DataFrame, tried:
     in_concept = _first_rank(q, ["subject", "concept", "short"])
     done = hit.groupBy(*keys, "short").agg(F.count("*").alias("k"))
     both = F.explode(F.array(F.lit(True), F.lit(False)))
-    need = weak.select(*keys, both.alias("short")).join(done, [*keys, "short"], "left")
-    ranks = F.explode(F.sequence(F.lit(1), F.coalesce("k", F.lit(0)).cast("int") + keep))
+    sizes = q.groupBy("subject", "concept", "short").agg(F.count("*").alias("size"))
+    need = weak.select(*keys, both.alias("short")).join(sizes, ["subject", "concept", "short"]).join(done, [*keys, "short"], "left")
+    # no more ranks than the class has questions
+    ranks = F.explode(F.sequence(F.lit(1), F.least(F.coalesce("k", F.lit(0)) + keep, "size").cast("int")))
     of_weak = need.select(*keys, "short", ranks.alias("rn")).join(in_concept, ["subject", "concept", "short", "rn"]).withColumn("weak", F.lit(True))
 
     # the others: the first of each (subject, short), past what was tried or is in a weak concept
     in_subject = _first_rank(q, ["subject", "short"]).drop("concept")
-    sizes = q.groupBy("subject", "concept", "short").agg(F.count("*").alias("k"))
-    passed = done.join(weak, keys, "left_anti").select("user_id", "subject", "short", "k").unionByName(weak.join(sizes, ["subject", "concept"]).select("user_id", "subject", "short", "k"))
+    passed = done.join(weak, keys, "left_anti").select("user_id", "subject", "short", "k").unionByName(weak.join(sizes, ["subject", "concept"]).select("user_id", "subject", "short", F.col("size").alias("k")))
     passed = passed.groupBy("user_id", "subject", "short").agg(F.sum("k").alias("k"))
-    need = profile.select("user_id", "subject", both.alias("short")).join(passed, ["user_id", "subject", "short"], "left")
+    all_sizes = q.groupBy("subject", "short").agg(F.count("*").alias("size"))
+    need = profile.select("user_id", "subject", both.alias("short")).join(all_sizes, ["subject", "short"]).join(passed, ["user_id", "subject", "short"], "left")
     of_rest = need.select("user_id", "subject", "short", ranks.alias("rn")).join(in_subject, ["subject", "short", "rn"])
     of_rest = of_rest.join(q.select("problem_id", "concept"), "problem_id").join(weak, keys, "left_anti").withColumn("weak", F.lit(False))
 
@@ -75,14 +83,16 @@ def candidates(states: DataFrame, questions: DataFrame, weak: DataFrame, tried:
     points = score(F.col("accuracy"), F.col("weak"), F.col("attempted"), F.col("hurried") & F.col("short"))
     known = rows.select("user_id", "problem_id", "subject", "accuracy", points.alias("score"))
 
-    # subjects without a state
-    subjects = [r["subject"] for r in q.select("subject").distinct().limit(MOST_SUBJECTS + 1).collect()]
-    if len(subjects) > MOST_SUBJECTS:
+    # subjects without a state: one score for all their questions, so a user's first by id are enough. They are among the first
+    # of each subject, a short list that goes along as a constant.
+    first = top(q, ["subject"], ["problem_id"], keep).select("problem_id", "subject").limit(MOST_SUBJECTS * keep + 1).collect()
+    if len({r["subject"] for r in first}) > MOST_SUBJECTS:
         raise ValueError(f"over {MOST_SUBJECTS} subjects")
-    others = F.array_except(F.array(*map(F.lit, subjects)).cast("array<string>"), F.collect_set("subject"))
-    lacking = profile.groupBy("user_id").agg(others.alias("s")).select("user_id", F.explode("s").alias("subject"))
-    first = top(q, ["subject"], ["problem_id"], keep).select("subject", "problem_id")
-    neutral = lacking.join(first, "subject").select("user_id", "problem_id", "subject", F.lit(None).cast("double").alias("accuracy"))
+    kind = f"array<struct<problem_id:{dict(q.dtypes)['problem_id']},subject:string>>"
+    listed = F.from_json(F.lit(json.dumps([r.asDict() for r in sorted(first)])), kind)
+    own = profile.groupBy("user_id").agg(F.collect_set("subject").alias("own"))
+    lacking = own.select("user_id", F.inline(F.slice(F.filter(listed, lambda x: ~F.array_contains("own", x["subject"])), 1, keep)))
+    neutral = lacking.select("user_id", "problem_id", "subject", F.lit(None).cast("double").alias("accuracy"))
     return known.unionByName(neutral.withColumn("score", score(F.col("accuracy"), F.lit(False), F.lit(False), F.lit(False))))
 
 

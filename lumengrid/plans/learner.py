@@ -209,8 +209,10 @@ best AS (SELECT user_id, problem_id, score, accuracy, subject, row_number() OVER
 def _best(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The five best questions of each learner, their states, and the problems."""
     a, p = attempts(spark, d), problems(spark, d)
-    mastery = state.concept_mastery(a, p, _concept())
-    states = state.subject_state(a, p).select("user_id", "subject", "accuracy").join(state.risk_tags(a, p, mastery).withColumnRenamed("tags", "risk"), ["user_id", "subject"])
+    mastery = cut(state.concept_mastery(a, p, _concept()), "mastery")
+    subjects = cut(state.subject_state(a, p), "subjects")
+    risk = state.tags_of(subjects, state.tag_counts(a, p), mastery).withColumnRenamed("tags", "risk")
+    states = cut(subjects.select("user_id", "subject", "accuracy").join(risk, ["user_id", "subject"]), "states")
     weak = mastery.where("mastery < 0.5").select("user_id", "subject", "concept")
     tried = a.select("user_id", "problem_id").distinct()
     questions = p.select("problem_id", "subject", _concept().alias("concept"), "limit_seconds")
