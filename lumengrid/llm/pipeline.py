@@ -1,4 +1,12 @@
-"""The stages of corpus_pipeline.py as functions of (spark, docs, sf_dir); all but the last keep the columns of documents."""
+"""The stages of corpus_pipeline.py as functions of (spark, docs, sf_dir); all but the last keep the columns of documents.
+
+Odd input, for all stages: other columns than COLUMNS are dropped, whatever they are called; an empty table gives an empty
+one; rows that repeat go through each stage as often as they come (near-duplicates keep all rows of the document that
+stays); texts are worked on whole, whatever their length. A null text, or one without a letter, is rejected by the first
+stage; given to the others, it is in no group, holds no secret, counts no tokens in the mixture and is the end id alone when
+packed. A null language gets the one found, a null source is a source of its own in the mixture, and a null doc_id is alone
+in its group and is carried along. Ties are settled as each operator says (smallest doc_id of a group, hash order of the mixture).
+"""
 
 from __future__ import annotations
 
