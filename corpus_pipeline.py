@@ -20,7 +20,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``; each result is written as Parquet to the shared folder and read again."""
+    """The stages in order over ``documents``; each result is written as Parquet to the shared folder and read again. Nulls,
+    empty and very long texts, ties, repeated rows, an empty table and further columns: see ``lumengrid.llm.pipeline``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
