@@ -45,43 +45,72 @@ def candidates(states: DataFrame, questions: DataFrame, weak: DataFrame, tried:
 
     states: user_id, subject, accuracy, risk (tags). questions: problem_id, subject, concept, limit_seconds. weak: user_id,
     subject, concept (distinct). tried: user_id, problem_id (distinct). A score depends on the question only by its subject,
-    whether it is short, its concept's weakness and whether it was tried, and ties go to the smaller id. So of a class of
-    questions only the first count, ``keep`` and as many more as the user has tried or has in a weak concept, and these are
-    fetched by rank. Subjects in which a user has no state are neutral (accuracy 0.5); their number is checked.
+    whether it is short, its concept's weakness and whether it was tried, and ties go to the smaller id. So the questions of
+    a user are classes with a score and a number of questions each, and a class counts only while those with higher scores
+    hold fewer than ``keep`` questions. Of these classes the first questions are fetched by rank: ``keep``, and as many more
+    as the user has tried or has in a weak concept. All weak concepts of a subject go before its other questions, so where
+    the others count, fewer than ``keep`` untried questions are in weak concepts: what is fetched grows with a user's own
+    attempts, never with the questions. Subjects in which a user has no state are neutral (accuracy 0.5); their number is
+    checked.
     """
     short = F.coalesce(F.col("limit_seconds") <= pressed_upto, F.lit(False))
     q = questions.select("problem_id", "subject", "concept", short.alias("short"))
-    # each of these is read by several branches below, so it is worked out once
     profile = cut(states.select("user_id", "subject", "accuracy", F.array_contains("risk", "time_pressure").alias("hurried")), "states")
-    weak, tried = cut(weak, "weak"), cut(tried, "tried")
-    hit = cut(tried.join(q, "problem_id"), "hit")
     keys = ["user_id", "subject", "concept"]
-    mine = hit.join(weak.withColumn("weak", F.lit(True)), keys, "left").withColumn("weak", F.coalesce("weak", F.lit(False))).withColumn("attempted", F.lit(True))
-
-    # weak concepts: the first of each (subject, concept, short)
-    in_concept = _first_rank(q, ["subject", "concept", "short"])
-    done = hit.groupBy(*keys, "short").agg(F.count("*").alias("k"))
-    both = F.explode(F.array(F.lit(True), F.lit(False)))
-    sizes = q.groupBy("subject", "concept", "short").agg(F.count("*").alias("size"))
-    need = weak.select(*keys, both.alias("short")).join(sizes, ["subject", "concept", "short"]).join(done, [*keys, "short"], "left")
-    # no more ranks than the class has questions
-    ranks = F.explode(F.sequence(F.lit(1), F.least(F.coalesce("k", F.lit(0)) + keep, "size").cast("int")))
-    of_weak = need.select(*keys, "short", ranks.alias("rn")).join(in_concept, ["subject", "concept", "short", "rn"]).withColumn("weak", F.lit(True))
-
-    # the others: the first of each (subject, short), past what was tried or is in a weak concept
-    in_subject = _first_rank(q, ["subject", "short"]).drop("concept")
-    passed = done.join(weak, keys, "left_anti").select("user_id", "subject", "short", "k").unionByName(weak.join(sizes, ["subject", "concept"]).select("user_id", "subject", "short", F.col("size").alias("k")))
-    passed = passed.groupBy("user_id", "subject", "short").agg(F.sum("k").alias("k"))
-    all_sizes = q.groupBy("subject", "short").agg(F.count("*").alias("size"))
-    need = profile.select("user_id", "subject", both.alias("short")).join(all_sizes, ["subject", "short"]).join(passed, ["user_id", "subject", "short"], "left")
-    of_rest = need.select("user_id", "subject", "short", ranks.alias("rn")).join(in_subject, ["subject", "short", "rn"])
-    of_rest = of_rest.join(q.select("problem_id", "concept"), "problem_id").join(weak, keys, "left_anti").withColumn("weak", F.lit(False))
-
-    columns = ["user_id", "subject", "problem_id", "short", "weak"]
-    fresh = of_weak.select(columns).unionByName(of_rest.select(columns)).join(tried, ["user_id", "problem_id"], "left_anti").withColumn("attempted", F.lit(False))
-    rows = mine.select(*columns, "attempted").unionByName(fresh.select(*columns, "attempted")).join(profile, ["user_id", "subject"])
-    points = score(F.col("accuracy"), F.col("weak"), F.col("attempted"), F.col("hurried") & F.col("short"))
-    known = rows.select("user_id", "problem_id", "subject", "accuracy", points.alias("score"))
+
+    # a user's concepts, weak or tried: ids of the tried questions, short ones and others
+    def ids(of: Column) -> Column:
+        return F.collect_list(F.when(of, F.col("problem_id")))
+
+    hit = tried.join(q, "problem_id").groupBy(*keys).agg(ids(F.col("short")).alias("tried_short"), ids(~F.col("short")).alias("tried_long"))
+    none = F.array().cast(f"array<{dict(q.dtypes)['problem_id']}>")
+    sizes = q.groupBy("subject", "concept").agg(F.count_if("short").alias("size_short"), F.count_if(~F.col("short")).alias("size_long"))
+    cells = hit.join(weak.withColumn("weak", F.lit(True)), keys, "full").join(sizes, ["subject", "concept"], "left")
+    kept = {c: F.coalesce(c, none) for c in ("tried_short", "tried_long")} | {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("size_short", "size_long")}
+    cells = cut(cells.withColumns(kept | {"weak": F.coalesce("weak", F.lit(False))}), "cells")
+
+    def one(short: bool, weak: Column, attempted: bool, n: Column, passed: Column, size: Column, own: Column) -> Column:
+        points = score(F.col("accuracy"), weak, F.lit(attempted), F.col("hurried") & F.lit(short))
+        return F.struct(F.lit(short).alias("short"), weak.alias("weak"), F.lit(attempted).alias("attempted"), points.alias("score"), n.cast("long").alias("n"), passed.cast("long").alias("k"), size.alias("size"), own.alias("own"))
+
+    # a concept's classes: its tried questions and, where it is weak, the others
+    of_cell = []
+    for is_short, name in ((True, "short"), (False, "long")):
+        own, size = F.col(f"tried_{name}"), F.col(f"size_{name}")
+        of_cell.append(one(is_short, F.col("weak"), True, F.size(own), F.size(own), size, own))
+        of_cell.append(one(is_short, F.col("weak"), False, F.when(F.col("weak"), size - F.size(own)).otherwise(0), F.size(own), size, own))
+    no_concepts = F.array().cast(f"array<{dict(q.dtypes)['concept']}>")
+    in_cells = cells.join(profile, ["user_id", "subject"]).select(*keys, "accuracy", F.inline(F.array(*of_cell))).withColumn("weak_concepts", no_concepts)
+    # a subject's classes: its questions outside weak concepts
+    passed = cells.groupBy("user_id", "subject").agg(
+        F.collect_list(F.when(F.col("weak"), F.col("concept"))).alias("weak_concepts"),
+        *(F.sum(F.when(F.col("weak"), F.col(f"size_{n}")).otherwise(F.size(f"tried_{n}"))).alias(f"passed_{n}") for n in ("short", "long")),
+        *(F.flatten(F.collect_list(F.when(~F.col("weak"), F.col(f"tried_{n}")))).alias(f"tried_{n}") for n in ("short", "long")),
+    )
+    all_sizes = q.groupBy("subject").agg(F.count_if("short").alias("size_short"), F.count_if(~F.col("short")).alias("size_long"))
+    rest = profile.join(all_sizes, "subject").join(passed, ["user_id", "subject"], "left").withColumn("weak_concepts", F.coalesce("weak_concepts", no_concepts))
+    of_rest = []
+    for is_short, name in ((True, "short"), (False, "long")):
+        gone = F.coalesce(F.col(f"passed_{name}"), F.lit(0))
+        of_rest.append(one(is_short, F.lit(False), False, F.col(f"size_{name}") - gone, gone, F.col(f"size_{name}"), F.coalesce(f"tried_{name}", none)))
+    in_rest = rest.select("user_id", "subject", F.lit(None).cast("string").alias("concept"), "accuracy", F.inline(F.array(*of_rest)), "weak_concepts")
+
+    # scores have four places, so they are compared as integers
+    classes = in_cells.unionByName(in_rest).where("n > 0").withColumn("down", -F.round(10_000 * F.col("score")).cast("long"))
+    before = W.partitionBy("user_id").orderBy("down").rangeBetween(W.unboundedPreceding, -1)
+    counting = cut(classes.withColumn("above", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("above") < keep).drop("above", "down"), "classes")
+
+    columns = ["user_id", "problem_id", "subject", "accuracy", "score"]
+    again = counting.where("attempted").withColumn("problem_id", F.explode("own"))
+    # no more ranks than the class has questions, and of the questions those with a rank that some user needs
+    most = counting.agg(F.max(F.when(~F.col("attempted"), F.least(F.col("k") + keep, "size")))).first()[0] or 0
+    fresh = counting.where("NOT attempted").withColumn("rn", F.explode(F.sequence(F.lit(1), F.least(F.col("k") + keep, "size").cast("int"))))
+    in_concept = _first_rank(q, ["subject", "concept", "short"]).where(F.col("rn") <= most)
+    of_weak = fresh.where("weak").join(in_concept, ["subject", "concept", "short", "rn"])
+    in_subject = _first_rank(q, ["subject", "short"]).where(F.col("rn") <= most).withColumnRenamed("concept", "its")
+    others = fresh.where("NOT weak").join(in_subject, ["subject", "short", "rn"]).where(~F.coalesce(F.array_contains("weak_concepts", F.col("its")), F.lit(False)))
+    untried = of_weak.select(*columns, "own").unionByName(others.select(*columns, "own")).where(~F.array_contains("own", F.col("problem_id")))
+    known = again.select(columns).unionByName(untried.select(columns))
 
     # subjects without a state: one score for all their questions, so a user's first by id are enough. They are among the first
     # of each subject, a short list that goes along as a constant.

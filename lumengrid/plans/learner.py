@@ -208,7 +208,8 @@ best AS (SELECT user_id, problem_id, score, accuracy, subject, row_number() OVER
 
 def _best(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The five best questions of each learner, their states, and the problems."""
-    a, p = attempts(spark, d), problems(spark, d)
+    p = problems(spark, d)
+    a = cut(attempts(spark, d).drop("attempt_at"), "attempts")  # read by four branches
     mastery = cut(state.concept_mastery(a, p, _concept()), "mastery")
     subjects = cut(state.subject_state(a, p), "subjects")
     risk = state.tags_of(subjects, state.tag_counts(a, p), mastery).withColumnRenamed("tags", "risk")
