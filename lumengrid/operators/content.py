@@ -177,9 +177,10 @@ def first_keyword(name: Column, pairs: list[tuple[str, str]]) -> Column:
 def recovered(lossy_items: DataFrame, fills: DataFrame) -> DataFrame:
     """Items with the stem and choices of their transcription, where it is whole: five choices and a stem that is not blank.
 
-    lossy_items: question_id (its last three digits are the number), year, stem, choices. fills: year, number, stem, choices."""
+    lossy_items: question_id, year, stem, choices and, where the id does not end with it, number (else the id's last three
+    digits are the number). fills: year, number, stem, choices."""
     whole = fills.where((F.size("choices") == 5) & (F.trim("stem") != "")).select("year", "number", F.trim("stem").alias("new_stem"), F.transform("choices", lambda c: F.trim(c)).alias("new_choices"))
-    keyed = lossy_items.withColumn("number", F.right("question_id", F.lit(3)).try_cast("int"))
+    keyed = lossy_items if "number" in lossy_items.columns else lossy_items.withColumn("number", F.right("question_id", F.lit(3)).try_cast("int"))
     return keyed.join(whole, ["year", "number"]).select("question_id", F.col("new_stem").alias("stem"), F.col("new_choices").alias("choices"), F.lit("vision_recovered").alias("review_status"))
 
 

@@ -1,8 +1,10 @@
 """What larger tables showed: keys of more digits, work that grew faster than its input."""
 
+import compare
 from pyspark.sql import functions as F
 
 from lumengrid.operators import recommend
+from lumengrid.plans.catalog import ORACLE_SQL, QUERIES
 
 
 def test_candidates_do_not_grow_with_the_questions(spark):
@@ -25,3 +27,14 @@ def test_candidates_past_a_small_weak_concept(spark):
     tried = spark.createDataFrame([(1, 1), (1, 3)], "user_id long, problem_id long")
     best = recommend.top(recommend.candidates(states, questions, weak, tried, 5), ["user_id"], [F.desc("score"), "problem_id"], 5).orderBy("position").collect()
     assert [(r["problem_id"], r["score"]) for r in best] == [(0, 1.3), (2, 1.3), (1, 0.8), (4, 0.5), (5, 0.5)]
+
+
+def test_recovered_questions_with_keys_of_seven_digits(spark, tmp_path):
+    sizes = spark.range(1_000_000, 1_000_400).select(F.col("id").alias("p_partkey"), (F.col("id") % 50 + 1).cast("int").alias("p_size"))
+    sizes.write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1000).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).cast("int").alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = compare.duckdb.connect()
+    for t in ("part", "supplier"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    name = "recovered_questions"
+    assert compare.differences(spark, con, name, QUERIES[name], ORACLE_SQL[name], str(tmp_path)) == []
