@@ -44,11 +44,13 @@ def stage_weeks(plans: DataFrame, most: int = 52) -> DataFrame:
 
 def subject_hours(states: DataFrame) -> DataFrame:
     """plan_id, subject, hours: 5 % of the week each for upkeep, the rest by weakness; a failing subject (accuracy under
-    0.40) gets 15 % at least, taken from the others in proportion; what rounding leaves goes to the largest.
+    0.40) gets 15 % at least, taken from the others in proportion; what rounding leaves goes to the largest. Sums over a
+    plan's subjects are taken by position, so a value at the middle of two hundredths falls alike in whatever order rows come.
 
     states: plan_id, subject, position, accuracy, hours_per_day.
     """
-    by = W.partitionBy("plan_id")
+    plan = W.partitionBy("plan_id")
+    by = plan.orderBy("position", "subject").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     total = F.round(7 * F.col("hours_per_day"), 2)
     rows = states.withColumns({"h_all": total, "n": F.count("*").over(by)})
     weight = F.when(F.col("accuracy") >= 0.70, 0.0).otherwise(1 - F.col("accuracy") + F.when(F.col("accuracy") < 0.40, 0.5).otherwise(0.0))
@@ -65,7 +67,7 @@ def subject_hours(states: DataFrame) -> DataFrame:
     cut = F.col("spare") * F.when(F.col("room") > 0, F.least(F.lit(1.0), F.col("raised") / F.col("room"))).otherwise(0.0)
     rows = rows.withColumn("r", F.round(F.col("h") + F.col("raise") - cut, 2))
     drift = F.round(F.col("h_all") - F.sum("r").over(by), 2)
-    rows = rows.withColumns({"drift": drift, "largest": F.row_number().over(by.orderBy(F.desc("r"), "position")) == 1})
+    rows = rows.withColumns({"drift": drift, "largest": F.row_number().over(plan.orderBy(F.desc("r"), "position")) == 1})
     hours = F.round(F.col("r") + F.when(F.col("largest") & (F.abs("drift") >= 0.01), F.col("drift")).otherwise(0.0), 2)
     return rows.select("plan_id", "subject", F.when(F.col("h_all") <= 0, 0.0).otherwise(hours).alias("hours"))
 

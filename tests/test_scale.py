@@ -1,10 +1,13 @@
 """What larger tables showed: keys of more digits, work that grew faster than its input."""
 
+import itertools
+
 import compare
 from pyspark.sql import functions as F
 
-from lumengrid.operators import recommend
+from lumengrid.operators import planning, recommend
 from lumengrid.plans.catalog import ORACLE_SQL, QUERIES
+from lumengrid.streaming.ingest import event_stream as learner_stream
 
 
 def test_candidates_do_not_grow_with_the_questions(spark):
@@ -38,3 +41,26 @@ def test_recovered_questions_with_keys_of_seven_digits(spark, tmp_path):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     name = "recovered_questions"
     assert compare.differences(spark, con, name, QUERIES[name], ORACLE_SQL[name], str(tmp_path)) == []
+
+
+def test_hours_do_not_depend_on_the_order_of_rows(spark):
+    orders = list(itertools.permutations(range(5)))
+    rows = [(k, f"s{r}", r, (823 * 13 + r * 29) % 100 / 100, 3.0) for k, order in enumerate(orders) for r in order]
+    states = spark.createDataFrame(rows, "plan_id long, subject string, position int, accuracy double, hours_per_day double").coalesce(1)
+    assert planning.subject_hours(states).select("subject", "hours").distinct().count() == 5
+
+
+def test_stream_comes_in_few_batches(spark, tmp_path, monkeypatch):
+    from lumengrid.plans import learner
+
+    given = []
+    monkeypatch.setattr(learner, "event_stream", lambda spark, folder, schema, n: given.append((folder, n)) or learner_stream(spark, folder, schema, n))
+    attempts = learner.attempts
+    monkeypatch.setattr(learner, "attempts", lambda spark, d: attempts(spark, d).repartition(20))
+    spark.conf.set("spark.sql.files.openCostInBytes", 2**30)  # each file is read by a task of its own
+    try:
+        QUERIES["stream_user_state"](spark, "/root/testdata/sf0.001").count()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    ((folder, n),) = given
+    assert len(spark.read.parquet(folder).inputFiles()) / n <= 4
