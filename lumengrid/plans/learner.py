@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -97,7 +98,8 @@ def user_state(spark, d) -> DataFrame:
 @query(WHOLE_STATE_SQL)
 def stream_user_state(spark, d) -> DataFrame:
     """The same, kept by deltas over a stream: most attempts come first with a wrong result and wrong mistakes for one in
-    five, then all come as they are, some of them twice."""
+    five, then all come as they are, some of them twice. Every batch has attempts of all users, so it costs what the whole
+    state does; the stream comes in a few batches whatever the number of its files."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = cut(attempts(spark, d).drop("attempt_at").withColumn("log_id", F.monotonically_increasing_id()), "attempts")
     wrong = F.col("log_id") % 5 == 0
@@ -105,7 +107,8 @@ def stream_user_state(spark, d) -> DataFrame:
     for part in (first, rows.withColumn("version", F.lit(1)), first.unionByName(rows.withColumn("version", F.lit(1))).where("log_id % 7 = 0")):
         part.write.mode("append").parquet(f"{folder}/in")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.schema)
-    stream = event_stream(spark, f"{folder}/in", schema, 8)
+    files = len(spark.read.schema(schema).parquet(f"{folder}/in").inputFiles())
+    stream = event_stream(spark, f"{folder}/in", schema, max(8, math.ceil(files / 4)))
     learner.maintained(stream, problems(spark, d), _concept(), f"{folder}/state", f"{folder}/checkpoint", buckets=8).awaitTermination()
     return _written(learner.current(spark, f"{folder}/state"))
 
