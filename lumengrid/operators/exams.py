@@ -211,7 +211,8 @@ def answer_keys(cells: DataFrame, lines: DataFrame) -> DataFrame:
     answer, the first line that says ``number answer answer`` does. Rows without a subject are left out.
     """
     row = W.partitionBy("subject", "page", "grid", "row").orderBy("col")
-    paired = cells.where("subject IS NOT NULL").withColumn("next", F.lead(F.struct("col", "text")).over(row)).where((F.col("col") % 3 == 0) & (F.col("next.col") == F.col("col") + 1) & F.btrim("text").rlike("^[0-9]+$"))
+    asked = cells.where("subject IS NOT NULL AND pmod(col, 3) < 2")  # a third column is never an answer, nor between the two
+    paired = asked.withColumn("next", F.lead(F.struct("col", "text")).over(row)).where((F.col("col") % 3 == 0) & (F.col("next.col") == F.col("col") + 1) & F.btrim("text").rlike("^[0-9]+$"))
     given = paired.select("subject", F.btrim("text").try_cast("int").alias("number"), answer_index(F.col("next.text")).alias("answer"), F.struct("page", "grid", "row", "col").alias("place"))
     first = given.where("answer IS NOT NULL AND number IS NOT NULL").groupBy("subject", "number").agg(F.max_by("answer", "place").alias("cell"))
     said = F.regexp_extract_all("text", F.lit(f"[0-9]{{1,2}}\\s+[{CHOICES}1-5]\\s+[{CHOICES}1-5]"), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumengrid.operators import exams
 from lumengrid.plans.registry import query
-from lumengrid.sources.tables import table
+from lumengrid.sources.tables import dealt, table
 
 # A page holds 240 words: two columns of 30 lines of four, slanted on every third page, or (odd pages) one column of lines of
 # eight whose words may cross the middle. Each has a header word, and a number alone at the end of its left column.
@@ -92,7 +92,9 @@ SELECT subject, number::INT AS number, coalesce(cell, line)::INT AS answer, cell
 )
 def answer_grid(spark, d) -> DataFrame:
     """Answer keys from tables of (number, answer, other form), and from lines where no table has them; numbers repeat."""
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_quantity", "l_linestatus")))
+    every = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_linestatus")
+    count = every.count()  # from the footers of the files
+    lines = dealt(every, count, "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_quantity", "l_linestatus")))
     lines = lines.select((F.col("l_suppkey") % 50).cast("string").alias("subject"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("row"), "l_partkey", F.col("l_quantity").cast("int").alias("n"), "l_linestatus")
 
     def one_of(*tokens: str) -> Column:
