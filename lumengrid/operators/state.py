@@ -17,15 +17,23 @@ STAGES = [(30, 0.0, "post_lecture"), (80, 0.50, "objective_entry"), (200, 0.62,
 
 def subject_state(attempts: DataFrame, problems: DataFrame) -> DataFrame:
     """user_id, subject, n, n_correct, n_timed, n_over, accuracy, overrun: one aggregate over one join."""
+    return subject_state_of(attempts.join(problems.select("problem_id", "subject", "limit_seconds"), "problem_id"))
+
+
+def subject_state_of(rows: DataFrame) -> DataFrame:
+    """The same from attempts with their problems: user_id, subject, correct, seconds, limit_seconds."""
     over = F.col("seconds") > F.col("limit_seconds")
-    rows = attempts.join(problems.select("problem_id", "subject", "limit_seconds"), "problem_id")
     out = rows.groupBy("user_id", "subject").agg(
         F.count("*").alias("n"),
         F.count_if("correct").alias("n_correct"),
         F.count("limit_seconds").alias("n_timed"),
         F.count_if(over).alias("n_over"),
     )
-    return out.withColumns(
+    return _rated(out)
+
+
+def _rated(counts: DataFrame) -> DataFrame:
+    return counts.withColumns(
         {
             "accuracy": F.round(F.col("n_correct") / F.col("n"), 4),
             "overrun": F.round(F.coalesce(F.try_divide("n_over", "n_timed"), F.lit(0.0)), 4),
@@ -35,14 +43,22 @@ def subject_state(attempts: DataFrame, problems: DataFrame) -> DataFrame:
 
 def concept_mastery(attempts: DataFrame, problems: DataFrame, concept: Column) -> DataFrame:
     """user_id, subject, concept, n, n_correct, mastery: by the problem's main concept; problems without one do not count."""
-    main = problems.select("problem_id", "subject", concept.alias("concept")).where("concept is not null")
-    out = attempts.join(main, "problem_id").groupBy("user_id", "subject", "concept").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
+    return concept_mastery_of(attempts.join(problems.select("problem_id", "subject", concept.alias("concept")), "problem_id"))
+
+
+def concept_mastery_of(rows: DataFrame) -> DataFrame:
+    """The same from attempts with their problems: user_id, subject, concept, correct."""
+    out = rows.where("concept is not null").groupBy("user_id", "subject", "concept").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"))
     return out.withColumn("mastery", F.round(F.col("n_correct") / F.col("n"), 4))
 
 
 def tag_counts(attempts: DataFrame, problems: DataFrame) -> DataFrame:
     """user_id, subject, tag, n: how often each mistake tag was given."""
-    rows = attempts.join(problems.select("problem_id", "subject"), "problem_id")
+    return tag_counts_of(attempts.join(problems.select("problem_id", "subject"), "problem_id"))
+
+
+def tag_counts_of(rows: DataFrame) -> DataFrame:
+    """The same from attempts with their problems: user_id, subject, mistakes."""
     return rows.select("user_id", "subject", F.explode("mistakes").alias("tag")).groupBy("user_id", "subject", "tag").agg(F.count("*").alias("n"))
 
 
@@ -56,14 +72,16 @@ def tags_of(subjects: DataFrame, counts: DataFrame, mastery: DataFrame) -> DataF
     rank = F.row_number().over(W.partitionBy("user_id", "subject").orderBy(F.desc("n"), "tag"))
     given = counts.withColumn("r", rank).where("r <= 3").groupBy("user_id", "subject").agg(F.array_sort(F.collect_list(F.struct("r", "tag"))).alias("top"))
     gaps = mastery.groupBy("user_id", "subject").agg(F.bool_or(F.col("mastery") < GAP_TAG_BELOW).alias("gap"))
-    rate = F.coalesce(F.try_divide("n_over", "n_timed"), F.lit(0.0))
     rows = subjects.join(given, ["user_id", "subject"], "left").join(gaps, ["user_id", "subject"], "left")
-    inferred = F.concat(
-        F.when(rate >= OVERRUN_TAG_FROM, F.array(F.lit("time_pressure"))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("gap"), F.array(F.lit("concept_gap"))).otherwise(F.array().cast("array<string>")),
-    )
-    top = F.coalesce(F.transform("top", lambda t: t["tag"]), F.array().cast("array<string>"))
-    return rows.select("user_id", "subject", F.slice(F.array_distinct(F.concat(top, inferred)), 1, 3).alias("tags"))
+    return rows.select("user_id", "subject", _tags(F.col("top"), F.col("gap")).alias("tags"))
+
+
+def _tags(top: Column, gap: Column) -> Column:
+    """Three tags: those of ``top`` (an array of structs with tag, in order), then those that n_over, n_timed and gap say."""
+    rate = F.coalesce(F.try_divide("n_over", "n_timed"), F.lit(0.0))
+    none = F.array().cast("array<string>")
+    inferred = F.concat(F.when(rate >= OVERRUN_TAG_FROM, F.array(F.lit("time_pressure"))).otherwise(none), F.when(gap, F.array(F.lit("concept_gap"))).otherwise(none))
+    return F.slice(F.array_distinct(F.concat(F.coalesce(F.transform(top, lambda t: t["tag"]), none), inferred)), 1, 3)
 
 
 def stage_of(n: Column, accuracy: Column) -> Column:
@@ -80,9 +98,58 @@ def user_stage(attempts: DataFrame) -> DataFrame:
     return out.withColumn("stage", stage_of(F.col("n"), F.col("n_correct") / F.col("n")))
 
 
+def marked(problems: DataFrame, concept: Column) -> DataFrame:
+    """problem_id, subject, concept, limit_seconds, known, own: problems as ``by_subject`` takes them after a left join. Of rows
+    that repeat a problem_id one is its own, so that a learner's attempts are counted once."""
+    own = F.row_number().over(W.partitionBy("problem_id").orderBy("subject", "limit_seconds")) == 1
+    rows = problems.where("problem_id is not null").select("problem_id", "subject", concept.alias("concept"), "limit_seconds")
+    return rows.withColumns({"known": F.lit(True), "own": own})
+
+
+def by_subject(rows: DataFrame) -> DataFrame:
+    """user_id, known, subject, what ``subject_state`` has, tags as ``risk_tags`` has them, concept_mastery (lowest first; null:
+    none), mean_mastery, n_own, n_own_correct: all of a learner's state in one pass over attempts with their problems.
+
+    rows: attempts left joined with ``marked`` problems. Attempts of unknown problems are rows with known false; their
+    n_own count for the stage alone. Every attempt is counted under its concept and under each of its tags; where rows lie
+    together by user_id (``tables.judged``), nothing here is shuffled."""
+    known, own = F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("own", F.lit(True)).alias("own")
+    over = (F.col("seconds") > F.col("limit_seconds")).alias("over")
+    main = F.array(F.struct(F.lit(False).alias("given"), F.col("concept").alias("tag")))
+    given = F.transform("mistakes", lambda t: F.struct(F.lit(True).alias("given"), t.alias("tag")))
+    each = rows.select("user_id", known, "subject", own, "correct", "limit_seconds", over, F.inline(F.coalesce(F.concat(main, given), main)))
+    sums = {
+        "n": F.count("*"),
+        "n_correct": F.count_if("correct"),
+        "n_timed": F.count("limit_seconds"),
+        "n_over": F.count_if("over"),
+        "n_own": F.count_if("own"),
+        "n_own_correct": F.count_if(F.col("own") & F.col("correct")),
+    }
+    counts = each.groupBy("user_id", "known", "subject", "given", "tag").agg(*(c.alias(k) for k, c in sums.items()))
+    mastery = F.when(~F.col("given") & F.col("tag").isNotNull(), F.round(F.col("n_correct") / F.col("n"), 4))
+    out = counts.groupBy("user_id", "known", "subject").agg(
+        *(F.sum(F.when(~F.col("given"), F.col(k))).alias(k) for k in sums),
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("given"), F.struct((-F.col("n")).alias("n"), "tag")))), 1, 3).alias("top"),
+        F.array_sort(F.collect_list(F.when(mastery.isNotNull(), F.struct(mastery.alias("mastery"), F.col("tag").alias("concept"))))).alias("concept_mastery"),
+        F.avg(mastery).alias("mean_mastery"),
+        F.bool_or(mastery < GAP_TAG_BELOW).alias("gap"),
+    )
+    keyed = F.col("user_id").isNotNull() & F.col("subject").isNotNull()  # a null key meets nothing, as in a join
+    out = _rated(out).withColumn("tags", _tags(F.when(keyed, F.col("top")), keyed & F.col("gap")))
+    return out.withColumn("concept_mastery", F.when(F.size("concept_mastery") > 0, F.col("concept_mastery"))).drop("top", "gap")
+
+
 def user_state(attempts: DataFrame, problems: DataFrame, concept: Column) -> DataFrame:
     """One row a user: stage, and the subjects in ascending order with state, risk tags and mastery (lowest first)."""
-    return nested(subject_state(attempts, problems), tag_counts(attempts, problems), concept_mastery(attempts, problems, concept), user_stage(attempts))
+    return user_state_of(by_subject(attempts.join(marked(problems, concept), "problem_id", "left")))
+
+
+def user_state_of(states: DataFrame) -> DataFrame:
+    """The same from what ``by_subject`` gives."""
+    one = F.when(F.col("known") & F.col("subject").isNotNull(), F.struct("subject", "accuracy", "overrun", "tags", "concept_mastery"))
+    out = states.where("user_id is not null").groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("subject_states"), F.sum("n_own").alias("n"), F.sum("n_own_correct").alias("n_correct"))
+    return out.where(F.size("subject_states") > 0).select("user_id", "subject_states", stage_of(F.col("n"), F.col("n_correct") / F.col("n")).alias("stage"))
 
 
 def nested(subjects: DataFrame, counts: DataFrame, mastery: DataFrame, stages: DataFrame) -> DataFrame:

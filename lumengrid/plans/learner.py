@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lumengrid.operators import prescribe, recommend, state
 from lumengrid.plans.registry import query
 from lumengrid.sources.folders import cut, shared_folder
-from lumengrid.sources.tables import VIEWS_SQL, attempts, problems, table
+from lumengrid.sources.tables import VIEWS_SQL, attempts, judged, problems, table
 from lumengrid.streaming import learner
 from lumengrid.streaming.ingest import event_stream
 
@@ -21,6 +21,16 @@ def _concept() -> Column:
     return F.concat_ws(":", "unit", F.element_at("tags", 1))
 
 
+def _judged(spark, d) -> DataFrame:
+    """Attempts with their problems and main concepts, dealt by learner."""
+    return judged(spark, d, problems(spark, d).select("problem_id", "subject", _concept().alias("concept"), "limit_seconds"))
+
+
+def _by_subject(spark, d) -> DataFrame:
+    """All of each learner's state in each subject, in one pass."""
+    return state.by_subject(judged(spark, d, state.marked(problems(spark, d), _concept()), "left"))
+
+
 CONCEPT_SQL = "unit || ':' || tags[1]"
 STATE_SQL = f"""WITH {VIEWS_SQL}, st AS (
   SELECT user_id, subject, count(*) AS n, count_if(correct)::BIGINT AS n_correct, count(limit_seconds) AS n_timed,
@@ -47,23 +57,22 @@ STATE_SQL = f"""WITH {VIEWS_SQL}, st AS (
 @query(f"{STATE_SQL} SELECT *, round(n_correct / n, 4) AS accuracy, round(coalesce(n_over / nullif(n_timed, 0), 0.0), 4) AS overrun FROM st")
 def user_subject_state(spark, d) -> DataFrame:
     """Accuracy and time overrun of each learner in each subject."""
-    return state.subject_state(attempts(spark, d), problems(spark, d))
+    return state.subject_state_of(_judged(spark, d))
 
 
 @query(f"{STATE_SQL} SELECT * FROM mastery")
 def concept_mastery(spark, d) -> DataFrame:
-    return state.concept_mastery(attempts(spark, d), problems(spark, d), _concept())
+    return state.concept_mastery_of(_judged(spark, d))
 
 
 @query(f"{STATE_SQL} SELECT user_id, subject, tag, n FROM tag_c")
 def tag_frequency(spark, d) -> DataFrame:
-    return state.tag_counts(attempts(spark, d), problems(spark, d))
+    return state.tag_counts_of(_judged(spark, d))
 
 
 @query(f"{STATE_SQL} SELECT user_id, subject, array_to_string(tags, ',') AS tags FROM risk")
 def user_risk_tags(spark, d) -> DataFrame:
-    a, p = attempts(spark, d), problems(spark, d)
-    return state.risk_tags(a, p, state.concept_mastery(a, p, _concept())).withColumn("tags", F.array_join("tags", ","))
+    return _by_subject(spark, d).where("known").select("user_id", "subject", F.array_join("tags", ",").alias("tags"))
 
 
 @query(f"{STATE_SQL} SELECT * FROM stages")
@@ -92,7 +101,7 @@ def _written(full: DataFrame) -> DataFrame:
 @query(WHOLE_STATE_SQL)
 def user_state(spark, d) -> DataFrame:
     """The whole nested state of a learner, written out as text."""
-    return _written(state.user_state(attempts(spark, d), problems(spark, d), _concept()))
+    return _written(state.user_state_of(_by_subject(spark, d)))
 
 
 @query(WHOLE_STATE_SQL)
@@ -134,17 +143,23 @@ fit AS (SELECT p.user_id, rule_key, confidence FROM profile p JOIN stages s USIN
 matched AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(confidence, 0) DESC, rule_key) AS position FROM fit)"""
 
 
-def _matched(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    a, p = attempts(spark, d), problems(spark, d)
-    tags = state.risk_tags(a, p, state.concept_mastery(a, p, _concept()))
-    profile = tags.groupBy("user_id").agg(F.collect_set("subject").alias("subjects"), F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags"))
-    users = profile.join(state.user_stage(a).select("user_id", "stage"), "user_id")
-    return prescribe.matched_rules(users, spark.createDataFrame(RULES, RULES_SCHEMA), GROUPS), a, p
+def _matched(spark, states: DataFrame) -> DataFrame:
+    """The rules that fit each learner, from what ``state.by_subject`` gives."""
+    known = F.col("known")
+    profile = states.where("user_id is not null").groupBy("user_id").agg(
+        F.bool_or("known").alias("known"),
+        F.collect_set(F.when(known, F.col("subject"))).alias("subjects"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(known, F.col("tags"))))).alias("tags"),
+        F.sum("n_own").alias("n"),
+        F.sum("n_own_correct").alias("n_correct"),
+    )
+    users = profile.where("known").withColumn("stage", state.stage_of(F.col("n"), F.col("n_correct") / F.col("n")))
+    return prescribe.matched_rules(users, spark.createDataFrame(RULES, RULES_SCHEMA), GROUPS)
 
 
 @query(f"{STATE_SQL}, {RULES_SQL} SELECT user_id, rule_key, confidence, position FROM matched")
 def rule_match(spark, d) -> DataFrame:
-    return _matched(spark, d)[0]
+    return _matched(spark, _by_subject(spark, d))
 
 
 @query(
@@ -157,12 +172,10 @@ s AS (SELECT user_id, least(100, coalesce(points, 0) + CASE WHEN days < 30 THEN
 SELECT user_id, score, CASE WHEN score >= 50 THEN 'high' WHEN score >= 25 THEN 'moderate' ELSE 'low' END AS level FROM s"""
 )
 def risk_score(spark, d) -> DataFrame:
-    matched, a, p = _matched(spark, d)
-    mean = state.concept_mastery(a, p, _concept()).groupBy("user_id", "subject").agg(F.avg("mastery").alias("mean_mastery"))
-    states = state.subject_state(a, p).join(mean, ["user_id", "subject"], "left")
-    counts = matched.groupBy("user_id").agg(F.count("*").alias("n_rules"))
+    states = cut(_by_subject(spark, d).drop("concept_mastery"), "states")  # read for points and for rules
+    counts = _matched(spark, states).groupBy("user_id").agg(F.count("*").alias("n_rules"))
     users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 120).alias("days"))
-    return prescribe.risk_score(states, users.join(counts, "user_id", "left").fillna({"n_rules": 0}))
+    return prescribe.risk_score(states.where("known"), users.join(counts, "user_id", "left").fillna({"n_rules": 0}))
 
 
 @query(
@@ -186,7 +199,7 @@ def concept_importance(spark, d) -> DataFrame:
 def prescription(spark, d) -> DataFrame:
     """A learner's prescription: its rules in order, an id that its content decides, and the time it takes."""
     rules = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "rule_key"))), lambda r: r["rule_key"]), ",")
-    out = _matched(spark, d)[0].groupBy("user_id").agg(rules.alias("rule_keys"), F.count("*").alias("n_rules"))
+    out = _matched(spark, _by_subject(spark, d)).groupBy("user_id").agg(rules.alias("rule_keys"), F.count("*").alias("n_rules"))
     return out.select(
         "user_id",
         prescribe.prescription_id(F.col("user_id"), F.concat_ws("|", F.col("user_id").cast("string"), "rule_keys")).alias("prescription_id"),
@@ -269,7 +282,7 @@ SELECT user_id, arg_min(subject, (s, subject)) AS subject FROM w GROUP BY user_i
 def weakest_subject(spark, d) -> DataFrame:
     """The subject with the least accuracy less a share of the overrun, the first by name on ties."""
     s = F.col("accuracy") - 0.35 * F.col("overrun")
-    return state.subject_state(attempts(spark, d), problems(spark, d)).groupBy("user_id").agg(F.min_by("subject", F.struct(s, "subject")).alias("subject"))
+    return state.subject_state_of(_judged(spark, d)).groupBy("user_id").agg(F.min_by("subject", F.struct(s, "subject")).alias("subject"))
 
 
 @query(
@@ -280,7 +293,7 @@ def learner_class(spark, d) -> DataFrame:
     """Mean accuracy, largest overrun and a ladder over both. Accuracies have four places, so they are added as integers: a
     mean at the line is at the line in whatever order rows come."""
     parts = F.round(10000 * F.col("accuracy")).cast("long")
-    out = state.subject_state(attempts(spark, d), problems(spark, d)).groupBy("user_id").agg(F.sum(parts).alias("s"), F.count("*").alias("n"), F.max("overrun").alias("max_overrun"))
+    out = state.subject_state_of(_judged(spark, d)).groupBy("user_id").agg(F.sum(parts).alias("s"), F.count("*").alias("n"), F.max("overrun").alias("max_overrun"))
     kind = F.when(4 * F.col("s") < 10000 * F.col("n"), "starter").when(F.col("max_overrun") > 0.6, "slow").otherwise("steady")
     return out.select("user_id", F.round(F.col("s") / (10000.0 * F.col("n")), 6).alias("mean_accuracy"), "max_overrun", kind.alias("kind"))
 
@@ -293,7 +306,7 @@ SELECT user_id, CASE WHEN NOT correct THEN 'choice_elimination' WHEN slow THEN '
 def attempt_diagnosis(spark, d) -> DataFrame:
     """The path that each attempt asks for, by right or wrong and slow or not."""
     slow = F.coalesce(F.col("seconds") > F.col("limit_seconds"), F.lit(False))
-    rows = attempts(spark, d).join(problems(spark, d).select("problem_id", "limit_seconds"), "problem_id")
+    rows = judged(spark, d, problems(spark, d).select("problem_id", "limit_seconds"))
     path = F.when(~F.col("correct"), "choice_elimination").when(slow, "structure").otherwise("reverse_check")
     tags = F.concat_ws(",", F.when(~F.col("correct"), "concept_gap,distractor_trap"), F.when(slow, "time_pressure"))
     return rows.groupBy("user_id", path.alias("path"), tags.alias("tags")).agg(F.count("*").alias("n"))

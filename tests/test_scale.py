@@ -3,9 +3,10 @@
 import itertools
 
 import compare
+import pytest
 from pyspark.sql import functions as F
 
-from lumengrid.operators import planning, recommend
+from lumengrid.operators import planning, recommend, state
 from lumengrid.plans.catalog import ORACLE_SQL, QUERIES
 from lumengrid.streaming.ingest import event_stream as learner_stream
 
@@ -64,3 +65,50 @@ def test_stream_comes_in_few_batches(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     ((folder, n),) = given
     assert len(spark.read.parquet(folder).inputFiles()) / n <= 4
+
+
+BY_LEARNER = "user_subject_state concept_mastery tag_frequency user_risk_tags user_state rule_match prescription attempt_diagnosis".split()
+
+
+@pytest.mark.parametrize("rows_a_task, parts", [(500, 12), (150, 40)])  # problems broadcast, and dealt as well
+@pytest.mark.parametrize("name", BY_LEARNER)
+def test_learner_queries_keep_the_parts_they_were_dealt_in(spark, monkeypatch, name, rows_a_task, parts):
+    from lumengrid.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS_A_TASK", rows_a_task)
+    d = "/root/testdata/sf0.001"
+    assert QUERIES[name](spark, d).rdd.getNumPartitions() == parts
+    assert compare.differences(spark, compare.connect(d), name, QUERIES[name], ORACLE_SQL[name], d) == []
+
+
+def test_whole_state_in_one_pass_over_odd_rows(spark):
+    """A problem listed twice, an unknown problem, null subjects, concepts and learners: as by separate aggregates."""
+    log = [(u, p, c, s, m) for u in ("u", "v", None) for p, c, s, m in [(1, True, 50.0, ["A"]), (1, False, 150.0, ["A", "B"]), (2, True, 10.0, None), (3, False, 9.0, ["C"]), (4, True, 1.0, ["D"]), (9, True, 1.0, ["E"])]]
+    log.append(("w", 9, True, 1.0, ["E"]))
+    attempts = spark.createDataFrame(log, "user_id string, problem_id long, correct boolean, seconds double, mistakes array<string>")
+    listed = [(1, "x", "a", 100), (1, "x", "b", 40), (2, "x", None, 5), (3, "y", None, None), (4, None, "a", 1), (None, "z", "a", 1)]
+    problems = spark.createDataFrame(listed, "problem_id long, subject string, concept string, limit_seconds int")
+    mastery = state.concept_mastery(attempts, problems, F.col("concept"))
+    subjects, counts = state.subject_state(attempts, problems), state.tag_counts(attempts, problems)
+
+    def plain(rows):
+        return sorted(map(str, rows.collect()))
+
+    want = state.nested(subjects, counts, mastery, state.user_stage(attempts))
+    assert plain(state.user_state(attempts, problems, F.col("concept")).select(want.columns)) == plain(want)
+    whole = state.by_subject(attempts.join(state.marked(problems, F.col("concept")), "problem_id", "left")).where("known")
+    assert plain(whole.select("user_id", "subject", "tags")) == plain(state.risk_tags(attempts, problems, mastery))
+    assert plain(whole.select(subjects.columns)) == plain(subjects)
+
+
+@pytest.mark.parametrize("name", ["user_state", "risk_score"])
+def test_attempts_are_joined_once(spark, monkeypatch, name):
+    from lumengrid.plans import learner
+    from lumengrid.sources import tables
+
+    made = []
+    joined = tables.attempts
+    for module in (tables, learner):
+        monkeypatch.setattr(module, "attempts", lambda spark, d: made.append(d) or joined(spark, d))
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert made == ["/root/testdata/sf0.001"]
