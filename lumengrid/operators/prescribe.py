@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumengrid.operators.graph import substring_pairs
+from lumengrid.sources.folders import cut
 
 WILDCARD = "all"
 #: More rules are refused, never left out.
@@ -56,15 +57,19 @@ def risk_score(states: DataFrame, users: DataFrame) -> DataFrame:
     return users.join(sums, "user_id", "left").select("user_id", score.alias("score")).withColumn("level", level)
 
 
-def concepts_to_review(mastery: DataFrame, frequency: DataFrame, keep: int = 3) -> DataFrame:
+def concepts_to_review(mastery: DataFrame, frequency: DataFrame, keep: int = 3, concepts: DataFrame | None = None) -> DataFrame:
     """user_id, concept, subject, importance, position. frequency: tag, f. A tag counts for a concept that holds it or is
-    held by it; distinct concepts are matched first, so the comparison does not grow with the users."""
-    concepts = mastery.select("concept").distinct()
+    held by it; distinct concepts are matched first, so the comparison does not grow with the users. concepts: concept, all
+    that ``mastery`` has or more; where it is given, mastery is worked out once, and what is known of a concept is written,
+    so that it is broadcast while it is small and mastery stays where its users lie."""
+    alone = concepts is None
+    concepts = mastery.select("concept").distinct() if alone else concepts.where("concept is not null").distinct()
     a, b = concepts.select(F.col("concept").alias("x")), frequency.select(F.col("tag").alias("x")).distinct()
     held = substring_pairs(b.select(F.col("x").alias("needle")), a.select(F.col("x").alias("text_id"), F.col("x").alias("text"))).select(F.col("text_id").alias("concept"), F.col("needle").alias("tag"))
     holding = substring_pairs(a.select(F.col("x").alias("needle")), b.select(F.col("x").alias("text_id"), F.col("x").alias("text"))).select(F.col("needle").alias("concept"), F.col("text_id").alias("tag"))
     pairs = held.union(holding).distinct().join(frequency, "tag").groupBy("concept").agg(F.max("f").alias("f"))
     known = concepts.join(pairs, "concept", "left").select("concept", F.coalesce("f", F.lit(0)).alias("f"))
+    known = known if alone else cut(known, "known")
     top = frequency.agg(F.coalesce(F.max("f"), F.lit(0)).alias("top")).first()["top"]
     weakness = 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("mastery")))
     importance = F.round(0.6 * weakness + (0.4 * F.col("f") / top if top else 0.0), 4)

@@ -187,9 +187,10 @@ p AS (SELECT user_id, concept, subject, importance, row_number() OVER (PARTITION
 SELECT * FROM p WHERE position <= 3"""
 )
 def concept_importance(spark, d) -> DataFrame:
-    a, p = attempts(spark, d), problems(spark, d)
-    frequency = p.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("f"))
-    return prescribe.concepts_to_review(state.concept_mastery(a, p, _concept()), frequency)
+    p = problems(spark, d)
+    frequency = cut(p.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("f")), "frequency")
+    concepts = cut(p.select(_concept().alias("concept")).distinct(), "concepts")
+    return prescribe.concepts_to_review(state.concept_mastery_of(_judged(spark, d)), frequency, concepts=concepts)
 
 
 @query(

@@ -67,7 +67,7 @@ def test_stream_comes_in_few_batches(spark, tmp_path, monkeypatch):
     assert len(spark.read.parquet(folder).inputFiles()) / n <= 4
 
 
-BY_LEARNER = "user_subject_state concept_mastery tag_frequency user_risk_tags user_state rule_match prescription attempt_diagnosis".split()
+BY_LEARNER = "user_subject_state concept_mastery tag_frequency user_risk_tags user_state rule_match prescription concept_importance attempt_diagnosis".split()
 
 
 @pytest.mark.parametrize("rows_a_task, parts", [(500, 12), (150, 40)])  # problems broadcast, and dealt as well
