@@ -39,16 +39,22 @@ def column_splits(words: DataFrame) -> DataFrame:
     marked = words.select("doc", "page", "width", first.alias("first"), places.alias("places"), beyond(F.col("x0"), True).alias("a"), beyond(F.col("x1"), False).alias("z"))
     steps = F.array(F.struct(F.least("a", "places").alias("at"), F.lit(1).alias("by")), F.struct(F.least(F.greatest("a", "z"), "places").alias("at"), F.lit(-1).alias("by")))
     sums = marked.select("doc", "page", "width", "first", "places", F.inline(steps)).groupBy("doc", "page", "width", "first", "places", "at").agg(F.sum("by").alias("by"))
-    pages = sums.groupBy("doc", "page", "width", "first", "places").agg(F.map_from_entries(F.collect_list(F.struct("at", "by"))).alias("by"))
-    none = F.struct(F.lit(0).cast("long").alias("now"), F.lit(None).cast("struct<crossings:bigint,off:double,x:double>").alias("best"))
+    pages = sums.groupBy("doc", "page", "width", "first", "places").agg(F.array_sort(F.collect_list(F.struct("at", "by"))).alias("steps"))
+    none = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("now"), F.lit(None).cast("struct<crossings:bigint,off:double,x:double>").alias("best"))
+    center = F.floor((F.col("width") / 2 - F.col("first")) / STEP).cast("int")
 
-    def step(state: Column, i: Column) -> Column:
-        now = state["now"] + F.coalesce(F.try_element_at("by", i), F.lit(0).cast("long"))
-        x = (F.col("first") + i * STEP).cast("double")
-        here = F.struct(now.alias("crossings"), F.abs(x - F.col("width") / 2).alias("off"), x.alias("x"))
-        return F.struct(now.alias("now"), F.least(state["best"], here).alias("best"))
+    def step(state: Column, s: Column) -> Column:
+        """Between two steps the crossings stay, so of those places the ones beside the center are enough."""
 
-    found = F.when(F.col("places") > 0, F.aggregate(F.sequence(F.lit(0), F.col("places") - 1), none, step, lambda s: s["best"]["x"]))
+        def here(i: Column) -> Column:
+            x = (F.col("first") + F.greatest(state["at"], F.least(i, s["at"] - 1)) * STEP).cast("double")
+            return F.struct(state["now"].alias("crossings"), F.abs(x - F.col("width") / 2).alias("off"), x.alias("x"))
+
+        best = F.when(s["at"] > state["at"], F.least(state["best"], here(center), here(center + 1))).otherwise(state["best"])
+        return F.struct(s["at"].alias("at"), (state["now"] + s["by"]).alias("now"), best.alias("best"))
+
+    last = F.array(F.struct(F.col("places").alias("at"), F.lit(0).cast("long").alias("by")))
+    found = F.when(F.col("places") > 0, F.aggregate(F.concat("steps", last), none, step, lambda s: s["best"]["x"]))
     return pages.select("doc", "page", F.coalesce(found, F.col("width") / 2).alias("split"))
 
 
@@ -57,11 +63,12 @@ def page_columns(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
 
     words: doc, page, width, height, x0, x1, top, bottom, text (one row a word). Words count where they lie wholly inside a
     column's box. Lines are islands of words whose tops, in order, are no more than ``tolerance`` apart, so a slanted line
-    stays one line; words stand in a line from left to right. A column without such lines has no row.
+    stays one line; words stand in a line from left to right. A column without such lines has no row. Pages are hashed for
+    the join (a row each), so words are sorted once, for the lines.
     """
     low = F.least(F.lit(float(HEADER)), F.col("height") / 4)
     high = F.greatest(F.col("height") - FOOTER, F.col("height") * 0.75)
-    placed = words.join(column_splits(words), ["doc", "page"]).where((F.col("top") >= low) & (F.col("bottom") <= high))
+    placed = words.join(column_splits(words).hint("shuffle_hash"), ["doc", "page"]).where((F.col("top") >= low) & (F.col("bottom") <= high))
     side = F.when(F.col("x1") <= F.col("split"), 0).when((F.col("x0") >= F.col("split")) & (F.col("x1") <= F.col("width")), 1)
     own = W.partitionBy("doc", "page", "side").orderBy("top", "x0", "text")
     gap = F.coalesce(F.col("top") - F.lag("top").over(own) > tolerance, F.lit(True)).cast("int")

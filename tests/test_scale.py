@@ -112,3 +112,15 @@ def test_attempts_are_joined_once(spark, monkeypatch, name):
         monkeypatch.setattr(module, "attempts", lambda spark, d: made.append(d) or joined(spark, d))
     QUERIES[name](spark, "/root/testdata/sf0.001")
     assert made == ["/root/testdata/sf0.001"]
+
+
+def test_page_columns_takes_the_words_twice(spark, tmp_path):
+    """Once for where columns part and once for the text; pages follow from counts, also where rows repeat a key."""
+    texts = [(1, " ".join(f"w{i}" for i in range(500))), (1, "short\n\n text "), (2, None), (3, ""), (None, "a b"), (4, "1 2\n3")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    name = "page_columns"
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 2
+    con = compare.duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare.differences(spark, con, name, QUERIES[name], ORACLE_SQL[name], str(tmp_path)) == []
