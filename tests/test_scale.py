@@ -1,6 +1,7 @@
 """What larger tables showed: keys of more digits, work that grew faster than its input."""
 
 import itertools
+import re
 
 import compare
 import pytest
@@ -81,6 +82,21 @@ def test_learner_queries_keep_the_parts_they_were_dealt_in(spark, monkeypatch, n
     assert compare.differences(spark, compare.connect(d), name, QUERIES[name], ORACLE_SQL[name], d) == []
 
 
+@pytest.mark.parametrize("rows_as_read, joined", [(2_000_000, 200), (20, 300)])
+@pytest.mark.parametrize("name", ["tag_frequency", "user_risk_tags"])
+def test_lines_meet_orders_in_parts_that_are_written_as_read(spark, monkeypatch, name, rows_as_read, joined):
+    """A task that deals its split of a file to over 200 parts holds all of it (973 MB at 6 GB)."""
+    from lumengrid.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 10)
+    monkeypatch.setattr(tables, "ROWS_AS_READ", rows_as_read, raising=False)
+    d = "/root/testdata/sf0.001"
+    plan = QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\)", plan)) == {str(joined)}
+    assert set(re.findall(r"hashpartitioning\(user_id#\d+L?, (\d+)\)", plan)) == {"600"}
+    assert compare.differences(spark, compare.connect(d), name, QUERIES[name], ORACLE_SQL[name], d) == []
+
+
 def test_whole_state_in_one_pass_over_odd_rows(spark):
     """A problem listed twice, an unknown problem, null subjects, concepts and learners: as by separate aggregates."""
     log = [(u, p, c, s, m) for u in ("u", "v", None) for p, c, s, m in [(1, True, 50.0, ["A"]), (1, False, 150.0, ["A", "B"]), (2, True, 10.0, None), (3, False, 9.0, ["C"]), (4, True, 1.0, ["D"]), (9, True, 1.0, ["E"])]]
