@@ -127,11 +127,26 @@ def by_subject(rows: DataFrame) -> DataFrame:
         "n_own_correct": F.count_if(F.col("own") & F.col("correct")),
     }
     counts = each.groupBy("user_id", "known", "subject", "given", "tag").agg(*(c.alias(k) for k, c in sums.items()))
-    mastery = F.when(~F.col("given") & F.col("tag").isNotNull(), F.round(F.col("n_correct") / F.col("n"), 4))
-    out = counts.groupBy("user_id", "known", "subject").agg(
-        *(F.sum(F.when(~F.col("given"), F.col(k))).alias(k) for k in sums),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("given"), F.struct((-F.col("n")).alias("n"), "tag")))), 1, 3).alias("top"),
-        F.array_sort(F.collect_list(F.when(mastery.isNotNull(), F.struct(mastery.alias("mastery"), F.col("tag").alias("concept"))))).alias("concept_mastery"),
+    kind = F.when(F.col("given"), "tag").when(F.col("tag").isNotNull(), "concept")
+    return _told(counts.withColumns({"kind": kind, "name": F.col("tag")}), ["user_id", "known", "subject"], {k: F.sum(F.when(~F.col("given"), F.col(k))) for k in sums})
+
+
+def by_subject_of(counts: DataFrame) -> DataFrame:
+    """The same (n_own and n_own_correct for all of a learner's attempts, in rows with known false) from counts: user_id, kind
+    (user, subject, concept, tag), subject, name, n, n_correct, n_timed, n_over; one row a user_id, kind, subject and name."""
+    whole, own = F.col("kind") == "subject", F.col("kind") == "user"
+    sums = {k: F.sum(F.when(whole, F.col(k))) for k in ("n", "n_correct", "n_timed", "n_over")}
+    sums |= {k: F.sum(F.when(own, F.col(c))) for k, c in (("n_own", "n"), ("n_own_correct", "n_correct"))}
+    return _told(counts.withColumn("known", ~own), ["user_id", "known", "subject"], sums)
+
+
+def _told(counts: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Sums, tags and concept_mastery by ``keys`` from counts by keys, kind (concept, tag or another) and name."""
+    mastery = F.when(F.col("kind") == "concept", F.round(F.col("n_correct") / F.col("n"), 4))
+    out = counts.groupBy(*keys).agg(
+        *(c.alias(k) for k, c in sums.items()),
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("kind") == "tag", F.struct((-F.col("n")).alias("n"), F.col("name").alias("tag"))))), 1, 3).alias("top"),
+        F.array_sort(F.collect_list(F.when(mastery.isNotNull(), F.struct(mastery.alias("mastery"), F.col("name").alias("concept"))))).alias("concept_mastery"),
         F.avg(mastery).alias("mean_mastery"),
         F.bool_or(mastery < GAP_TAG_BELOW).alias("gap"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumengrid.operators import prescribe, recommend, state
 from lumengrid.plans.registry import query
-from lumengrid.sources.folders import cut, shared_folder
+from lumengrid.sources.folders import cut, dropped, shared_folder, shuffles_dropped
 from lumengrid.sources.tables import VIEWS_SQL, attempts, judged, problems, table
 from lumengrid.streaming import learner
 from lumengrid.streaming.ingest import event_stream
@@ -110,11 +110,15 @@ def stream_user_state(spark, d) -> DataFrame:
     five, then all come as they are, some of them twice. Every batch has attempts of all users, so it costs what the whole
     state does; the stream comes in a few batches whatever the number of its files."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rows = cut(attempts(spark, d).drop("attempt_at").withColumn("log_id", F.monotonically_increasing_id()), "attempts")
+    every = f"{folder}/attempts"
+    with shuffles_dropped(spark):
+        attempts(spark, d).drop("attempt_at").withColumn("log_id", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(every)
+    rows = spark.read.parquet(every)
     wrong = F.col("log_id") % 5 == 0
     first = rows.where("log_id % 3 > 0").withColumns({"correct": F.col("correct") != wrong, "mistakes": F.when(wrong, F.array(F.lit("x"))).otherwise(F.col("mistakes")), "version": F.lit(0)})
     for part in (first, rows.withColumn("version", F.lit(1)), first.unionByName(rows.withColumn("version", F.lit(1))).where("log_id % 7 = 0")):
-        part.write.mode("append").parquet(f"{folder}/in")
+        part.write.mode("append").option("compression", "zstd").parquet(f"{folder}/in")
+    dropped(spark, every)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.schema)
     files = len(spark.read.schema(schema).parquet(f"{folder}/in").inputFiles())
     stream = event_stream(spark, f"{folder}/in", schema, max(8, math.ceil(files / 4)))

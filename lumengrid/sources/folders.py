@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,25 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Frames that are run within it (once, so to be written) leave no shuffle files behind; else those stay on the executors'
+    disks until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a query has written and no longer reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(rows: DataFrame, label: str) -> DataFrame:
     """``rows``, written to the shared folder and read back: a lost executor costs its tasks, and plans stay small."""
     path = f"{shared_folder(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"

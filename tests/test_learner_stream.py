@@ -58,3 +58,26 @@ def test_a_batch_that_runs_again_adds_nothing(spark, tmp_path):
     learner.maintained(ingest.event_stream(spark, src, LOG), problems, F.col("concept"), target, mark, buckets=4).awaitTermination()
     assert plain(learner.current(spark, target)) == once == plain(state.user_state(spark.createDataFrame(final, LOG), problems, F.col("concept")))
     shutil.rmtree(src)
+
+
+def test_a_stream_deals_an_attempt_once_a_step(spark, tmp_path):
+    """Every fact of an attempt was dealt, and the log four times a batch (6 GB: no disk left)."""
+    problems = spark.range(100).select(F.col("id").alias("problem_id"), F.lit("tax").alias("subject"), F.lit(60).alias("limit_seconds"), F.concat(F.lit("concept "), "id").alias("concept"))
+    src, target, mark = (str(tmp_path / x) for x in ("in", "state", "mark"))
+    mistakes = F.array(F.concat(F.lit("mistake "), F.col("id") % 900), F.lit("b"))
+    log = spark.range(20_000).select((F.col("id") % 5000).alias("user_id"), F.col("id").alias("log_id"), (F.col("id") * 7 % 100).alias("problem_id"), F.lit(50).alias("seconds"), mistakes.alias("mistakes"))
+    for version in (0, 1):
+        rows = log.select("*", F.lit(version).alias("version"), (F.col("log_id") % 5 >= version).alias("correct"))
+        rows.coalesce(1).write.mode("append").parquet(src)
+    stream = ingest.event_stream(spark, src, rows.schema)
+    before = _shuffled(spark)
+    learner.maintained(stream, problems, F.col("concept"), target, mark, buckets=4).awaitTermination()
+    assert (_shuffled(spark) - before) / 40_000 < 100  # 58; 212 before
+    assert plain(learner.current(spark, target)) == plain(state.user_state(rows, problems, F.col("concept")))
+
+
+def _shuffled(spark):
+    """Bytes that all tasks so far have written to be shuffled."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
